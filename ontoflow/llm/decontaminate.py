@@ -58,6 +58,22 @@ def _bit_set(grams: DataFrame, k: int, anchor: int) -> tuple[Column, int] | None
         anchors.unpersist()
 
 
+def _near(grams: DataFrame, k: int) -> Column:
+    """The windows of k words (at, k, gram) around those of column w's anchors that the benchmark may have."""
+    anchor = min(ANCHOR, k)
+    bits, log = _bit_set(grams, k, anchor)
+    stride, w = k - anchor + 1, F.col("w")
+
+    def likely(i: Column) -> Column:
+        h = F.xxhash64(gram(w, i, anchor))
+        return F.get(bits, F.floor(F.pmod(h, F.lit(1 << log)) / 64).cast("int")).bitwiseAND(_bit(h)) != 0
+
+    starts = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - anchor, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    first, last = (lambda i: F.greatest(i - (stride - 1), F.lit(0))), (lambda i: F.least(i, F.size(w) - k))
+    around = F.transform(F.filter(starts, likely), lambda i: F.when(first(i) <= last(i), F.sequence(first(i), last(i))).otherwise(F.array().cast("array<int>")))
+    return F.transform(F.flatten(around), lambda at: F.struct(at.cast("int").alias("at"), F.lit(k).alias("k"), gram(w, at, k).alias("gram")))
+
+
 def find_windows(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """_row, doc_id, n_words, at, k, item_id: a row for each occurrence of an item's window, or one with nulls for a document without any.
 
@@ -66,19 +82,7 @@ def find_windows(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     grams = windows(items, n).persist()
     found = None
     for k in sorted(r["k"] for r in grams.select("k").distinct().collect()):  # n rows at most
-        anchor = min(ANCHOR, k)
-        bits, log = _bit_set(grams, k, anchor)
-        stride = k - anchor + 1
-
-        def likely(i, bits=bits, log=log, anchor=anchor):
-            h = F.xxhash64(gram(F.col("w"), i, anchor))
-            p = F.pmod(h, F.lit(1 << log))
-            return F.get(bits, F.floor(p / 64).cast("int")).bitwiseAND(_bit(h)) != 0
-
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - anchor, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-        near = F.flatten(F.transform(F.filter(starts, likely), lambda i: F.when(F.greatest(i - (stride - 1), F.lit(0)) <= F.least(i, F.size("w") - k), F.sequence(F.greatest(i - (stride - 1), F.lit(0)), F.least(i, F.size("w") - k)))))
-        near = F.transform(near, lambda at, k=k: F.struct(at.cast("int").alias("at"), F.lit(k).alias("k"), gram(F.col("w"), at, k).alias("gram")))
-        docs = docs.withColumn(f"_near{k}", near)
+        docs = docs.withColumn(f"_near{k}", _near(grams, k))
         found = [*(found or []), F.col(f"_near{k}")]
     kind = "array<struct<at:int,k:int,gram:string>>"
     near = F.concat(*found) if found else F.lit(None).cast(kind)

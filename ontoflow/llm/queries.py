@@ -5,16 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, token_counts
+from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, token_counts, urls, warc
 from ._common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -23,19 +38,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_token_counts": op4_token_counts,
-    "op6_decontamination": op6_decontamination,
-    "op7_packing": op7_packing,
-    "op10_sharding": op10_sharding,
+    f.__name__: f
+    for f in (op1_language, op2_simhash, op3_line_dedup, op4_token_counts, op5_warc, op6_decontamination, op7_packing, op8_embeddings, op9_urls, op10_sharding)
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -50,4 +75,18 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ite
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op5_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+e AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(max(page_id) OVER w, page_id) AS refers_to FROM e WINDOW w AS (PARTITION BY payload_digest)""",
+    "op8_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (SELECT vec_id, label, x, label IS NOT NULL AND x IS NOT NULL AND coalesce(list_bool_and(list_transform(x, lambda y: y IS NOT NULL AND isfinite(y))), false)
+  AND coalesce(list_bool_or(list_transform(x, lambda y: y <> 0)), false) AS sound FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.sound AND b.sound WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM g JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
 }
