@@ -8,12 +8,14 @@ that needs least wins. Long texts are parsed in blocks, side by side; a phrase e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 #: Symbols of a text after folding: 0 is a character that training never saw, 1 anything but a letter.
@@ -170,24 +172,43 @@ def samples(labelled: DataFrame, characters: int, piece: int = 400) -> dict[str,
     return {k: v for k, v in out.items() if v}
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", characters: int = 24_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: one row for each input row.
+_FITTED: dict[str, Model] = {}
 
-    Automata are fitted on about ``characters`` of text for each language (documented bound) of rows that are not
-    held out and have a label. A null text, or one without letters, is ``und`` with score 0; so is every text if no
-    row is labelled. Ids may be null (then held out) or repeat; an empty table gives an empty result; other columns are not read.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", held_out(F.col("doc_id")))
-    labelled = docs.filter("not held_out and lang is not null and text is not null and length(text) > 0").select("text", "lang")
+
+def _fitted(key: str, texts: dict[str, list[str]]) -> Model:
+    """The last model of this Python worker, which serves many tasks."""
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = Model(texts)
+    return _FITTED[key]
+
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", characters: int = 24_000) -> DataFrame:
+    """All columns of docs, and held_out, lang_pred, score (columns of these names are replaced); cases as for identify."""
+    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out(F.col(id_col)))
+    usable = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)
+    labelled = docs.filter(~F.col("held_out") & usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(samples(labelled, characters))  # texts; each worker builds its automata from them
+    key, at = uuid.uuid4().hex, docs.columns.index(text_col)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = Model(model.value)
+        fitted = _fitted(key, model.value)
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
-                language, score = fitted.predict(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(language, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                language, score = fitted.predict(part.column(at).to_pylist())
+                yield pa.record_batch([*part.columns, pa.array(language, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", characters: int = 24_000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: one row for each input row.
+
+    Automata are fitted on about ``characters`` of text for each language (documented bound) of rows that are not
+    held out and have a label. A null text, or one without letters, is ``und`` with score 0; so is every text if no
+    row is labelled. A null id hashes as an empty string; ids may repeat; an empty table gives an empty result; other columns are not read.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return annotate(docs, characters=characters).select("doc_id", "held_out", "lang_pred", "score")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import ascii_lower, settle
 from ._graph import components, forest
 
 BITS = 64
@@ -130,3 +130,33 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     group = settle(settle(linked).join(settle(least), "component").select(F.col("fp").alias("_fp"), "component_id"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return docs.join(group, F.col("fp") == F.col("_fp")).select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all their columns, without near-duplicates of a row that stays.
+
+    Of each SimHash group the smallest id stays; a member goes if its set of shingles has a Jaccard similarity of ``similarity``
+    or more with it, and the others try the next smallest id of those left, until each has stayed or gone. Texts without
+    words are alike. id_col must identify a row; rows with a null id stay.
+    """
+    groups = simhash(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_group"))
+    sizes = settle(groups.groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1"))
+    grouped = settle(settle(groups).join(sizes, "_group", "left_semi"))
+    split = F.filter(F.split(F.translate(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    n = F.size("_w")
+    parts = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("_w", k, words), " ")))))
+    pool = docs.join(grouped, F.col(id_col) == F.col("_id")).withColumn("_w", split).select("_id", "_group", parts.alias("_s"))
+    pool, gone = settle(pool), []
+    while True:
+        first = settle(pool.groupBy("_group").agg(F.min("_id").alias("_first")))
+        head = settle(pool.join(first, F.col("_id") == F.col("_first"), "left_semi").select(F.col("_group").alias("_g"), F.col("_id").alias("_first"), F.col("_s").alias("_t")))
+        tried = pool.join(head, F.col("_group") == F.col("_g")).filter("_id > _first")
+        shared = F.size(F.array_intersect("_s", "_t"))
+        alike = F.when((F.size("_s") == 0) & (F.size("_t") == 0), True).otherwise(shared >= F.lit(similarity) * (F.size("_s") + F.size("_t") - shared))
+        tried = settle(tried.select("_id", "_group", "_s", alike.alias("_alike")))
+        gone.append(tried.filter("_alike").select("_id"))
+        pool = tried.filter("not _alike").select("_id", "_group", "_s")
+        if not pool.limit(1).count():
+            break
+    out = reduce(DataFrame.union, gone)
+    return docs.join(out.distinct(), F.col(id_col) == F.col("_id"), "left_anti")
