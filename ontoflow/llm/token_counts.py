@@ -21,8 +21,11 @@ from ._common import tokenizer_path
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = 8192) -> list[str]:
     """The most frequent space-led pre-tokens (at most table_size, without the space) over all texts."""
-    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("w"))
-    top = words.filter(f"length(w) <= {_bpe.LONGEST}").agg(F.expr(f"approx_top_k(w, {table_size}, {4 * table_size})").alias("t"))
+    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("w"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
+    items = 2 * table_size
+    sketches = words.filter(f"length(w) <= {_bpe.LONGEST}").groupBy("part").agg(F.expr(f"approx_top_k_accumulate(w, {items})").alias("s"))
+    # Sketches merge in two steps: the last one has 64 of them, however many tasks there are.
+    top = sketches.agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("t"))
     found = top.select(F.expr("transform(t, x -> x.item)").alias("t")).first()
     return list((found and found.t) or [])
 
