@@ -25,7 +25,8 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int
     items = 2 * table_size
     sketches = words.filter(f"length(w) <= {_bpe.LONGEST}").groupBy("part").agg(F.expr(f"approx_top_k_accumulate(w, {items})").alias("s"))
     # Sketches merge in two steps: the last one has 64 of them, however many tasks there are.
-    top = sketches.agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("t"))
+    # A group, as an aggregate without one fails on a task that has no rows.
+    top = sketches.groupBy(F.pmod("part", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("t"))
     found = top.select(F.expr("transform(t, x -> x.item)").alias("t")).first()
     return list((found and found.t) or [])
 
