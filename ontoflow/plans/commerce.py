@@ -6,9 +6,13 @@ individuals, orders are classes of their own. Ids come from keys by arithmetic,
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ontoflow.plans.rules import RULES
+from ontoflow.plans.storage import shared_folder
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -71,15 +75,17 @@ RELATIONS: dict[str, str] = {
 _ORDER = list(RELATIONS)
 
 
+def _mentioned(text: str, names) -> list[str]:
+    return [n for n in names if re.search(rf"\b{n}\b", text)]
+
+
 def sql(query: str) -> str:
     """The query with the relations it needs as common table expressions."""
-    import re
-
     needed: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in _ORDER:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+        for name in _mentioned(text, _ORDER):
+            if name not in needed:
                 needed.add(name)
                 visit(RELATIONS[name])
 
@@ -90,11 +96,32 @@ def sql(query: str) -> str:
     return f"WITH {joined}, {own}" if own != query else (f"WITH {joined} {query}" if parts else query)
 
 
+#: Folders of imported relations by application, tables and name.
+_IMPORTED: dict[tuple[str, str, str], str] = {}
+
+
+def _import(spark: SparkSession, sf_dir: str, query: str) -> None:
+    """Make views of all that a query names: tables, and relations of the knowledge base.
+
+    A relation is written as Parquet into the shared folder when a query first needs it, and only read from then on, as
+    dozens of queries share it; changed tables need another path or application.
+    """
+    for t in _mentioned(query, TABLES):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name in _mentioned(query, _ORDER):
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _IMPORTED:
+            _import(spark, sf_dir, RELATIONS[name])
+            path = f"{shared_folder(spark)}/relation-{name}-{uuid.uuid4().hex}"
+            spark.sql(RELATIONS[name]).write.parquet(path)
+            _IMPORTED[key] = path
+        spark.read.parquet(_IMPORTED[key]).createOrReplaceTempView(name)
+
+
 def relation(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """The result of a query over the knowledge base of the tables in sf_dir."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql(query))
+    _import(spark, sf_dir, query)
+    return spark.sql(query)
 
 
 def rule_query(name: str):

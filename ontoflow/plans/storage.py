@@ -6,25 +6,30 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; a local one only where it is unset, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ontoflow-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir (a local one only where it is unset, as in tests).
+    """A reliable checkpoint in the shared folder.
 
     Spark can't checkpoint some plans whose statistics name columns that the plan no longer has; these are written as a
     table in the same folder.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not sc.getCheckpointDir():
-        folder = folder or tempfile.mkdtemp(prefix="ontoflow-")
-        sc.setCheckpointDir(folder)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     try:
         return df.checkpoint()
     except Py4JJavaError as e:
         if "NoSuchElementException: key not found" not in str(e.java_exception):
             raise
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
