@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, settle
+from ._common import settle
 from ._graph import components, forest
 
 BITS = 64
@@ -132,31 +132,125 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return docs.join(group, F.col("fp") == F.col("_fp")).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 5, similarity: float = 0.8) -> DataFrame:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct n-word shingles: a sum of the words' XXH64, each times an odd number of its position."""
+    words = [w for w in (text or "").translate(_LOWER | _BLANK).split(" ") if w]
+    if not words:
+        return np.zeros(0, np.int64)
+    known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
+    h = np.array([known[w] for w in words], np.uint64)
+    m = max(1, len(words) - n + 1)
+    out = np.zeros(m, np.uint64)
+    for k in range(min(n, len(words))):
+        out += h[k : k + m] * np.uint64(xxhash.xxh64_intdigest(str(k), 1) | 1)
+    return np.unique(out.view(np.int64))
+
+
+def prefix(parts: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first len - ceil(similarity x len) + 1 of a set in the order of (count, hash), where only hashes in the sorted ``common`` have counts.
+
+    Two sets of that Jaccard similarity share a member of their prefixes, whatever the order.
+    """
+    if not len(parts):
+        return parts
+    rank = np.zeros(len(parts), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, parts), len(common) - 1)
+        rank = np.where(common[at] == parts, counts[at], 0)
+    # The tolerance lets rounding lengthen a prefix, never shorten it.
+    return parts[np.lexsort((parts, rank))[: len(parts) - int(np.ceil(similarity * len(parts) - 1e-6)) + 1]]
+
+
+def _common(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sixteenth of the texts (_id, _text), at most ``most``, sorted, and their counts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                parts = [shingle_set(x.as_py(), words) for x in b.column(0).slice(k, 256)]
+                yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["t"])
+
+    some = docs.filter(F.pmod(F.xxhash64("_text"), F.lit(16)) == 0).select("_text").distinct()
+    top = some.mapInArrow(each, "t bigint").groupBy("t").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
+    t, n = (top.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most: int = 200_000) -> DataFrame:
     """The rows of docs, all their columns, without near-duplicates of a row that stays.
 
-    Of each SimHash group the smallest id stays; a member goes if its set of shingles has a Jaccard similarity of ``similarity``
-    or more with it, and the others try the next smallest id of those left, until each has stayed or gone. Texts without
-    words are alike. id_col must identify a row; rows with a null id stay.
+    In order of ids a row goes if its set of ``words``-word shingles has a Jaccard similarity of ``similarity`` or more with that of an
+    earlier row that stays. Candidates come from an exact prefix filter, so no such pair is missed; ``most`` bounds only the list of frequent
+    shingles that the prefixes avoid. Texts without words are alike. id_col must identify a row; rows with a null id stay.
     """
-    groups = simhash(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_group"))
-    sizes = settle(groups.groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1"))
-    grouped = settle(settle(groups).join(sizes, "_group", "left_semi"))
-    split = F.filter(F.split(F.translate(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
-    n = F.size("_w")
-    parts = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - words + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("_w", k, words), " ")))))
-    pool = docs.join(grouped, F.col(id_col) == F.col("_id")).withColumn("_w", split).select("_id", "_group", parts.alias("_s"))
-    pool, gone = settle(pool), []
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    known = docs.sparkSession.sparkContext.broadcast(_common(rows, words, most))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                keys, sizes, first = [], [], []
+                for x in part.column(1):
+                    text = x.as_py()
+                    parts = shingle_set(text, words)
+                    keys.append(xxhash.xxh128_digest(" ".join(w for w in (text or "").translate(_LOWER | _BLANK).split(" ") if w).encode("utf-8", "surrogatepass")))
+                    sizes.append(len(parts))
+                    first.append(prefix(parts, similarity, *known.value))
+                yield pa.record_batch([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["_id", "key", "n", "first"])
+
+    # Texts of equal words are one from the start.
+    base = settle(rows.mapInArrow(prefixes, f"_id {kind}, key binary, n int, first array<bigint>"))
+    firsts = settle(base.groupBy("key").agg(F.min("_id").alias("_first")))
+    gone = [settle(base.select("_id", "key")).join(firsts, "key").filter("_id > _first").select("_id")]
+    tokens = base.join(firsts, F.col("_id") == F.col("_first"), "left_semi").select("_id", "n", F.explode("first").alias("t"))
+    several = settle(tokens.groupBy("t").agg(F.count("*").alias("_c")).filter("_c > 1").select("t"))
+    shared = settle(tokens.join(several, "t", "left_semi"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                yield pa.record_batch([part.column(0), pa.array([shingle_set(x.as_py(), words) for x in part.column(1)], pa.list_(pa.int64()))], ["_id", "s"])
+
+    starts = base.select("_id", "n", "first")
+    sets, edges, turn = None, None, 0
     while True:
-        first = settle(pool.groupBy("_group").agg(F.min("_id").alias("_first")))
-        head = settle(pool.join(first, F.col("_id") == F.col("_first"), "left_semi").select(F.col("_group").alias("_g"), F.col("_id").alias("_first"), F.col("_s").alias("_t")))
-        tried = pool.join(head, F.col("_group") == F.col("_g")).filter("_id > _first")
-        shared = F.size(F.array_intersect("_s", "_t"))
-        alike = F.when((F.size("_s") == 0) & (F.size("_t") == 0), True).otherwise(shared >= F.lit(similarity) * (F.size("_s") + F.size("_t") - shared))
-        tried = settle(tried.select("_id", "_group", "_s", alike.alias("_alike")))
-        gone.append(tried.filter("_alike").select("_id"))
-        pool = tried.filter("not _alike").select("_id", "_group", "_s")
-        if not pool.limit(1).count():
+        # Heads of each bucket, the least id of it among them, are tried with all its members and leave it. Their number
+        # grows by the round: copies of one text go with the first, and buckets of unlike texts still end in few rounds.
+        part = F.pmod(F.xxhash64("_id"), F.lit(4**turn))
+        heads = settle(shared.groupBy("t", part.alias("p")).agg(F.min(F.struct("_id", "n")).alias("h")).select("t", F.col("h._id").alias("_h"), F.col("h.n").alias("m")))
+        tried = shared.join(heads, "t").filter("_id <> _h").filter(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-6)
+        tried = settle(tried.select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct())
+        # What two prefixes share bounds what the sets share: the one that ends first misses only the rest of its set.
+        one = tried.join(starts.select(F.col("_id").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa")), "a")
+        both = one.join(starts.select(F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb")), "b")
+        most_shared = F.size(F.array_intersect("fa", "fb")) + F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
+        tried = settle(both.filter(most_shared >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"))
+        need = tried.select(F.col("a").alias("_id")).union(tried.select(F.col("b").alias("_id"))).distinct()
+        need = settle(need.join(sets.select("_id"), "_id", "left_anti") if sets else need)
+        if not sets or need.limit(1).count():
+            ids = F.broadcast(need) if need.count() <= 200_000 else need
+            more = settle(rows.join(ids, "_id", "left_semi").mapInArrow(whole, f"_id {kind}, s array<bigint>"))
+            sets = sets.union(more) if sets else more
+        one = tried.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a")
+        both = one.join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
+        meet = F.size(F.array_intersect("sa", "sb"))
+        alike = both.filter(meet >= F.lit(similarity) * (F.size("sa") + F.size("sb") - meet)).select("a", "b")
+        edges = settle((edges.union(alike) if edges else alike).distinct())
+        shared = settle(shared.join(heads.select("t", F.col("_h").alias("_id")), ["t", "_id"], "left_anti"))
+        # A row stays once nothing earlier is alike or untried; then all that is alike goes.
+        least = shared.groupBy("t").agg(F.min("_id").alias("_least"))
+        later = shared.join(settle(least), "t").filter("_id > _least").select("_id")
+        stays = settle(edges.select(F.col("a").alias("_id")).distinct().join(edges.select(F.col("b").alias("_id")).union(later).distinct(), "_id", "left_anti"))
+        out = settle(edges.join(stays, F.col("a") == F.col("_id"), "left_semi").select(F.col("b").alias("_id")).distinct())
+        gone.append(out)
+        edges = edges.join(out, F.col("a") == F.col("_id"), "left_anti").join(out, F.col("b") == F.col("_id"), "left_anti")
+        edges, shared = settle(edges), settle(shared.join(out, "_id", "left_anti"))
+        if not edges.limit(1).count() and not shared.limit(1).count():
             break
+        turn = min(turn + 1, 10)
     out = reduce(DataFrame.union, gone)
     return docs.join(out.distinct(), F.col(id_col) == F.col("_id"), "left_anti")

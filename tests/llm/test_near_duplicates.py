@@ -80,6 +80,41 @@ def test_keep_one(spark):
     assert {1, 4, 5, None} <= kept and not kept & {2, 6}
 
 
+def keep_brute(rows, n=5, similarity=0.8):
+    """Ids that stay, by comparing each text with every earlier one that stays."""
+    stay = []
+    for i, t in sorted(rows):
+        w = (t or "").lower().split()
+        s = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+        if not any((not s and not o) or len(s & o) >= similarity * len(s | o) > 0 for _, o in stay):
+            stay.append((i, s))
+    return {i for i, _ in stay}
+
+
+def test_keep_one_takes_every_near_copy(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, text), (2, text), (3, text.replace("w7 ", "x ")), (4, "something else")]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {1, 4}
+
+
+def test_keep_one_against_brute_force(spark):
+    rng = random.Random(5)
+    rows, common = [], "a line that many of the texts have in common with others".split()
+    for i in range(40):
+        base = [f"v{rng.randrange(300)}" for _ in range(rng.choice([1, 3, 5, 12, 60, 150]))] + common * (i % 2)
+        for c in range(6):
+            copy = list(base)
+            for _ in range(c * len(copy) // 90):  # chains of copies of copies on either side of 0.8
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**9), " ".join(copy)))
+            base = copy if i % 3 == 0 else base
+    rows += [(k, " ".join(common)) for k in range(3)] + [(10, ""), (11, None)]
+    for most in (200_000, 0):
+        kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), most=most).collect()}
+        assert kept == keep_brute(rows)
+
+
 def test_patience():
     assert lines.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert lines.patience([1, 9, 2, 9, 3], [7, 2, 8, 3]) == [(2, 1), (4, 3)]

@@ -1,6 +1,12 @@
 import corpus_pipeline
 
 
+def test_near_copies_go(spark, tmp_path):
+    flat = " ".join(f"flat{k}" for k in range(120))
+    docs = spark.createDataFrame([(7, flat), (8, flat.replace("flat60 ", "flat61 "))], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()] == [7]
+
+
 def test_stages(spark, tmp_path):
     long = "\n".join(" ".join(f"word{k}x{j}" for k in range(30)) for j in range(6))
     item = " ".join(f"bench{k}" for k in range(40))
