@@ -153,22 +153,27 @@ def held_out(id_col: Column) -> Column:
 def samples(labelled: DataFrame, characters: int, piece: int = 400) -> dict[str, list[str]]:
     """About ``characters`` of text for each language, in pieces of whole texts chosen by a hash of the text.
 
-    labelled has text and lang, neither null. The hash's range is set by each language's number of rows, so the
+    labelled has text and lang, neither null. The hash's range is set by each language's number of distinct texts, so the
     driver gets about twice characters / piece pieces for a language, however large the corpus; equal texts count once.
+    Languages that still lack pieces are asked again with a wider range, up to all their texts.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    want = 2 * -(-characters // piece)
-    share = F.lit(0.0)
-    for language, n in counts.items():
-        share = F.when(F.col("lang") == language, min(1.0, want / n)).otherwise(share)
     h = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()}
+    want = 2 * -(-characters // piece)
+    shares = {language: min(1.0, want / max(n, 1)) for language, n in counts.items()}
     at = F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - piece + 1, F.lit(1))).cast("int") + 1
-    picked = labelled.withColumn("h", h).filter(F.col("h") / 2.0**64 + 0.5 < share).select("lang", "h", F.substr("text", at, F.lit(piece)).alias("t")).distinct().collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["t"])):
-        have = out.setdefault(r["lang"], [])
-        if len(have) * piece < characters and any(c.isalpha() for c in r["t"]):
-            have.append(r["t"])
+    while shares:
+        share = F.lit(0.0)
+        for language, x in shares.items():
+            share = F.when(F.col("lang") == language, x).otherwise(share)
+        picked = labelled.withColumn("h", h).filter(F.col("h") / 2.0**64 + 0.5 < share).select("lang", "h", F.substr("text", at, F.lit(piece)).alias("t")).distinct().collect()
+        out |= {language: [] for language in shares}
+        for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["t"])):
+            have = out[r["lang"]]
+            if len(have) * piece < characters and any(c.isalpha() for c in r["t"]):
+                have.append(r["t"])
+        shares = {k: min(1.0, 4 * x) for k, x in shares.items() if x < 1 and len(out[k]) * piece < characters}
     return {k: v for k, v in out.items() if v}
 
 

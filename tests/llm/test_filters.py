@@ -136,3 +136,9 @@ def test_matrix_adds_up_and_is_unbiased():
         assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == shards and (m >= 0).all()
         total += m
     assert np.abs(total / 400 - np.outer(rows, shards) / 200).max() < 1.0
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [(f"text number {k} of the language", "aa") for k in range(70)] + [("one text that many rows repeat", "aa")] * 20_000 + [("autre chose", "bb")] * 3000
+    out = language.samples(spark.createDataFrame(rows, "text string, lang string"), 24_000)
+    assert len(out["aa"]) == 60 and out["bb"] == ["autre chose"]
