@@ -24,6 +24,8 @@ from ._common import settle
 from ._graph import components, forest
 
 BITS = 64
+#: Ids are broadcast up to so many (under 10 MB), and joined by shuffle beyond.
+MOST_BROADCAST = 200_000
 
 
 def covering(positions: list[int], radius: int) -> list[int]:
@@ -132,18 +134,34 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return docs.join(group, F.col("fp") == F.col("_fp")).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles: a sum of the words' XXH64, each times an odd number of its position."""
-    words = [w for w in (text or "").translate(_LOWER | _BLANK).split(" ") if w]
+def shingle_hashes(words: list[str], n: int) -> np.ndarray:
+    """A hash of each n-word shingle (of fewer words the whole sequence): a sum of the words' XXH64, each times an odd number of its position."""
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
     h = np.array([known[w] for w in words], np.uint64)
     m = max(1, len(words) - n + 1)
     out = np.zeros(m, np.uint64)
     for k in range(min(n, len(words))):
         out += h[k : k + m] * np.uint64(xxhash.xxh64_intdigest(str(k), 1) | 1)
-    return np.unique(out.view(np.int64))
+    return out
+
+
+def _words(text: str | None) -> list[str]:
+    return [w for w in (text or "").translate(_LOWER | _BLANK).split(" ") if w]
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct n-word shingles."""
+    return np.unique(shingle_hashes(_words(text), n).view(np.int64))
+
+
+def hashed_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of shingle hashes: a bit is set if it is set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += _column_sums(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def prefix(parts: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -162,7 +180,7 @@ def prefix(parts: np.ndarray, similarity: float, common: np.ndarray, counts: np.
 
 
 def _common(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sixteenth of the texts (_id, _text), at most ``most``, sorted, and their counts."""
+    """Frequent shingles of a sixteenth of the texts (id, text), at most ``most``, sorted, and their counts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,87 +188,194 @@ def _common(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndar
                 parts = [shingle_set(x.as_py(), words) for x in b.column(0).slice(k, 256)]
                 yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["t"])
 
-    some = docs.filter(F.pmod(F.xxhash64("_text"), F.lit(16)) == 0).select("_text").distinct()
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").distinct()
     top = some.mapInArrow(each, "t bigint").groupBy("t").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
     t, n = (top.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(t)
     return t[order], n[order]
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most: int = 200_000) -> DataFrame:
-    """The rows of docs, all their columns, without near-duplicates of a row that stays.
+#: Classes of a set's histogram: the sum of two histograms' minima bounds how many members the sets share.
+CLASSES = 64
+
+
+def histogram(parts: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each class."""
+    return np.bincount(parts & (CLASSES - 1), minlength=CLASSES).astype(np.uint32)
+
+
+def most_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many members sets of these histograms (last axis: classes) can share at most."""
+    return np.minimum(one, two).sum(axis=-1, dtype=np.int64)
+
+
+def may_reach(similarity: float, one: np.ndarray, na: np.ndarray, two: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether sets of na and nb members with these histograms can have that Jaccard similarity; rounding never loses a pair."""
+    return most_shared(one, two) >= similarity / (1 + similarity) * (na + nb) - 1e-6
+
+
+def _histograms(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, CLASSES)
 
-    In order of ids a row goes if its set of ``words``-word shingles has a Jaccard similarity of ``similarity`` or more with that of an
-    earlier row that stays. Candidates come from an exact prefix filter, so no such pair is missed; ``most`` bounds only the list of frequent
-    shingles that the prefixes avoid. Texts without words are alike. id_col must identify a row; rows with a null id stay.
+
+class _Links:
+    """Pairs of texts whose sets have a Jaccard similarity, and the components they make, found in steps.
+
+    sets has id, n, s (the set) and h (its histogram).
+    """
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity, self.kind = sets, similarity, sets.schema["id"].dataType.simpleString()
+        self.found = self.component = None
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose sizes and histograms allow the similarity."""
+        side = lambda x: self.sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb") - 1e-6)
+        similarity = self.similarity
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                able = may_reach(similarity, _histograms(x.column(3)), x.column(2).to_numpy(), _histograms(x.column(5)), x.column(4).to_numpy())
+                yield pa.record_batch([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(able))
+
+        return both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(keep, f"a {self.kind}, b {self.kind}")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Compare the whole sets of pairs (a, b), and join those alike into components."""
+        side = lambda x: self.sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+        both = settle(self.likely(pairs)).join(side("a"), "a").join(side("b"), "b")
+        meet = F.size(F.array_intersect("sa", "sb"))
+        alike = both.filter(meet >= F.lit(self.similarity) * (F.size("sa") + F.size("sb") - meet)).select("a", "b")
+        self.found = settle(alike if self.found is None else self.found.union(alike))
+        self.component = settle(components(self.found))
+
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """rows (with id) and c, the component that each is in so far."""
+        known = self.component.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+        return rows.join(known, F.col("id") == F.col("_node"), "left").withColumn("c", F.coalesce("_c", "id")).drop("_node", "_c")
+
+    def apart(self, shared: DataFrame, block: int) -> DataFrame:
+        """Pairs (a, b) with a common t in shared (t, id) that no component holds yet, as far as their histograms allow the similarity.
+
+        The texts of a t are dealt into blocks of about ``block``, which are held against each other by twos. A component with more texts
+        has blocks of its own, and these aren't held against each other: near copies of one text cost nothing here.
+        """
+        at = settle(self.mark(shared.select("t", "id")))
+        several = at.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("t")
+        at = settle(at.join(several, "t", "left_semi"))
+        sizes = settle(at.groupBy("t", "c").agg(F.count("*").alias("m")))
+        rest = sizes.filter(F.col("m") <= block).groupBy("t").agg(F.sum("m").alias("rest"))
+        sizes = sizes.join(rest, "t", "left").select("t", "c", "m", F.coalesce("rest", F.lit(0)).alias("rest"))
+        own = F.col("m") > block
+        among = lambda x, n: F.pmod(F.xxhash64(x), F.greatest(F.ceil(F.col(n) / block), F.lit(1))).cast("int")
+        at = at.join(sizes, ["t", "c"]).select("t", "id", "c", F.when(own, F.col("c")).alias("g"), F.when(own, among("id", "m")).otherwise(among("c", "rest")).alias("k"))
+        at = at.join(self.sets.select("id", "n", "h"), "id")
+        blocks = at.groupBy("t", "g", "k").agg(*[F.collect_list(x).alias(f"{x}s") for x in ("id", "c", "n", "h")])
+        blocks = settle(blocks).withColumn("no", F.monotonically_increasing_id())
+        one, two = blocks.select("t", "g", "no").alias("x"), blocks.select("t", "g", "no").alias("y")
+        tiles = one.join(two, F.col("x.t") == F.col("y.t")).filter("x.no <= y.no and (x.g is null or y.g is null or x.g <> y.g)").select(F.col("x.no").alias("no"), F.col("y.no").alias("no2"))
+        lists = ["ids", "cs", "ns", "hs"]
+        tiles = tiles.join(blocks.select("no", *lists), "no").join(blocks.select(F.col("no").alias("no2"), *[F.col(x).alias(f"{x}2") for x in lists]), "no2")
+        similarity = self.similarity
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    same = batch.column(0)[r] == batch.column(1)[r]
+                    ids, cs, ns, ids2, cs2, ns2 = (np.array(batch.column(k)[r].as_py()) for k in (2, 3, 4, 6, 7, 8))
+                    hs, hs2 = _histograms(batch.column(5)[r].values), _histograms(batch.column(9)[r].values)
+                    a, b = [ids[:0]], [ids2[:0]]
+                    for k in range(0, len(ids), 32):
+                        z = slice(k, k + 32)
+                        i, j = np.nonzero((cs[z, None] != cs2) & (np.minimum(ns[z, None], ns2) >= similarity * np.maximum(ns[z, None], ns2) - 1e-6))
+                        i += k
+                        if same:
+                            i, j = i[i < j], j[i < j]
+                        for c in range(0, len(i), 1 << 14):
+                            p, q = i[c : c + (1 << 14)], j[c : c + (1 << 14)]
+                            able = may_reach(similarity, hs[p], ns[p], hs2[q], ns2[q])
+                            a.append(ids[p[able]])
+                            b.append(ids2[q[able]])
+                    a, b = np.concatenate(a), np.concatenate(b)
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        return tiles.select("no", "no2", *lists, *[f"{x}2" for x in lists]).mapInArrow(compare, f"a {self.kind}, b {self.kind}").distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 200_000, block: int = 512) -> DataFrame:
+    """The rows of docs, all their columns, with one row of each group of near-duplicates: that of the least id (an integer).
+
+    Rows link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and a group is what links join.
+    Candidates come first from the covering tables of the shingles' SimHash (``radius`` bits), then, for links that are further apart, from an
+    exact prefix filter, so that no link is missed; each is verified on the whole sets. ``most`` bounds the list of frequent shingles that
+    the prefixes avoid, and ``block`` the rows that a task holds against others; neither changes the result.
+
+    Null and blank texts are alike. Rows with a null id stay; rows that share an id fare alike; an empty table stays empty; other columns, whatever their names, are kept.
     """
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    kind = rows.schema["id"].dataType.simpleString()
     known = docs.sparkSession.sparkContext.broadcast(_common(rows, words, most))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                keys, sizes, first = [], [], []
+                keys, fps, sizes, first = [], [], [], []
                 for x in part.column(1):
-                    text = x.as_py()
-                    parts = shingle_set(text, words)
-                    keys.append(xxhash.xxh128_digest(" ".join(w for w in (text or "").translate(_LOWER | _BLANK).split(" ") if w).encode("utf-8", "surrogatepass")))
+                    said = _words(x.as_py())
+                    hashes = shingle_hashes(said, words)
+                    parts = np.unique(hashes.view(np.int64))
+                    keys.append(xxhash.xxh128_digest(" ".join(said).encode("utf-8", "surrogatepass")))
+                    fps.append(hashed_fingerprint(hashes))
                     sizes.append(len(parts))
                     first.append(prefix(parts, similarity, *known.value))
-                yield pa.record_batch([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["_id", "key", "n", "first"])
+                columns = [part.column(0), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, ["id", "key", "fp", "n", "first"])
 
-    # Texts of equal words are one from the start.
-    base = settle(rows.mapInArrow(prefixes, f"_id {kind}, key binary, n int, first array<bigint>"))
-    firsts = settle(base.groupBy("key").agg(F.min("_id").alias("_first")))
-    gone = [settle(base.select("_id", "key")).join(firsts, "key").filter("_id > _first").select("_id")]
-    tokens = base.join(firsts, F.col("_id") == F.col("_first"), "left_semi").select("_id", "n", F.explode("first").alias("t"))
-    several = settle(tokens.groupBy("t").agg(F.count("*").alias("_c")).filter("_c > 1").select("t"))
-    shared = settle(tokens.join(several, "t", "left_semi"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.record_batch([part.column(0), pa.array([shingle_set(x.as_py(), words) for x in part.column(1)], pa.list_(pa.int64()))], ["_id", "s"])
-
-    starts = base.select("_id", "n", "first")
-    sets, edges, turn = None, None, 0
-    while True:
-        # Heads of each bucket, the least id of it among them, are tried with all its members and leave it. Their number
-        # grows by the round: copies of one text go with the first, and buckets of unlike texts still end in few rounds.
-        part = F.pmod(F.xxhash64("_id"), F.lit(4**turn))
-        heads = settle(shared.groupBy("t", part.alias("p")).agg(F.min(F.struct("_id", "n")).alias("h")).select("t", F.col("h._id").alias("_h"), F.col("h.n").alias("m")))
-        tried = shared.join(heads, "t").filter("_id <> _h").filter(F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-6)
-        tried = settle(tried.select(F.least("_id", "_h").alias("a"), F.greatest("_id", "_h").alias("b")).distinct())
-        # What two prefixes share bounds what the sets share: the one that ends first misses only the rest of its set.
-        one = tried.join(starts.select(F.col("_id").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa")), "a")
-        both = one.join(starts.select(F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb")), "b")
-        most_shared = F.size(F.array_intersect("fa", "fb")) + F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
-        tried = settle(both.filter(most_shared >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"))
-        need = tried.select(F.col("a").alias("_id")).union(tried.select(F.col("b").alias("_id"))).distinct()
-        need = settle(need.join(sets.select("_id"), "_id", "left_anti") if sets else need)
-        if not sets or need.limit(1).count():
-            ids = F.broadcast(need) if need.count() <= 200_000 else need
-            more = settle(rows.join(ids, "_id", "left_semi").mapInArrow(whole, f"_id {kind}, s array<bigint>"))
-            sets = sets.union(more) if sets else more
-        one = tried.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a")
-        both = one.join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
-        meet = F.size(F.array_intersect("sa", "sb"))
-        alike = both.filter(meet >= F.lit(similarity) * (F.size("sa") + F.size("sb") - meet)).select("a", "b")
-        edges = settle((edges.union(alike) if edges else alike).distinct())
-        shared = settle(shared.join(heads.select("t", F.col("_h").alias("_id")), ["t", "_id"], "left_anti"))
-        # A row stays once nothing earlier is alike or untried; then all that is alike goes.
-        least = shared.groupBy("t").agg(F.min("_id").alias("_least"))
-        later = shared.join(settle(least), "t").filter("_id > _least").select("_id")
-        stays = settle(edges.select(F.col("a").alias("_id")).distinct().join(edges.select(F.col("b").alias("_id")).union(later).distinct(), "_id", "left_anti"))
-        out = settle(edges.join(stays, F.col("a") == F.col("_id"), "left_semi").select(F.col("b").alias("_id")).distinct())
-        gone.append(out)
-        edges = edges.join(out, F.col("a") == F.col("_id"), "left_anti").join(out, F.col("b") == F.col("_id"), "left_anti")
-        edges, shared = settle(edges), settle(shared.join(out, "_id", "left_anti"))
-        if not edges.limit(1).count() and not shared.limit(1).count():
-            break
-        turn = min(turn + 1, 10)
-    out = reduce(DataFrame.union, gone)
-    return docs.join(out.distinct(), F.col(id_col) == F.col("_id"), "left_anti")
+                sets = [shingle_set(x.as_py(), words) for x in part.column(1)]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array([histogram(s).tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch(columns, ["id", "n", "s", "h"])
+
+    base = settle(rows.mapInArrow(sketches, f"id {kind}, key binary, fp bigint, n int, first array<bigint>"))
+    # Texts of equal words are one from the start.
+    firsts = settle(base.groupBy("key").agg(F.min("id").alias("least")))
+    copies = base.select("id", "key").join(firsts, "key").filter("id > least").select("id")
+    kinds = settle(base.drop("key").join(firsts, F.col("id") == F.col("least"), "left_semi"))
+
+    # Shingles that the prefixes of several texts hold.
+    tokens = kinds.select("id", "n", F.size("first").alias("size"), F.explode("first").alias("t"))
+    several = settle(tokens.groupBy("t").agg(F.count("*").alias("m")).filter("m > 1").select("t"))
+    shared = settle(tokens.join(several, "t", "left_semi"))
+
+    # The covering tables' links between fingerprints, each fingerprint by the first text that has it.
+    fps = settle(kinds.groupBy("fp").agg(F.min("id").alias("a")))
+    same = kinds.join(fps, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
+    near = links(fps, radius).withColumnsRenamed({"a": "fa", "b": "fb"}).distinct()
+    near = near.join(fps.withColumnsRenamed({"fp": "fa"}), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = settle(same.union(near))
+
+    ids = settle(shared.select("id").union(near.select("a")).union(near.select("b")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    found = _Links(settle(rows.join(ids, "id", "left_semi").mapInArrow(wholes, f"id {kind}, n int, s array<bigint>, h binary")), similarity)
+    found.add(near)
+
+    # Each shared shingle's most typical text (the fewest shingles of its own), held against the others that have it.
+    typical = F.struct((F.col("size") - F.col("k")).alias("u"), "id")
+    counts = shared.groupBy("id").agg(F.count("*").alias("k"))
+    heads = shared.join(settle(counts), "id").groupBy("t").agg(F.min(typical).alias("head")).select("t", F.col("head.id").alias("head"))
+    marked = found.mark(shared.select("t", "id").join(settle(heads), "t").filter("id <> head"))
+    marked = found.mark(marked.select(F.col("id").alias("other"), F.col("c").alias("c1"), F.col("head").alias("id"))).filter("c <> c1")
+    found.add(settle(marked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()))
+
+    # Whatever shares a shingle and still isn't in one component.
+    found.add(settle(found.apart(shared, block)))
+    gone = copies.union(found.component.filter("node > component").select("node"))
+    name = "id"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(gone.select(F.col("id").alias(name)).distinct(), F.col(id_col) == F.col(name), "left_anti")

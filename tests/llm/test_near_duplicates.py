@@ -81,14 +81,13 @@ def test_keep_one(spark):
 
 
 def keep_brute(rows, n=5, similarity=0.8):
-    """Ids that stay, by comparing each text with every earlier one that stays."""
-    stay = []
-    for i, t in sorted(rows):
+    """Ids that stay: the least of each group that links of all pairs of texts make."""
+    sets = {}
+    for i, t in rows:
         w = (t or "").lower().split()
-        s = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-        if not any((not s and not o) or len(s & o) >= similarity * len(s | o) > 0 for _, o in stay):
-            stay.append((i, s))
-    return {i for i, _ in stay}
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    linked = [(a, b) for a, s in sets.items() for b, o in sets.items() if a < b and ((not s and not o) or len(s & o) >= similarity * len(s | o) > 0)]
+    return {i for i, g in groups(list(sets), linked).items() if i == g}
 
 
 def test_keep_one_takes_every_near_copy(spark):
@@ -110,11 +109,39 @@ def test_keep_one_against_brute_force(spark):
             rows.append((rng.randrange(10**9), " ".join(copy)))
             base = copy if i % 3 == 0 else base
     rows += [(k, " ".join(common)) for k in range(3)] + [(10, ""), (11, None)]
-    for most in (200_000, 0):
-        kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), most=most).collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most, block in ((200_000, 512), (0, 4)):
+        kept = {r.doc_id for r in simhash.keep_one(docs, most=most, block=block).collect()}
         assert kept == keep_brute(rows)
 
 
+def test_keep_one_splits_a_hot_group_without_loss(spark):
+    rng = random.Random(6)
+    base, rows = [f"v{k}" for k in range(40)], []
+    for i in range(120):  # copies of one text, most of them more than 0.8 apart from each other, some linked through others
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.choice([0, 13, 26, 39])] = rng.choice("xyz")
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (5, 50):
+        assert {r.doc_id for r in simhash.keep_one(docs, block=block).collect()} == keep_brute(rows)
+
+
+def test_keep_one_with_odd_tables(spark):
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    rows = [(1, "a b c", 5, 6, 7), (2, "A b\tc", 8, 9, 10), (2, "A b c", 8, 9, 10), (None, "a b c", 1, 2, 3), (4, "long " * 200_000, 0, 0, 0)]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, id int, _id int, c int"))
+    assert out.columns == ["doc_id", "text", "id", "_id", "c"] and sorted(r.id for r in out.collect()) == [0, 1, 5]
+
+
+def test_histograms_bound_what_is_shared():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 400, rng.integers(0, 300))) for _ in range(2))
+        assert simhash.most_shared(simhash.histogram(a), simhash.histogram(b)) >= len(np.intersect1d(a, b))
+
+
 def test_patience():
     assert lines.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert lines.patience([1, 9, 2, 9, 3], [7, 2, 8, 3]) == [(2, 1), (4, 3)]
