@@ -1,10 +1,10 @@
 """Operator 3: line dedup by pairwise alignment.
 
-A document's partners are the earliest holders of its lines: a shared line links a document to one earlier document
-only. A rare line does so at once; a frequent one needs no cap, as it makes no more pairs than it has holders. Pairs
-whose linking lines hold fewer than ``least_words`` words are no candidates. Each pair is aligned with patience diff
-(lines unique in both are its anchors), and aligned common blocks of ``least_words`` words or more are deleted from
-the later document.
+A block that goes holds ``least_words`` words or more, so it holds a run: consecutive lines that just reach as many words. Runs
+are rare where single lines aren't. Each run that several documents hold links every later one to its earliest holder, so a passage
+makes no more pairs than it has holders, and no passage is left without a pair. Each pair is aligned with patience diff (lines unique in both are its
+anchors), and aligned common blocks of ``least_words`` words or more are deleted from the later document; what is moved or repeated within a document, so that
+no unique anchor reaches it, is aligned run by run after that. Blank lines are left out of all this.
 """
 
 from __future__ import annotations
@@ -13,18 +13,23 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import settle
 
+#: Odd multiplier of the runs' polynomial hash, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-def _rows(column: pa.ListArray) -> Iterator[list[int]]:
+
+def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:
     """The lists of an array without nulls, one at a time."""
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     for a, z in zip(ends[:-1], ends[1:]):
-        yield values[a:z].tolist()
+        yield values[a:z]
 
 
 def line_hashes(text: Column) -> Column:
@@ -36,6 +41,29 @@ def line_words(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.size(F.filter(F.split(x, r"[ \t\r\f\x0B]+"), lambda w: w != "")))
 
 
+def runs(h: np.ndarray, w: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, line after the last, and hash of each run of lines with hashes h and words w (above zero).
+
+    From each line the shortest run that reaches least_words, forwards and backwards: together these cover every
+    common block of so many words, line by line.
+    """
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+    at = np.arange(n)
+    forward = np.searchsorted(total, total[:-1] + least_words)  # line after the last
+    backward = np.searchsorted(total, total[1:] - least_words, side="right") - 1  # first line
+    a = np.concatenate([at[forward <= n], backward[backward >= 0]])
+    z = np.concatenate([forward[forward <= n], (at + 1)[backward >= 0]])
+    key = np.unique(a * (n + 1) + z)
+    a, z = key // (n + 1), key % (n + 1)
+    one = np.ones(1, np.uint64)
+    power, back = (np.cumprod(np.append(one, np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.astype(np.int64).view(np.uint64) * power, dtype=np.uint64)])
+    return a, z, ((sums[z] - sums[a]) * back[a] + (z - a).astype(np.uint64)).view(np.int64)
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by the first, whose second rises too."""
     tails: list[int] = []
@@ -93,60 +121,104 @@ def blocks(pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         k = e
 
 
+def common_lines(earlier: np.ndarray, earlier_words: np.ndarray, later: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
+    """Which lines of the later document are in a block of least_words words or more that the earlier one has too."""
+    cut = np.zeros(len(later), bool)
+    for a, z in blocks(patience(earlier.tolist(), later.tolist())):
+        if words[a:z].sum() >= least_words:
+            cut[a:z] = True
+    if not cut.all():
+        # Moved and repeated blocks: runs of the rest that the earlier document has anywhere.
+        a, z, h = runs(later, words, least_words)
+        held = np.isin(h, runs(earlier, earlier_words, least_words)[2])
+        steps = np.zeros(len(later) + 1, np.int64)
+        np.add.at(steps, a[held], 1)
+        np.add.at(steps, z[held], -1)
+        cut |= np.cumsum(steps[:-1]) > 0
+    return cut
+
+
 def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
-    """id, fingerprint, cut (line numbers), long: what goes from documents (id, text, fingerprint), none of them null.
+    """fingerprint, first (the least id), gone (a flag for each line), long: what goes from documents (id, text, fingerprint), none of them null.
 
     A row for each text that loses lines, or that several documents have; of these all but the first go as a whole
     if the text is long enough.
     """
-    kinds = docs.select("id", "fingerprint", line_hashes(F.col("text")).alias("h"), line_words(F.col("text")).alias("w"))
-    kinds = kinds.groupBy("fingerprint").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
-    # Texts in order of their first document; the fingerprint tells texts of equal ids apart.
-    kinds = settle(kinds.select(F.struct("id", "fingerprint").alias("me"), "n", "h", "w"))
-    held = kinds.select("me", F.explode(F.arrays_zip("h", "w")).alias("x")).select("me", "x.h", "x.w").filter("w > 0").groupBy("me", "h").agg(F.max("w").alias("w"))
-    held = settle(held)
-    owners = settle(held.groupBy("h").agg(F.min("me").alias("owner"), F.count("*").alias("holders")).filter("holders > 1").select("h", "owner"))
-    pairs = held.join(owners, "h").filter("me > owner").groupBy("me", "owner").agg(F.sum("w").alias("w")).filter(F.col("w") >= least_words)
-    pairs = settle(pairs.select("me", "owner"))
-    lines = kinds.select("me", "h", "w")
-    earlier = lines.select(F.col("me").alias("owner"), F.col("h").alias("h0"))
-    both = settle(pairs.join(lines, "me")).join(earlier, "owner").select("me", "h", "w", "h0")
+    texts = docs.select("id", "fingerprint", line_hashes(F.col("text")).alias("h"), line_words(F.col("text")).alias("w"))
+    texts = texts.groupBy("fingerprint").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
+    # Each text has a number of its own, which tells texts of equal ids apart; order is by id, then number.
+    texts = settle(texts).withColumn("no", F.monotonically_increasing_id())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, nos, counts, found = b.column(0).to_numpy(), b.column(1).to_numpy(), [], []
+            for h, w in zip(_rows(b.column(2)), _rows(b.column(3))):
+                kept = w > 0
+                found.append(np.unique(runs(h[kept], w[kept], least_words)[2]))
+                counts.append(len(found[-1]))
+            yield pa.record_batch([pa.array(np.repeat(ids, counts)), pa.array(np.repeat(nos, counts)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["id", "no", "run"])
+
+    held = settle(texts.select("id", "no", "h", "w").mapInArrow(keys, "id bigint, no bigint, run bigint"))
+    owners = settle(held.groupBy("run").agg(F.min(F.struct("id", "no")).alias("owner"), F.count("*").alias("holders")).filter("holders > 1").select("run", "owner.no"))
+    pairs = held.join(owners.withColumnRenamed("no", "owner"), "run").filter("no <> owner").select("no", "owner").distinct()
+    later = settle(pairs).join(texts.select("no", "h", "w"), "no")
+    earlier = texts.select(F.col("no").alias("owner"), F.col("h").alias("h0"), F.col("w").alias("w0"))
+    both = later.join(earlier, "owner").select("no", "h", "w", "h0", "w0")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cuts = [], []
             # Row by row: a whole batch as Python lists would hold an often-linked document's lines many times.
-            for k, (h, w, h0) in enumerate(zip(*(_rows(c) for c in batch.columns[1:]))):
-                cut = [n for a, z in blocks(patience(h0, h)) if sum(w[a:z]) >= least_words for n in range(a, z)]
-                if cut:
+            for k, (h, w, h0, w0) in enumerate(zip(*(_rows(c) for c in batch.columns[1:]))):
+                lines, earlier = np.flatnonzero(w), w0 > 0
+                cut = lines[common_lines(h0[earlier], w0[earlier], h[lines], w[lines], least_words)]
+                if len(cut):
                     at.append(k)
-                    cuts.append(cut)
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), pa.array(cuts, pa.list_(pa.int32()))], ["me", "cut"])
+                    cuts.append(cut.astype(np.int32))
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), pa.array(cuts, pa.list_(pa.int32()))], ["no", "cut"])
+
+    cut = both.mapInArrow(align, "no bigint, cut array<int>").groupBy("no").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    found = texts.join(cut, "no", "left").filter("cut is not null or n > 1")
+
+    def blanks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = []
+            for w, said in zip(_rows(b.column(2)), b.column(3)):
+                gone = np.zeros(len(w), bool)
+                if said.is_valid:
+                    gone[said.values.to_numpy()] = True
+                    # A blank line fares like the line with words before it, or after it at the top.
+                    lines = np.flatnonzero(w)
+                    gone = gone[lines[np.maximum(np.searchsorted(lines, np.arange(len(w)), side="right") - 1, 0)]]
+                cuts.append(gone if said.is_valid else None)
+            total = [int(w.sum()) >= least_words for w in _rows(b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.bool_())), pa.array(total, pa.bool_())], ["fingerprint", "first", "gone", "long"])
 
-    found = both.mapInArrow(align, "me struct<id:bigint,fingerprint:string>, cut array<int>").groupBy("me").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    total = F.aggregate("w", F.lit(0), lambda s, x: s + x)
-    out = kinds.select("me", "n", total.alias("words")).join(found, "me", "left").filter("cut is not null or n > 1")
-    return out.select("me.id", "me.fingerprint", "cut", (F.col("words") >= least_words).alias("long"))
+    return found.select("fingerprint", F.col("id").alias("first"), "w", "cut").mapInArrow(blanks, "fingerprint string, first bigint, gone array<boolean>, long boolean")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:
     """All columns of docs with deleted lines gone from the text, and n_lines, n_cut (lines before, and deleted).
 
-    Later means a greater id (long). Equal texts of ``least_words`` words or more: all but the first lose every line. Rows with a null id or
-    text stay as they are, with n_lines null for a null text; rows with equal ids and texts are one document and fare alike;
-    an empty table gives an empty result. Columns named n_lines, n_cut or starting with _ are replaced.
+    A line with words goes if it is in a block of consecutive lines (blank ones left out) with ``least_words`` words or more that a document of a
+    lesser id (long) has too; a blank line fares like the line before it. Equal texts of so many words: all but the first lose every line.
+    Rows with a null id or text stay as they are, with n_lines null for a null text; rows with equal ids and texts are one document and fare alike, and of different texts with
+    equal ids one counts as the later; an empty table gives an empty result. Columns named n_lines or n_cut are replaced, others kept.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_cut") and not c.startswith("_")]
-    rows = docs.select(*columns, F.md5(F.col(text_col)).alias("_print"), F.monotonically_increasing_id().alias("_row"))
-    keyed = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    known = rows.filter(keyed).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("_print").alias("fingerprint"))
-    gone = settle(deletions(known, least_words)).select(F.col("id").alias("_first"), F.col("fingerprint").alias("_fingerprint"), F.col("cut").alias("_cut"), F.col("long").alias("_long"))
-    joined = rows.join(gone, F.col("_print") == F.col("_fingerprint"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    copy = F.coalesce(F.col("_long") & (F.col(id_col) > F.col("_first")), F.lit(False))
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_cut", k)), "\n")
-    n_lines = F.size(lines)
-    text = F.when(~keyed | F.col("_first").isNull(), F.col(text_col)).when(copy, "").when(F.col("_cut").isNull(), F.col(text_col)).otherwise(left)
-    n_cut = F.when(~keyed | F.col("_first").isNull(), 0).when(copy, n_lines).otherwise(F.coalesce(F.size("_cut"), F.lit(0)))
-    out = joined.withColumns({"n_lines": F.when(F.col(text_col).isNotNull(), n_lines), "n_cut": F.when(F.col(text_col).isNotNull(), F.greatest(n_cut, F.lit(0)))})
-    return out.withColumn(text_col, text).select(*columns, "n_lines", "n_cut")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
+    inner = {c: f"c{k}" for k, c in enumerate(columns)}  # names that can't clash
+    id_, text_ = inner[id_col], inner[text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()]).withColumn("print", F.md5(F.col(text_)))
+    keyed = F.col(id_).isNotNull() & F.col(text_).isNotNull()
+    known = rows.filter(keyed).select(F.col(id_).cast("long").alias("id"), F.col(text_).alias("text"), F.col("print").alias("fingerprint"))
+    gone = settle(deletions(known, least_words)).withColumnRenamed("fingerprint", "print")
+    joined = rows.join(gone, "print", "left")
+    lines = F.split(F.col(text_), "\n")
+    copy = F.coalesce(F.col("long") & (F.col(id_) > F.col("first")), F.lit(False))
+    left = F.array_join(F.filter(lines, lambda x, k: ~F.get("gone", k)), "\n")
+    n_lines = F.when(F.col(text_).isNotNull(), F.size(lines))
+    touched = keyed & F.col("first").isNotNull()
+    text = F.when(~touched, F.col(text_)).when(copy, "").when(F.col("gone").isNull(), F.col(text_)).otherwise(left)
+    n_cut = F.when(~touched, 0).when(copy, F.size(lines)).otherwise(F.coalesce(F.size(F.filter("gone", lambda x: x)), F.lit(0)))
+    out = joined.withColumns({"n_lines": n_lines, "n_cut": F.when(F.col(text_).isNotNull(), n_cut), text_: text})
+    return out.select(*[F.col(x).alias(c) for c, x in inner.items()], "n_lines", "n_cut")

@@ -163,6 +163,77 @@ def test_line_dedup(spark):
     assert lines.line_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def lines_brute(rows, least=20):
+    """id -> text: lines with words go that a common block of an earlier text holds, all pairs of texts compared line by line."""
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(t, i)
+    out = {}
+    for i, t in rows:
+        every = t.split("\n")
+        words = [len(x.split()) for x in every]
+        if first[t] < i and sum(words) >= least:
+            out[i] = ""
+            continue
+        at = [k for k, n in enumerate(words) if n]
+        mine, gone = [every[k].rstrip(" ") for k in at], set()
+        for o, j in first.items():
+            other = [x.rstrip(" ") for x in o.split("\n") if x.split()] if j < first[t] else []
+            for p in range(len(mine)):
+                for q in range(len(other)):
+                    if (p and q and mine[p - 1] == other[q - 1]) or mine[p] != other[q]:
+                        continue
+                    e = 0
+                    while p + e < len(mine) and q + e < len(other) and mine[p + e] == other[q + e]:
+                        e += 1
+                    if sum(words[at[k]] for k in range(p, p + e)) >= least:
+                        gone |= {at[k] for k in range(p, p + e)}
+        before = lambda k: max((x for x in at if x <= k), default=at[0] if at else -1)
+        out[i] = "\n".join(x for k, x in enumerate(every) if before(k) not in gone)
+    return out
+
+
+def deduped(spark, rows):
+    return {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_line_dedup_loses_no_passage(spark):
+    a, b, c, d, p, q = (" ".join(f"{x}{k}" for k in range(n)) for x, n in zip("abcdpq", (8, 8, 8, 8, 60, 50)))
+    short = [" ".join(f"s{x}w{k}" for k in range(6)) for x in range(12)]
+    # Lines whose earliest holders are spread over other documents, in one block of two later ones.
+    spread = [(k + 1, x) for k, x in enumerate((a, b, c, d))] + [(5, "\n".join((a, b, c, d))), (6, "\n".join(("start", a, b, c, d)))]
+    # A passage twice in a document; two passages in another order; short lines against a long one.
+    twice = [(11, "\n".join(("x", p, "y", p, "z"))), (12, "\n".join(("u", p, "v"))), (13, "\n".join(("k", p, "l", p, "m")))]
+    moved = [(21, "\n".join([q, *short])), (22, "\n".join([*short, q])), (23, "\n".join([short[0], q, short[1]]))]
+    rows = spread + twice + moved
+    found = deduped(spark, rows)
+    assert found == lines_brute(rows)
+    assert found[6] == "start" and found[12] == "u\nv" and found[13] == "k\nl\nm" and found[22] == "" and found[23] == f"{short[0]}\n{short[1]}"
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [" ".join(f"l{i}w{k}" for k in range(rng.choice([3, 5, 9, 14, 25]))) for i in range(14)] + ["", "", "  "]
+    rows = []
+    for i in range(120):
+        kept = [rng.choice(pool) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 12))]
+        if rows and rng.random() < 0.6:
+            old = rng.choice(rows)[1].split("\n")
+            k = rng.randrange(len(old))
+            kept[rng.randint(0, len(kept)) : 0] = old[k : k + rng.randint(1, 8)]
+        rows.append((rng.randrange(10**6), "\n".join(kept)))
+    rows = list(dict(rows).items())
+    assert deduped(spark, rows) == lines_brute(rows)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(" ".join(f"w{j}x{k}" for k in range(30)) for j in range(3))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 5, 6, 7, 8)], "doc_id bigint, text string, c0 int, print int, _row int, `a.b` int")
+    out = lines.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_cut"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, text, 1, 2, 3, 4, 3, 0), (2, "", 5, 6, 7, 8, 3, 3)]
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = []
