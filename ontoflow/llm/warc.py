@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import settle, shared_dir
+from ._common import remove, settle, shared_dir
 
 #: Records in a file at most; a reader task holds one file at a time.
 FILE_RECORDS = 1500
@@ -160,9 +160,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, with_payload: bool = Fals
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, least_bytes=least_bytes)
     records = settle(read_records(spark, path, with_payload))
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, path)
     return captures(records)
 
 
