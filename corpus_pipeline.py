@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoflow.llm import decontaminate, language, lines, packing, simhash
-from ontoflow.llm._common import shared_dir, table
+from ontoflow.llm._common import remove, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete blocks of lines that an earlier document has; a document that loses every line goes."""
     out = lines.line_dedup(docs).filter("n_cut = 0 or n_cut < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more) stays."""
+    """Of each group that links join (five-word shingles, a Jaccard similarity of 0.8 or more) the document of the least id stays."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
@@ -50,9 +51,11 @@ ORACLE_SQL = None  # learned models, XXH64 fingerprints and BPE are beyond SQL;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet into the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet into the shared folder and read again, and removed once the next one is written."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
