@@ -255,15 +255,20 @@ class _Links:
         known = self.component.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
         return rows.join(known, F.col("id") == F.col("_node"), "left").withColumn("c", F.coalesce("_c", "id")).drop("_node", "_c")
 
-    def apart(self, shared: DataFrame, block: int) -> DataFrame:
-        """Pairs (a, b) with a common t in shared (t, id) that no component holds yet, as far as their histograms allow the similarity.
+    def apart(self, shared: DataFrame, few: int, block: int) -> DataFrame:
+        """Pairs (a, b) with a common t in shared (t, id, n) that no component holds yet, as far as sizes allow the similarity.
 
-        The texts of a t are dealt into blocks of about ``block``, which are held against each other by twos. A component with more texts
-        has blocks of its own, and these aren't held against each other: near copies of one text cost nothing here.
+        A t of ``few`` texts or less names their pairs. The texts of others are dealt into blocks of about ``block``, which are held against each
+        other by twos. A component with more texts has blocks of its own, and these aren't held against each other: near copies of one text cost nothing here.
         """
-        at = settle(self.mark(shared.select("t", "id")))
-        several = at.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("t")
-        at = settle(at.join(several, "t", "left_semi"))
+        at = settle(self.mark(shared.select("t", "id", "n")))
+        several = at.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low <> high")
+        at = settle(at.join(several.select("t", "m"), "t"))
+        one, two = (at.filter(F.col("m") <= few).select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+        pairs = one.join(two, "t").filter("a < b and ca <> cb").filter(F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb") - 1e-6).select("a", "b").distinct()
+        return pairs.union(self._blocks(at.filter(F.col("m") > few).select("t", "id", "c"), block)).distinct()
+
+    def _blocks(self, at: DataFrame, block: int) -> DataFrame:
         sizes = settle(at.groupBy("t", "c").agg(F.count("*").alias("m")))
         rest = sizes.filter(F.col("m") <= block).groupBy("t").agg(F.sum("m").alias("rest"))
         sizes = sizes.join(rest, "t", "left").select("t", "c", "m", F.coalesce("rest", F.lit(0)).alias("rest"))
@@ -300,16 +305,16 @@ class _Links:
                     a, b = np.concatenate(a), np.concatenate(b)
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        return tiles.select("no", "no2", *lists, *[f"{x}2" for x in lists]).mapInArrow(compare, f"a {self.kind}, b {self.kind}").distinct()
+        return tiles.select("no", "no2", *lists, *[f"{x}2" for x in lists]).mapInArrow(compare, f"a {self.kind}, b {self.kind}")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 200_000, block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 200_000, few: int = 16, block: int = 512) -> DataFrame:
     """The rows of docs, all their columns, with one row of each group of near-duplicates: that of the least id (an integer).
 
     Rows link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and a group is what links join.
     Candidates come first from the covering tables of the shingles' SimHash (``radius`` bits), then, for links that are further apart, from an
     exact prefix filter, so that no link is missed; each is verified on the whole sets. ``most`` bounds the list of frequent shingles that
-    the prefixes avoid, and ``block`` the rows that a task holds against others; neither changes the result.
+    the prefixes avoid, ``few`` the texts of a shingle whose pairs are named, and ``block`` the texts that a task holds against others; none changes the result.
 
     Null and blank texts are alike. Rows with a null id stay; rows that share an id fare alike; an empty table stays empty; other columns, whatever their names, are kept.
     """
@@ -368,12 +373,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     typical = F.struct((F.col("size") - F.col("k")).alias("u"), "id")
     counts = shared.groupBy("id").agg(F.count("*").alias("k"))
     heads = shared.join(settle(counts), "id").groupBy("t").agg(F.min(typical).alias("head")).select("t", F.col("head.id").alias("head"))
-    marked = found.mark(shared.select("t", "id").join(settle(heads), "t").filter("id <> head"))
+    others = settle(shared.select("t", "id", "n").join(settle(heads), "t").filter("id <> head"))
+    marked = found.mark(others.select("id", "head").distinct())
     marked = found.mark(marked.select(F.col("id").alias("other"), F.col("c").alias("c1"), F.col("head").alias("id"))).filter("c <> c1")
     found.add(settle(marked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()))
 
-    # Whatever shares a shingle and still isn't in one component.
-    found.add(settle(found.apart(shared, block)))
+    # Whatever else shares a shingle and still isn't in one component.
+    found.add(settle(found.apart(others, few, block)))
     gone = copies.union(found.component.filter("node > component").select("node"))
     name = "id"
     while name in docs.columns:

@@ -110,8 +110,8 @@ def test_keep_one_against_brute_force(spark):
             base = copy if i % 3 == 0 else base
     rows += [(k, " ".join(common)) for k in range(3)] + [(10, ""), (11, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for most, block in ((200_000, 512), (0, 4)):
-        kept = {r.doc_id for r in simhash.keep_one(docs, most=most, block=block).collect()}
+    for most, few, block in ((200_000, 16, 512), (0, 2, 4)):
+        kept = {r.doc_id for r in simhash.keep_one(docs, most=most, few=few, block=block).collect()}
         assert kept == keep_brute(rows)
 
 
