@@ -221,16 +221,30 @@ def _histograms(column: pa.Array) -> np.ndarray:
 class _Links:
     """Pairs of texts whose sets have a Jaccard similarity, and the components they make, found in steps.
 
-    sets has id, n, s (the set) and h (its histogram).
+    rows has id and text, sizes has id, n (members of the set), h (its histogram) and first (its prefix).
     """
 
-    def __init__(self, sets: DataFrame, similarity: float):
-        self.sets, self.similarity, self.kind = sets, similarity, sets.schema["id"].dataType.simpleString()
+    def __init__(self, rows: DataFrame, sizes: DataFrame, words: int, similarity: float):
+        self.rows, self.sizes, self.words, self.similarity = rows, sizes, words, similarity
+        self.kind = rows.schema["id"].dataType.simpleString()
         self.found = self.component = None
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, s: the shingle sets of the texts of ids (settled: few, as only likely pairs need them)."""
+        ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+        words = self.words
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
+                    yield pa.record_batch([part.column(0), pa.array([shingle_set(x.as_py(), words) for x in part.column(1)], pa.list_(pa.int64()))], ["id", "s"])
+
+        return settle(self.rows.join(ids, "id", "left_semi").mapInArrow(whole, f"id {self.kind}, s array<bigint>"))
+
     def likely(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those whose sizes and histograms allow the similarity."""
-        side = lambda x: self.sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+        """Of pairs (a, b) those whose sizes, histograms and prefixes allow the similarity; settled."""
+        side = lambda x: self.sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb") - 1e-6)
         similarity = self.similarity
 
@@ -239,12 +253,19 @@ class _Links:
                 able = may_reach(similarity, _histograms(x.column(3)), x.column(2).to_numpy(), _histograms(x.column(5)), x.column(4).to_numpy())
                 yield pa.record_batch([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(able))
 
-        return both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(keep, f"a {self.kind}, b {self.kind}")
+        able = settle(both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(keep, f"a {self.kind}, b {self.kind}"))
+        # What two prefixes share bounds what the sets share: the prefix that ends first misses only the rest of its set.
+        side = lambda x: self.sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"))
+        both = able.join(side("a"), "a").join(side("b"), "b")
+        most = F.size(F.array_intersect("fa", "fb")) + F.greatest(F.col("na") - F.size("fa"), F.col("nb") - F.size("fb"))
+        return settle(both.filter(most >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b"))
 
     def add(self, pairs: DataFrame) -> None:
         """Compare the whole sets of pairs (a, b), and join those alike into components."""
-        side = lambda x: self.sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
-        both = settle(self.likely(pairs)).join(side("a"), "a").join(side("b"), "b")
+        pairs = self.likely(pairs)
+        sets = self.sets(settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         meet = F.size(F.array_intersect("sa", "sb"))
         alike = both.filter(meet >= F.lit(self.similarity) * (F.size("sa") + F.size("sb") - meet)).select("a", "b")
         self.found = settle(alike if self.found is None else self.found.union(alike))
@@ -275,7 +296,7 @@ class _Links:
         own = F.col("m") > block
         among = lambda x, n: F.pmod(F.xxhash64(x), F.greatest(F.ceil(F.col(n) / block), F.lit(1))).cast("int")
         at = at.join(sizes, ["t", "c"]).select("t", "id", "c", F.when(own, F.col("c")).alias("g"), F.when(own, among("id", "m")).otherwise(among("c", "rest")).alias("k"))
-        at = at.join(self.sets.select("id", "n", "h"), "id")
+        at = at.join(self.sizes.select("id", "n", "h"), "id")
         blocks = at.groupBy("t", "g", "k").agg(*[F.collect_list(x).alias(f"{x}s") for x in ("id", "c", "n", "h")])
         blocks = settle(blocks).withColumn("no", F.monotonically_increasing_id())
         one, two = blocks.select("t", "g", "no").alias("x"), blocks.select("t", "g", "no").alias("y")
@@ -326,7 +347,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                keys, fps, sizes, first = [], [], [], []
+                keys, fps, sizes, first, classes = [], [], [], [], []
                 for x in part.column(1):
                     said = _words(x.as_py())
                     hashes = shingle_hashes(said, words)
@@ -335,18 +356,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                     fps.append(hashed_fingerprint(hashes))
                     sizes.append(len(parts))
                     first.append(prefix(parts, similarity, *known.value))
-                columns = [part.column(0), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, ["id", "key", "fp", "n", "first"])
-
-    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                sets = [shingle_set(x.as_py(), words) for x in part.column(1)]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64())), pa.array([histogram(s).tobytes() for s in sets], pa.binary())]
-                yield pa.record_batch(columns, ["id", "n", "s", "h"])
+                    classes.append(histogram(parts).tobytes())
+                columns = [part.column(0), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(classes, pa.binary())]
+                yield pa.record_batch(columns, ["id", "key", "fp", "n", "first", "h"])
 
-    base = settle(rows.mapInArrow(sketches, f"id {kind}, key binary, fp bigint, n int, first array<bigint>"))
+    base = settle(rows.mapInArrow(sketches, f"id {kind}, key binary, fp bigint, n int, first array<bigint>, h binary"))
     # Texts of equal words are one from the start.
     firsts = settle(base.groupBy("key").agg(F.min("id").alias("least")))
     copies = base.select("id", "key").join(firsts, "key").filter("id > least").select("id")
@@ -362,21 +376,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     same = kinds.join(fps, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
     near = links(fps, radius).withColumnsRenamed({"a": "fa", "b": "fb"}).distinct()
     near = near.join(fps.withColumnsRenamed({"fp": "fa"}), "fa").join(fps.select(F.col("fp").alias("fb"), F.col("a").alias("b")), "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = settle(same.union(near))
-
-    ids = settle(shared.select("id").union(near.select("a")).union(near.select("b")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    found = _Links(settle(rows.join(ids, "id", "left_semi").mapInArrow(wholes, f"id {kind}, n int, s array<bigint>, h binary")), similarity)
-    found.add(near)
+    near = same.union(near)
 
+    found = _Links(rows, kinds.select("id", "n", "h", "first"), words, similarity)
     # Each shared shingle's most typical text (the fewest shingles of its own), held against the others that have it.
     typical = F.struct((F.col("size") - F.col("k")).alias("u"), "id")
     counts = shared.groupBy("id").agg(F.count("*").alias("k"))
     heads = shared.join(settle(counts), "id").groupBy("t").agg(F.min(typical).alias("head")).select("t", F.col("head.id").alias("head"))
     others = settle(shared.select("t", "id", "n").join(settle(heads), "t").filter("id <> head"))
-    marked = found.mark(others.select("id", "head").distinct())
-    marked = found.mark(marked.select(F.col("id").alias("other"), F.col("c").alias("c1"), F.col("head").alias("id"))).filter("c <> c1")
-    found.add(settle(marked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()))
+    star = others.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    found.add(settle(near.union(star).distinct()))
 
     # Whatever else shares a shingle and still isn't in one component.
     found.add(settle(found.apart(others, few, block)))
