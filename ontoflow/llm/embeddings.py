@@ -1,10 +1,10 @@
 """Operator 8: embedding near-duplicates by int8 tile products with rigorous error bounds.
 
-Equal vectors of a label are one representative. Representatives are dealt into blocks by their projection
-on a fixed direction; two unit vectors of cosine t or more are sqrt(2 - 2t) apart at most, and so are their
-projections, so block pairs further apart are skipped. A tile multiplies the int8 codes of two blocks; with
-x = x^ + e, the true product differs from that of the codes by |x^||f| + |e||y^| + |e||f| at most. Only pairs
-that may reach the threshold within this bound are computed in double precision.
+Equal vectors of a label are one representative. Representatives are quantised once, and cut into blocks of equal numbers in order of their
+projection on a fixed direction (ties by id); two unit vectors of cosine t or more are sqrt(2 - 2t) apart at most, and so are their
+projections, so block pairs further apart are skipped. Only int8 codes travel to the tiles. A tile multiplies the codes of two blocks; with
+x = x^ + e, the true product differs from that of the codes by |x^||f| + |e||y^| + |e||f| at most. Pairs above the threshold by more than
+this bound are links, pairs below it by more are none, and only the rest is computed in double precision from the vectors themselves.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ._common import settle
 from ._graph import components, forest
@@ -29,32 +31,83 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.linalg.norm(decoded, axis=1), np.linalg.norm(x - decoded, axis=1) + 1e-12
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index arrays (i, j) of rows of a and b (doubles) whose cosine is at least the threshold."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one (by their greatest component first, so that nothing overflows)."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    def unit(x):
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    ua, ub = unit(a), unit(b)
-    qa, sa, na, ea = quantise(ua)
-    qb, sb, nb, eb = quantise(ub)
+def tile_pairs(a: tuple, b: tuple, threshold: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index arrays (i, j) of rows of two quantised blocks whose cosine may reach the threshold, and whether it surely does."""
+    (qa, sa, na, ea), (qb, sb, nb, eb) = a, b
     # Products of int8 codes are exact in float32 up to 1040 dimensions, and in float64 beyond.
-    kind = np.float32 if 127 * 127 * a.shape[1] < 2**24 else np.float64
-    qb = qb.astype(kind).T
-    for k in range(0, len(a), tile):
-        part = slice(k, k + tile)
-        product = (qa[part].astype(kind) @ qb).astype(np.float64) * (sa[part, None] * sb)
-        bound = na[part, None] * eb + ea[part, None] * nb + ea[part, None] * eb
-        i, j = np.nonzero(product + bound >= threshold - 1e-9)
-        for c in range(0, len(i), 1 << 16):
-            p, q = i[c : c + (1 << 16)] + k, j[c : c + (1 << 16)]
-            true = np.einsum("nd,nd->n", ua[p], ub[q]) >= threshold
-            yield p[true], q[true]
+    kind = np.float32 if 127 * 127 * qa.shape[1] < 2**24 else np.float64
+    turned = qb.astype(kind).T
+    for k in range(0, len(qa), rows):
+        part = slice(k, k + rows)
+        product = (qa[part].astype(kind) @ turned).astype(np.float64) * (sa[part, None] * sb)
+        bound = na[part, None] * eb + ea[part, None] * nb + ea[part, None] * eb + 1e-9
+        i, j = np.nonzero(product + bound >= threshold)
+        yield i + k, j, product[i, j] - bound[i, j] >= threshold
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _projected(kinds: DataFrame) -> DataFrame:
+    """kinds with dim and p, the projection of the unit vector v on a fixed direction of signs."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(b.schema.get_field_index("v"))
+            size, p = pc.list_value_length(v).to_numpy(), np.zeros(b.num_rows)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                sign = np.random.default_rng(dim).choice([-1.0, 1.0], dim)
+                p[at] = unit(_matrix(v.take(pa.array(at)), dim)) @ sign / math.sqrt(dim)
+            yield pa.record_batch([*b.columns, pa.array(size, pa.int32()), pa.array(p)], [*b.schema.names, "dim", "p"])
+
+    return kinds.mapInArrow(project, StructType([*kinds.schema.fields, StructField("dim", IntegerType()), StructField("p", DoubleType())]))
+
+
+def _blocks(kinds: DataFrame, block: int) -> DataFrame:
+    """no, label, dim, low, high, ks, reps, ns, codes, scales, norms, errors: a row for each block of ``block`` representatives at most.
+
+    Rows are dealt by ranges of (label, dim, projection, id), so that neither a hot label nor equal projections meet in one task.
+    """
+    order = ["label", "dim", "p", "k"]
+    sorted_ = kinds.select(*order, "rep", "n", "v").repartitionByRange(*order).sortWithinPartitions(*order)
+    names = ["label", "dim", "low", "high", "ks", "reps", "ns", "codes", "scales", "norms", "errors"]
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        held = pa.Table.from_batches(parts).combine_chunks()
+        dim, p = held.column("dim")[0].as_py(), held.column("p").to_numpy()
+        sides = quantise(unit(_matrix(held.column("v").chunk(0), dim)))
+        lists = [pa.array([held.column(x).to_numpy()], pa.list_(pa.int64())) for x in ("k", "rep", "n")]
+        raw = [pa.array([x.tobytes()], pa.binary()) for x in sides]
+        return pa.record_batch([held.column("label").chunk(0)[:1], pa.array([dim], pa.int32()), pa.array([p.min()]), pa.array([p.max()]), *lists, *raw], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, have, key = [], 0, None
+        for b in batches:
+            label, dim = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+            ends = [*(np.flatnonzero((label[1:] != label[:-1]) | (dim[1:] != dim[:-1])) + 1).tolist(), b.num_rows]
+            at = 0
+            while at < b.num_rows:
+                new = (b.column(0)[at].as_py(), int(dim[at]))
+                if parts and (new != key or have == block):
+                    yield flush(parts)
+                    parts, have = [], 0
+                key, end = new, min(next(e for e in ends if e > at), at + block - have)
+                parts.append(b.slice(at, end - at))
+                have, at = have + end - at, end
+        if parts:
+            yield flush(parts)
+
+    label = kinds.schema["label"].dataType.simpleString()
+    schema = f"label {label}, dim int, low double, high double, ks array<bigint>, reps array<bigint>, ns array<bigint>, codes binary, scales binary, norms binary, errors binary"
+    return settle(sorted_.mapInArrow(cut, schema)).withColumn("no", F.monotonically_increasing_id())
 
 
 def near_duplicates(
@@ -72,55 +125,70 @@ def near_duplicates(
     Vectors of different dimensions don't link. Repeated rows are different vectors, linked with each other; vectors
     that share an id share its links. An empty table gives an empty result; other columns are not read.
     """
-    spark = vectors.sparkSession
     v = F.col("v")
     sound = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     good = rows.filter("sound").select("vec_id", "label", "v")
-    # A fixed direction of signs; the projection of a unit vector on it.
-    sign = F.transform(v, lambda x, i: F.when(F.hash(i).bitwiseAND(F.lit(1)) == 0, x.cast("double")).otherwise(-x.cast("double")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    projected = F.aggregate(sign, F.lit(0.0), lambda s, x: s + x) / norm / F.sqrt(F.size(v).cast("double"))
-    kinds = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    kinds = settle(kinds.select("label", "v", "rep", "n", F.size("v").alias("dim"), F.coalesce(projected, F.lit(0.0)).alias("p")))
-    sizes = {(r["label"], r["dim"]): r["n"] for r in kinds.groupBy("label", "dim").agg(F.count("*").alias("n")).filter(F.col("n") > block).collect()}  # n / block rows at most
-    if sizes:
-        most = -(-max(sizes.values()) // block)
-        cuts = kinds.groupBy("label", "dim").agg(F.percentile_approx("p", [k / most for k in range(1, most)], max(10_000, 20 * most)).alias("cuts"))
-        kinds = kinds.join(settle(cuts), ["label", "dim"]).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col("p")))).drop("cuts")
-    else:
-        kinds = kinds.withColumn("block", F.lit(0))
-    blocks = settle(kinds.groupBy("label", "dim", "block").agg(F.collect_list("v").alias("vs"), F.collect_list("rep").alias("reps"), F.collect_list("n").alias("ns"), F.min("p").alias("low"), F.max("p").alias("high")))
+    kinds = good.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("n"))
+    # Each kind of vector has a number of its own, as vectors may share an id.
+    kinds = settle(_projected(kinds)).withColumn("k", F.monotonically_increasing_id())
+    blocks = _blocks(kinds, block)
     reach = math.sqrt(2 - 2 * threshold) + 1e-6
-    ends = blocks.select("label", "dim", "block", "low", "high")
-    other = ends.select(F.col("label").alias("l2"), F.col("dim").alias("d2"), F.col("block").alias("block2"), F.col("low").alias("low2"))
-    pairs = ends.join(other, (F.col("label") == F.col("l2")) & (F.col("dim") == F.col("d2")) & (F.col("block") <= F.col("block2")) & (F.col("low2") <= F.col("high") + reach))
-    side = blocks.select("label", "dim", "block", "vs", "reps", "ns")
-    other = side.select("label", "dim", F.col("block").alias("block2"), F.col("vs").alias("vs2"), F.col("reps").alias("reps2"), F.col("ns").alias("ns2"))
-    tiles = pairs.select("label", "dim", "block", "block2").join(side, ["label", "dim", "block"]).join(other, ["label", "dim", "block2"])
-    tiles = tiles.select("block", "block2", "vs", "reps", "ns", "vs2", "reps2", "ns2")
+    ends = blocks.select("label", "dim", "no", "low", "high")
+    other = ends.select("label", "dim", F.col("no").alias("no2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = ends.join(other, ["label", "dim"]).filter((F.col("no") <= F.col("no2")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
+    side = ["dim", "ks", "reps", "ns", "codes", "scales", "norms", "errors"]
+    tiles = pairs.select("no", "no2").join(blocks.select("no", *side), "no").join(blocks.select(F.col("no").alias("no2"), *[F.col(x).alias(f"{x}2") for x in side]), "no2")
+
+    def coded(batch: pa.RecordBatch, r: int, first: int) -> tuple:
+        dim = batch.column(first)[r].as_py()
+        codes, *rest = (batch.column(first + k)[r].as_buffer() for k in range(4, 8))
+        return np.frombuffer(codes, np.int8).reshape(-1, dim), *(np.frombuffer(x) for x in rest)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                one, two, va, ra, ca, vb, rb, cb = (c[k] for c in batch.columns)
-                same = one.as_py() == two.as_py()
-                ra, rb = np.array(ra.as_py()), np.array(rb.as_py())
-                ca, cb = np.array(ca.as_py()), np.array(cb.as_py())
+            for r in range(batch.num_rows):
+                ka, ra, ca, kb, rb, cb = (batch.column(k)[r].values.to_numpy() for k in (3, 4, 5, 11, 12, 13))
+                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
                 count: dict = {}
                 root: dict = {}
-                for i, j in near_pairs(_matrix(va.values), _matrix(vb.values), threshold):
+                a, b = [ka[:0]], [kb[:0]]
+                for i, j, sure in tile_pairs(coded(batch, r, 2), coded(batch, r, 10), threshold):
                     if same:
-                        i, j = i[i < j], j[i < j]
+                        i, j, sure = i[i < j], j[i < j], sure[i < j]
+                    a.append(ka[i[~sure]])
+                    b.append(kb[j[~sure]])
+                    i, j = i[sure], j[sure]
                     for at, n in ((ra[i], cb[j]), (rb[j], ca[i])):
                         who, where = np.unique(at, return_inverse=True)
                         for w, m in zip(who.tolist(), np.bincount(where, n).tolist()):
                             count[w] = count.get(w, 0) + int(m)
                     root = forest(ra[i].tolist(), rb[j].tolist(), root)
-                yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array([root[w] for w in root], pa.int64()), pa.array([count[w] for w in root], pa.int64())], ["rep", "root", "links"])
+                a, b, nodes = np.concatenate(a), np.concatenate(b), list(root)
+                found = np.concatenate([np.array(nodes, np.int64), a]), np.concatenate([np.array([root[w] for w in nodes], np.int64), b])
+                links = pa.array([count[w] for w in nodes] + [None] * len(a), pa.int64())
+                yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), links], ["rep", "root", "links"])
 
-    linked = settle(tiles.mapInArrow(link, "rep bigint, root bigint, links bigint"))
+    # Rows with links are what tiles are sure of (a tree of each tile's links, and their number by end); those without are doubtful pairs of numbers.
+    tiled = settle(tiles.select("no", "no2", *side, *[f"{x}2" for x in side]).mapInArrow(link, "rep bigint, root bigint, links bigint"))
+    doubtful = tiled.filter("links is null").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    end = lambda x: kinds.select(F.col("k").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Vectors of several dimensions may share a batch, but not a pair.
+            size = pc.list_value_length(batch.column(4)).to_numpy()
+            true = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                va, vb = (unit(_matrix(batch.column(k).take(pa.array(at)), dim)) for k in (4, 5))
+                true[at] = np.einsum("nd,nd->n", va, vb) >= threshold
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(true))
+
+    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").mapInArrow(verify, "ra bigint, rb bigint, na bigint, nb bigint")
+    checked = settle(checked)
+    linked = tiled.filter("links is not null").union(checked.select("ra", "rb", "nb")).union(checked.select("rb", "ra", "na"))
     graph = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
     found = graph.join(links, "node").select("node", "component", "links")

@@ -243,7 +243,7 @@ def test_embeddings_against_brute_force(spark):
             rows.append((len(rows), [float(x) for x in base + rng.normal(size=8) * 0.12 * c], int(i % 3)))
     rows += [(500, rows[0][1], 0), (501, [2 * x for x in rows[0][1]], 0), (502, rows[0][1], None), (503, None, 0), (504, [0.0] * 8, 0), (505, [float("nan")] * 8, 0), (506, [None] * 8, 0), (507, [], 0), (508, [1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    for block in (1024, 16):
+    for block in (1024, 16, 3):
         found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, block=block).collect()}
         good = [(i, np.array(v), g) for i, v, g in rows if i < 502]
         linked = [(a, b) for a, v, g in good for b, w, h in good if a != b and g == h and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98]
@@ -252,6 +252,22 @@ def test_embeddings_against_brute_force(spark):
         assert found == {i: (n[i], component[i], component[i] == i) for i in component}
 
 
+def test_embeddings_of_equal_projections_and_sizes_of_all_kinds(spark):
+    rng = np.random.default_rng(2)
+    rows = [[float(x) for x in np.eye(16)[i % 16] * 10.0 ** (i % 7 * 60 - 150)] for i in range(64)]  # one-hot, very small and very large
+    rows += [[float(x) for x in rng.choice([-1, 1], 16)] for _ in range(40)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows)] + [(200 + i, v[:15], 0) for i, v in enumerate(rows[:3])], "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, block=5).collect()}
+    scaled = np.array([np.array(v) / np.abs(v).max() for v in rows])
+    scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
+    linked = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and scaled[i] @ scaled[j] >= 0.98]
+    component = groups(range(len(rows)), linked)
+    assert {i: x for i, x in found.items() if i < 200} == {i: (sum(a == i for a, _ in linked), component[i]) for i in range(len(rows))}
+    # An id that several vectors share has the links of all of them.
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (3, [1.0, 0.01], 0)], "vec_id bigint, embedding array<double>, label int")
+    assert {r.component_id for r in embeddings.near_duplicates(twice).collect()} == {1}
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 64))
