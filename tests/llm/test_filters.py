@@ -138,6 +138,29 @@ def test_matrix_adds_up_and_is_unbiased():
     assert np.abs(total / 400 - np.outer(rows, shards) / 200).max() < 1.0
 
 
+def test_inversion_follows_the_law():
+    from math import comb
+
+    rng = np.random.default_rng(0)
+    for good, bad, n in ((7, 5, 6), (3, 40, 20), (30, 2, 31), (5, 5, 10), (1, 1, 1)):
+        seen = Counter(sharding.inversion(rng, good, bad, n) for _ in range(20_000))
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            p = comb(good, k) * comb(bad, n - k) / comb(good + bad, n)
+            assert abs(seen.pop(k, 0) / 20_000 - p) < 5 * (p * (1 - p) / 20_000) ** 0.5 + 1e-9
+        assert not seen
+
+
+def test_huge_matrices():
+    rng = np.random.default_rng(1)
+    good, bad, n = 10**10, 3 * 10**10, 10**9
+    draws = np.array([sharding.inversion(rng, good, bad, n) for _ in range(300)], np.float64)
+    deviation = (n * 0.25 * 0.75 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(draws.mean() - n / 4) < 4 * deviation / 300**0.5 and 0.85 < draws.std() / deviation < 1.15
+    rows, shards = [1_299_999_000, 2_700_000_000, 1000], [1_300_000_000, 1_350_000_000, 1_350_000_000]
+    m = sharding.communication_matrix(rows, shards, 3)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == shards and (m >= 0).all()
+
+
 def test_language_sample_counts_copies_once(spark):
     rows = [(f"text number {k} of the language", "aa") for k in range(70)] + [("one text that many rows repeat", "aa")] * 20_000 + [("autre chose", "bb")] * 3000
     out = language.samples(spark.createDataFrame(rows, "text string, lang string"), 24_000)
