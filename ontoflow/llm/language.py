@@ -3,11 +3,13 @@
 A suffix automaton of each language's labelled text tells where a longest match ends. A text is parsed from
 left to right into the longest phrases that occur in that language's text; a phrase costs about the logarithm
 of the reference's length, so phrases x log2(reference) / characters estimates the cross entropy. The language
-that needs least wins. Long texts are parsed in blocks, side by side; a phrase ends where its block ends.
+that needs least wins. Each language has an alphabet of its own, of all letters of its labelled text. Blocks of long texts are parsed side by side and
+then once more from the states in which their predecessors really end, so phrases cross blocks as in one pass.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -17,157 +19,216 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._bpe import slices
+
 UNKNOWN = "und"
-#: Symbols of a text after folding: 0 is a character that training never saw, 1 anything but a letter.
+#: Symbols of a text after folding: 0 is a letter that the language's text doesn't have, 1 anything but a letter.
 OTHER, BREAK = 0, 1
-BLOCK = 256
+BLOCK, WARM = 256, 48
+POINTS = 0x110000
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (state x symbol, -1 where none) of the automaton whose paths from state 0 spell the substrings of symbols."""
-    n = 2 * len(symbols) + 1
-    go = np.full((n, width), -1, np.int32)
-    link, length, used, last = [-1] * n, [0] * n, 1, 0
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state (symbol -> state) of the automaton whose paths from state 0 spell the substrings of symbols."""
+    go: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in symbols.tolist():
-        new, used = used, used + 1
-        length[new] = length[last] + 1
+        new = len(go)
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and go[p, c] < 0:
-            go[p, c] = new
+        while p >= 0 and c not in go[p]:
+            go[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(go[p, c])
+        if p >= 0:
+            q = go[p][c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                copy, used = used, used + 1
-                length[copy], link[copy] = length[p] + 1, link[q]
-                go[copy] = go[q]
-                while p >= 0 and go[p, c] == q:
-                    go[p, c] = copy
+                copy = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and go[p].get(c) == q:
+                    go[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return go[:used]
+    return go
+
+
+class Table:
+    """Transitions in one array, whatever the alphabet's size: those of state s and symbol c are at place base[s] + c, if that place is s's."""
+
+    def __init__(self, go: list[dict[int, int]], width: int):
+        self.base = np.zeros(len(go), np.int64)
+        places: dict[int, int] = {}  # place -> owner and next state in one number
+        free = end = width
+        # Wide states first, each at the first place that fits; states of one symbol fill the gaps.
+        for s in sorted(range(len(go)), key=lambda s: -len(go[s])):
+            if not go[s]:
+                continue
+            while free in places:
+                free += 1
+            least, at = min(go[s]), free
+            if len(go[s]) > 1:
+                offsets = [c - least for c in go[s]]
+                # Beyond some tries a state goes to the end, so that packing takes linear time.
+                for tries in range(50):
+                    if not any(at + o in places for o in offsets):
+                        break
+                    at += 1
+                else:
+                    at = end
+            self.base[s] = at - least
+            for c, to in go[s].items():
+                places[at - least + c] = s << 32 | to
+            end = max(end, at - least + max(go[s]) + 1)
+        self.place = np.full(end + width + 1, -1, np.int64)
+        self.place[list(places)] = list(places.values())
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        found = self.place[self.base[state] + c]
+        return np.where(found >> 32 == state, found & 0xFFFFFFFF, -1)
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point the lower-case letter that it stands for (itself where that has several characters), 0 for anything but letters."""
+    out = np.zeros(POINTS, np.uint32)
+    for point in range(POINTS):
+        c = chr(point)
+        if c.isalpha():
+            low = c.lower()
+            out[point] = ord(low) if len(low) == 1 else point
+    return out
 
 
-def fold(text: str, table: np.ndarray) -> np.ndarray:
-    """The symbols of a text: letters in lower case, runs of anything else as one BREAK."""
+def letters(text: str) -> np.ndarray:
+    """The letters of a text in lower case; runs of anything else as one 0."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = table[np.minimum(points, len(table) - 1)]
-    keep = s != BREAK
-    keep[1:] |= s[:-1] != BREAK
+    s = _letters()[points]
+    keep = s != 0
+    keep[1:] |= s[:-1] != 0
     return s[keep]
 
 
-def symbol_table(texts: list[str], most: int) -> tuple[np.ndarray, int]:
-    """A table from code point to symbol; the ``most`` most frequent letters of the texts have symbols of their own."""
-    kinds = np.full(0x10FFFF + 1, BREAK, np.uint8)
-    seen: dict[str, int] = {}
-    for text in texts:
-        for c in text:
-            if c.isalpha():
-                low = c.lower()
-                if len(low) == 1:
-                    seen[low] = seen.get(low, 0) + 1
-    chosen = sorted(seen, key=lambda c: (-seen[c], c))[:most]
-    own = {c: k + 2 for k, c in enumerate(chosen)}
-    for point in range(len(kinds)):
-        c = chr(point)
-        if c.isalpha():
-            kinds[point] = own.get(c.lower(), OTHER)
-    return kinds, len(chosen) + 2
-
-
-def phrases(blocks: np.ndarray, sizes: np.ndarray, go: np.ndarray) -> np.ndarray:
-    """The number of longest-match phrases of each block (columns of symbols x blocks, longest block first)."""
-    width = go.shape[1]
-    flat = go.ravel()
-    state, count = np.zeros(blocks.shape[1], np.int64), np.zeros(blocks.shape[1], np.int64)
+def parse(blocks: np.ndarray, sizes: np.ndarray, table: Table, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each block (columns of symbols x blocks, longest block first) parsed from the given states, and the states at its end."""
+    state, count = state.copy(), np.zeros(blocks.shape[1], np.int64)
     active = np.searchsorted(-sizes, -np.arange(len(blocks)), side="left")
     for k in range(len(blocks)):
         n = active[k]
         c = blocks[k, :n]
-        to = flat[state[:n] * width + c]
+        to = table.step(state[:n], c)
         ended = to < 0
         if ended.any():
             # The phrase before this symbol ends; one of the symbol alone begins, or ends too where it is unknown.
-            fresh = flat[c]
+            fresh = table.step(np.zeros(n, np.int64), c)
             count[:n] += ended & (state[:n] > 0)
             count[:n] += ended & (fresh < 0)
             to = np.where(ended, np.maximum(fresh, 0), to)
         state[:n] = to
-    return count + (state > 0)
+    return count, state
+
+
+def phrases(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first: np.ndarray, table: Table) -> np.ndarray:
+    """Phrases that end in each block of flat (blocks of a text follow each other; first marks each text's first), the last one of a text with its end."""
+
+    def run(begin: np.ndarray, sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count, end = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        for k in range(0, len(order), 16384):
+            at = order[k : k + 16384]
+            # Beyond a block's end anything may stand: it isn't read.
+            blocks = flat[np.minimum(begin[at] + np.arange(sizes[at].max(initial=0))[:, None], len(flat) - 1)]
+            count[at], end[at] = parse(blocks, sizes[at], table, state[at])
+        return count, end
+
+    # A block's start is guessed from the symbols before it, where phrases mostly fall into step.
+    warm = np.where(first, 0, WARM)
+    start = run(begin - warm, warm, np.zeros(len(begin), np.int64))[1]
+    count, end = run(begin, sizes, start)
+    while True:
+        # Blocks whose predecessor ends in another state are parsed again, until all agree.
+        real = np.where(first, 0, np.concatenate([[0], end[:-1]]))
+        at = np.flatnonzero(real != start)
+        if not len(at):
+            last = np.concatenate([first[1:], [True]])
+            return count + (last & (end > 0))
+        start[at] = real[at]
+        count[at], end[at] = run(begin[at], sizes[at], real[at])
 
 
 class Model:
-    """Automata of all languages over one alphabet."""
+    """A language's automaton and alphabet each."""
 
-    def __init__(self, samples: dict[str, list[str]], most: int = 62):
+    def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        self.table, width = symbol_table([t for x in samples.values() for t in x], most)
-        self.go, self.bits = [], []
+        self.symbols, self.tables, self.bits = [], [], []
         for language in self.languages:
-            symbols = np.concatenate([np.append(fold(t, self.table), BREAK) for t in samples[language]])
-            self.go.append(suffix_automaton(symbols, width))
-            self.bits.append(float(np.log2(len(symbols) + 1)))
+            said = np.concatenate([np.append(letters(t), 0) for t in samples[language]]).astype(np.uint32)
+            alphabet = np.unique(said[said > 0])
+            symbol = np.zeros(POINTS, np.uint16 if len(alphabet) < 65_000 else np.int32)
+            symbol[0] = BREAK
+            symbol[alphabet] = np.arange(len(alphabet)) + 2
+            self.symbols.append(symbol)
+            self.tables.append(Table(suffix_automaton(symbol[said]), len(alphabet) + 2))
+            self.bits.append(float(np.log2(len(said) + 1)))
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character (texts x languages), and whether a text has letters."""
-        folded = [fold(t, self.table) if t else np.zeros(0, np.uint8) for t in texts]
-        letters = np.array([bool((x != BREAK).any()) for x in folded], bool)
+        folded = [letters(t) if t else np.zeros(0, np.uint32) for t in texts]
+        has = np.array([bool(x.any()) for x in folded], bool)
         size = np.array([len(x) for x in folded], np.int64)
         pieces = -(-size // BLOCK)
         of = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         sizes = np.minimum(size[of] - nth * BLOCK, BLOCK)
         begin = (np.cumsum(size) - size)[of] + nth * BLOCK
-        order = np.argsort(-sizes, kind="stable")
-        sizes, begin, of = sizes[order], begin[order], of[order]
-        flat = np.concatenate([*folded, np.zeros(BLOCK, np.uint8)])
         out = np.zeros((len(texts), len(self.languages)))
-        for a in range(0, len(of), 16384):
-            z = slice(a, a + 16384)
-            blocks = flat[begin[z] + np.arange(sizes[z].max(initial=0))[:, None]]
-            for k, go in enumerate(self.go):
-                out[:, k] += np.bincount(of[z], phrases(blocks, sizes[z], go), len(texts)) * self.bits[k]
-        return out / np.maximum(size, 1)[:, None], letters
+        if len(of):
+            flat = np.concatenate(folded)
+            for k, (symbol, table) in enumerate(zip(self.symbols, self.tables)):
+                out[:, k] = np.bincount(of, phrases(symbol[flat], begin, sizes, nth == 0, table), len(texts)) * self.bits[k]
+        return out / np.maximum(size, 1)[:, None], has
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text, and its score: how far the next best one's cost is above the best, 0 to 1."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        cost, letters = self.costs(texts)
+        cost, has = self.costs(texts)
         best = cost.argmin(axis=1)
         two = np.partition(cost, 1, axis=1)[:, :2] if cost.shape[1] > 1 else np.hstack([cost, cost * 2])
-        score = np.where(letters, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0.0)
-        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, letters)], np.clip(score, 0.0, 1.0)
+        score = np.where(has, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0.0)
+        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, has)], np.clip(score, 0.0, 1.0)
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def samples(labelled: DataFrame, characters: int, piece: int = 400) -> dict[str, list[str]]:
+def samples(labelled: DataFrame, characters: int, piece: int = 400, most_languages: int = 1000) -> dict[str, list[str]]:
     """About ``characters`` of text for each language, in pieces of whole texts chosen by a hash of the text.
 
     labelled has text and lang, neither null. The hash's range is set by each language's number of distinct texts, so the
     driver gets about twice characters / piece pieces for a language, however large the corpus; equal texts count once.
-    Languages that still lack pieces are asked again with a wider range, up to all their texts.
+    Languages that still lack pieces are asked again with a wider range, up to all their texts. More than ``most_languages`` labels are an error.
     """
-    h = F.xxhash64("text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()}
+    spark, h = labelled.sparkSession, F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"over {most_languages} languages; clean the labels or raise most_languages")
     want = 2 * -(-characters // piece)
     shares = {language: min(1.0, want / max(n, 1)) for language, n in counts.items()}
     at = F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - piece + 1, F.lit(1))).cast("int") + 1
     out: dict[str, list[str]] = {}
     while shares:
-        share = F.lit(0.0)
-        for language, x in shares.items():
-            share = F.when(F.col("lang") == language, x).otherwise(share)
-        picked = labelled.withColumn("h", h).filter(F.col("h") / 2.0**64 + 0.5 < share).select("lang", "h", F.substr("text", at, F.lit(piece)).alias("t")).distinct().collect()
+        asked = F.broadcast(spark.createDataFrame(list(shares.items()), "lang string, share double"))  # a row for each language
+        picked = labelled.select("lang", "text", h.alias("h")).join(asked, "lang").filter(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
+        picked = picked.select("lang", "h", F.substr("text", at, F.lit(piece)).alias("t")).distinct().collect()
         out |= {language: [] for language in shares}
         for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["t"])):
             have = out[r["lang"]]
@@ -199,8 +260,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = _fitted(key, model.value)
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
+            for part in slices(b, at, 4 << 20):
                 language, score = fitted.predict(part.column(at).to_pylist())
                 yield pa.record_batch([*part.columns, pa.array(language, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 

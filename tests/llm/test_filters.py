@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from ontoflow.llm import decontaminate, language, sharding, urls, warc
 
@@ -85,8 +86,7 @@ def test_markov_is_a_distribution():
 
 def test_automaton_and_phrases_against_brute_force():
     rng = np.random.default_rng(0)
-    reference = "".join(map(str, rng.integers(1, 4, 60)))
-    go = language.suffix_automaton(np.array(list(map(int, reference))), 6)
+    reference = "".join(map(str, rng.integers(2, 5, 400)))
 
     def phrases(t):
         k = n = 0
@@ -97,12 +97,32 @@ def test_automaton_and_phrases_against_brute_force():
             k, n = max(e, k + 1), n + 1
         return n
 
-    texts = ["".join(map(str, rng.integers(1, 6, n))) for n in sorted(rng.integers(0, 50, 200), reverse=True)]
-    sizes = np.array([len(t) for t in texts])
-    table = np.zeros((sizes.max(), len(texts)), np.uint8)
-    for k, t in enumerate(texts):
-        table[: len(t), k] = list(map(int, t))
-    assert list(language.phrases(table, sizes, go)) == [phrases(t) for t in texts]
+    table = language.Table(language.suffix_automaton(np.array(list(map(int, reference)))), 7)
+    # Short texts, texts of many blocks, and parts of the reference itself, whose phrases are longer than blocks.
+    texts = ["".join(map(str, rng.integers(2, 7 if k % 3 else 5, n))) for k, n in enumerate(rng.integers(1, 60, 100))]
+    texts += ["".join(map(str, rng.integers(2, 5, 3000))), reference * 5, reference[7:300] + reference[1:399], "2" * 2000]
+    flat = np.array(list(map(int, "".join(texts))), np.uint16)
+    size = np.array([len(t) for t in texts])
+    pieces = -(-size // language.BLOCK)
+    of = np.repeat(np.arange(len(texts)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    found = language.phrases(flat, (np.cumsum(size) - size)[of] + nth * language.BLOCK, np.minimum(size[of] - nth * language.BLOCK, language.BLOCK), nth == 0, table)
+    assert np.bincount(of, found).astype(int).tolist() == [phrases(t) for t in texts]
+
+
+def test_scripts_of_many_letters(spark):
+    rng = random.Random(2)
+    ranges = {"el": (0x3B1, 24), "ru": (0x430, 32), "ja": (0x3041, 80), "ko": (0xAC00, 900), "zh": (0x4E00, 2000), "hi": (0x905, 50), "ar": (0x628, 30)}
+    words = {g: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(2, 7))) for _ in range(300)] for g, (a, n) in ranges.items()}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.choice([8, 30, 400]))), g) for i in range(420) for g in [list(ranges)[i % 7]]]
+    found = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [found[i] for i, _, _ in rows] == [g for _, _, g in rows]
+
+
+def test_too_many_labels_are_an_error(spark):
+    rows = spark.range(30).selectExpr("'some text' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="over 20 languages"):
+        language.samples(rows, 100, most_languages=20)
 
 
 def test_language_identification(spark):
