@@ -172,7 +172,7 @@ def token_pieces(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _bpe.Encoder(_bpe.Library(path))
+        encoder = _bpe.encoder(path)
         for whole in batches:
             for b in _bpe.slices(whole, 1):
                 flat, n = encoder.encode(_bpe.strings(b.column(1)))

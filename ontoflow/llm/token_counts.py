@@ -1,9 +1,10 @@
 """Operator 4: token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of the corpus's most frequent space-led pre-tokens with their token lengths. It
-comes from a frequent-items sketch over all texts (only sketches move, no pre-token is shuffled), holds at
-most ``table_size`` entries whatever the corpus's size, and is broadcast. Tier two is a bounded cache in
-each Python worker for all other pre-tokens. Both tiers only save work: every count is the library's.
+Tier one is a compact hash table from the corpus's most frequent pieces (what stands between spaces: a pre-token, or a few) to their numbers of tokens. The pieces
+come from a frequent-items sketch over all texts (only sketches move, no pre-token is shuffled); the table holds at
+most ``table_size`` entries of 10 bytes whatever the corpus's size, and is broadcast. Tier two is a bounded cache in
+each Python worker, which encodes what the table lacks and serves all tasks of the worker. Both tiers only save work: every count is the library's, unless two
+different pieces share a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int
     words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("w"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
     items = 2 * table_size
     sketches = words.filter(f"length(w) <= {_bpe.LONGEST}").groupBy("part").agg(F.expr(f"approx_top_k_accumulate(w, {items})").alias("s"))
-    # Sketches merge in two steps: the last one has 64 of them, however many tasks there are.
-    # A group, as an aggregate without one fails on a task that has no rows.
-    top = sketches.groupBy(F.pmod("part", F.lit(1))).agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("t"))
+    # Sketches merge in a tree of eights; a group at the top too, as an aggregate without one fails on a task that has no rows.
+    for parts in (8, 1):
+        sketches = sketches.groupBy(F.pmod("part", F.lit(parts)).alias("part")).agg(F.expr(f"approx_top_k_combine(s, {items})").alias("s"))
+    top = sketches.select(F.expr(f"approx_top_k_estimate(s, {table_size})").alias("t"))
     found = top.select(F.expr("transform(t, x -> x.item)").alias("t")).first()
     return list((found and found.t) or [])
 
@@ -46,15 +48,16 @@ def token_counts(
     """
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seed = spark.sparkContext.broadcast(frequent_pretokens(docs, "text", table_size))
+    frequent = [w for w in frequent_pretokens(docs, "text", table_size) if w]
+    table = spark.sparkContext.broadcast(_bpe.Lengths(frequent, _bpe.Library(path)))  # table_size entries at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _bpe.Encoder(_bpe.Library(path), seed.value)
+        encoder = _bpe.encoder(path)
         for whole in batches:
             for b in _bpe.slices(whole, 1):
                 texts = _bpe.strings(b.column(1))
                 size = pc.binary_length(texts).cast(pa.int64())
-                yield pa.record_batch([b.column(0), size, pa.array(encoder.lengths(texts))], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.record_batch([b.column(0), size, pa.array(encoder.lengths(texts, table.value))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")

@@ -8,17 +8,18 @@ import pyarrow as pa
 from ontoflow.llm import _bpe, packing, token_counts
 from ontoflow.llm._common import tokenizer_path
 
-ALPHABET = ["a", "b", "Z", "é", "ß", "1", "²", " ", " ", "\n", "\t", "'", "'s", "'ll", "!", "\x85", "\xa0", "\x1c", "<|endoftext|>", "<|", "ɏ", "日", "\x00", "ª", "·", "İ", "\r", "the", " of"]
+ALPHABET = ["a", "b", "Z", "é", "ß", "1", "²", " ", " ", "\n", "\t", "'", "'s", "'ll", "!", "\x85", "\xa0", "\x1c", "<|endoftext|>", "<|", "ɏ", "日", "\x00", "ª", "·", "İ", "\r", "the", " of", "  ", " \n", "\u3000", "\u2019", "\u200b", "\u2028", "中文字", "x" * 70]
 DOCS = [(1, "the cat sat"), (2, None), (3, ""), (4, "x " * 3000), (5, "the cat sat"), (None, "a\n\nb  c <|endoftext|> d"), (7, "日本 ünder")]
 
 
 def test_encoder_is_the_library():
     library, rng = _bpe.Library(tokenizer_path()), random.Random(5)
-    encoder = _bpe.Encoder(library, ["the", "of", "a"])
-    for _ in range(20):
+    encoder, table = _bpe.Encoder(library), _bpe.Lengths(["the", "of", "a", "日", "b\n"], library)
+    encoder.MOST = 3000
+    for _ in range(30):
         texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(200)]
         ids, n = encoder.encode(pa.array(texts))
-        assert list(encoder.lengths(pa.array(texts))) == list(n)
+        assert list(encoder.lengths(pa.array(texts))) == list(n) == list(encoder.lengths(pa.array(texts), table))
         at = np.cumsum(n) - n
         assert [list(ids[a : a + k]) for a, k in zip(at, n)] == [library.text(t) for t in texts]
 
