@@ -1,8 +1,9 @@
 """Operator 7: packing by the linear grouping scheme.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, large lengths
-are sorted, cut into groups of equal cardinality and rounded up to each group's longest; configurations of
-these few sizes are optimised group by group; actual lengths take the places of the rounded ones; small
+are sorted, cut into a few groups of equal cardinality and rounded up to each group's longest; how often each configuration of
+these few sizes is used is optimised by a linear program whose columns are generated as they pay; actual lengths take the places of the rounded ones, the last
+place of a sequence the longest that its room takes; small
 lengths go best-fit into what room is left. The outcome is a table of runs (length, ranks from-to, sequences,
 offset) whose size depends on ``capacity`` alone; it is broadcast and each piece finds its place by its rank
 among pieces of its length.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +26,94 @@ from . import _bpe
 from ._common import settle, tokenizer_path
 
 
-def grouped(histogram: dict[int, int], smallest: int, groups: int) -> list[list]:
-    """Lengths from ``smallest`` on as groups of equal cardinality, longest first: [rounded length, pieces, [[length, pieces], ...]]."""
+#: Groups of rounded lengths; the part of a sequence that a configuration may leave empty once actual lengths are in its places.
+GROUPS, WASTE = 24, 2000
+
+
+def grouped(histogram: dict[int, int], smallest: int, groups: int) -> list[tuple[int, int]]:
+    """(rounded length, pieces) of groups of equal cardinality of the lengths from ``smallest`` on, longest first; each piece is rounded up to its group's longest."""
     large = sorted(((s, n) for s, n in histogram.items() if s >= smallest and n), reverse=True)
     per = -(-sum(n for _, n in large) // groups) if large else 1
-    out: list[list] = []
-    room = 0
+    out: dict[int, int] = {}
+    seen, top = 0, 0
     for s, n in large:
         while n:
-            if not out or room == 0:
-                room = per
-                if not out or out[-1][0] != s:  # groups that round to the same length are one
-                    out.append([s, 0, []])
-            take = min(n, room)
-            room -= take
-            out[-1][1] += take
-            out[-1][2].append([s, take])
-            n -= take
-    return out
+            if seen % per == 0:
+                top = s
+            take = min(n, per - seen % per)
+            out[top] = out.get(top, 0) + take  # groups that round to the same length are one
+            seen, n = seen + take, n - take
+    return sorted(out.items(), reverse=True)
+
+
+def _best_value(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The greatest value of sizes (any number of each) that fit, and how many of each."""
+    best, by = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        fits = sizes <= room
+        if fits.any():
+            got = np.where(fits, values + best[np.maximum(room - sizes, 0)], -1)
+            k = int(got.argmax())
+            if got[k] > best[room] + 1e-12:
+                best[room], by[room] = got[k], k
+    used, room = np.zeros(len(sizes), np.int64), capacity
+    while room > 0:
+        if by[room] < 0:
+            room -= 1
+        else:
+            used[by[room]] += 1
+            room -= int(sizes[by[room]])
+    return float(best[capacity]), used
+
+
+def configurations(groups: list[tuple[int, int]], capacity: int, most_rounds: int = 2000) -> list[tuple[list[int], int]]:
+    """(number of each group in a sequence, number of such sequences) that hold all groups' pieces.
+
+    The linear program of fewest sequences over all configurations, solved with a basis of as many columns as there are groups; the best new
+    column fills a sequence with the dual values. Its numbers are rounded down, and what is left goes configuration by configuration, fullest first.
+    """
+    if not groups:
+        return []
+    sizes, need = (np.array([g[k] for g in groups]) for k in (0, 1))
+    basis = np.diag(capacity // sizes).astype(float)
+    times = need / np.diag(basis)
+    for _ in range(most_rounds):  # stopping early only costs sequences
+        dual = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        value, new = _best_value(sizes, dual, capacity)
+        if value <= 1 + 1e-9:
+            break
+        change = np.linalg.solve(basis, new.astype(float))
+        able = change > 1e-9
+        if not able.any():
+            break
+        ratio = np.where(able, np.maximum(times, 0) / np.where(able, change, 1), np.inf)
+        out = int(ratio.argmin())
+        times = times - ratio[out] * change
+        times[out] = ratio[out]
+        basis[:, out] = new
+    found, left = [], need.copy()
+    for k in np.argsort(-(sizes @ basis)):
+        used = basis[:, k].astype(np.int64)
+        n = min(int(times[k] + 1e-6), *(int(left[g]) // int(used[g]) for g in np.flatnonzero(used)))
+        if n > 0:
+            found.append((used.tolist(), n))
+            left -= used * n
+    return found + _filled([(int(s), int(n)) for s, n in zip(sizes, left)], capacity)
+
+
+def _filled(sizes: list[tuple[int, int]], capacity: int) -> list[tuple[list[int], int]]:
+    """(number of each size in a sequence, number of such sequences) of sizes (length, pieces; longest first), each sequence as full as can be."""
+    lengths, left, found, first = [s for s, _ in sizes], [n for _, n in sizes], [], 0
+    while first < len(lengths):
+        if not left[first]:
+            first += 1
+            continue
+        used = _fullest(lengths, left, first, capacity)
+        n = min(left[g] // u for g, u in enumerate(used) if u)
+        found.append((used, n))
+        left = [x - u * n for x, u in zip(left, used)]
+    return found
 
 
 def _fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> list[int]:
@@ -68,54 +140,56 @@ def _fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> li
     return used
 
 
-def configurations(groups: list[list], capacity: int) -> list[tuple[list[int], int]]:
-    """(number of each group in a sequence, number of such sequences), until all groups are used up."""
-    sizes, left, out = [g[0] for g in groups], [g[1] for g in groups], []
-    first = 0
-    while first < len(sizes):
-        if not left[first]:
-            first += 1
-            continue
-        used = _fullest(sizes, left, first, capacity)
-        times = min(left[k] // u for k, u in enumerate(used) if u)
-        for k, u in enumerate(used):
-            left[k] -= u * times
-        out.append((used, times))
-    return out
+def _substituted(large: dict[int, int], groups: list[tuple[int, int]], capacity: int, waste: int) -> list[list]:
+    """Runs [sequences, room left, [(length, pieces in each), ...]] of configurations with actual lengths in their places; takes them out of large.
+
+    A place gets the longest length left that isn't above its rounded size, the last place of a sequence the longest that fits at all; sequences
+    that would leave more room than ``waste`` aren't made.
+    """
+    there, runs = sorted(s for s, n in large.items() if n), []
 
+    def longest(limit: int, held: dict[int, int]) -> int:
+        for k in range(bisect_right(there, limit) - 1, -1, -1):
+            if large[there[k]] > held.get(there[k], 0):
+                return there[k]
+        return 0
 
-def plan(histogram: dict[int, int], capacity: int, smallest: int | None = None, groups: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows (length, rank from, rank to, first sequence, pieces of that length in each sequence, offset of the first)."""
-    smallest, groups = smallest or max(1, capacity // 5), groups or 4 * capacity
-    large = grouped(histogram, smallest, groups)
-    runs: list[list] = []  # [sequences, room left, [(length, pieces in each), ...]]
-    for used, times in configurations(large, capacity):
-        slots = [k for k, u in enumerate(used) for _ in range(u)]
-        while times:
-            n, held = times, []
-            # As long as no group's next actual length changes, sequences are alike.
-            need: dict[int, int] = {}
-            for k in slots:
-                need[k] = need.get(k, 0) + 1
-            for k, u in need.items():
-                s, there = large[k][2][0]
-                n = min(n, there // u)
-            if n:
-                for k, u in need.items():
-                    held.append((large[k][2][0][0], u))
-                    large[k][2][0][1] -= u * n
-            else:  # one sequence across the change
-                n = 1
-                for k in slots:
-                    while not large[k][2][0][1]:
-                        large[k][2].pop(0)
-                    held.append((large[k][2][0][0], 1))
-                    large[k][2][0][1] -= 1
-            for k in need:
-                while large[k][2] and not large[k][2][0][1]:
-                    large[k][2].pop(0)
-            runs.append([n, capacity - sum(s * u for s, u in held), held])
+    for used, times in configurations(groups, capacity):
+        places = [groups[k][0] for k, u in enumerate(used) for _ in range(u)]
+        while times and there:
+            held: dict[int, int] = {}
+            room = capacity
+            for k, size in enumerate(places):
+                s = longest(room if k + 1 == len(places) else size, held)
+                if s:
+                    held[s] = held.get(s, 0) + 1
+                    room -= s
+            while s := longest(room, held):  # rounding has left room for another
+                held[s] = held.get(s, 0) + 1
+                room -= s
+            if room > waste:
+                break
+            # As long as none of these lengths runs out, sequences are alike.
+            n = min(times, *(large[s] // u for s, u in held.items()))
+            for s, u in held.items():
+                large[s] -= u * n
+            there = [s for s in there if large[s]]
+            runs.append([n, room, sorted(held.items(), reverse=True)])
             times -= n
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int, smallest: int | None = None, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows (length, rank from, rank to, first sequence, pieces of that length in each sequence, offset of the first)."""
+    smallest = smallest or max(1, capacity // 5)
+    large = {s: n for s, n in histogram.items() if s >= smallest and n}
+    runs: list[list] = []
+    runs += _substituted(large, grouped(large, smallest, groups), capacity, capacity // WASTE)
+    # What found no place in a nearly full sequence goes without rounding, fullest sequence first.
+    rest = sorted(((s, n) for s, n in large.items() if n), reverse=True)
+    for used, times in _filled(rest, capacity):
+        held = [(rest[k][0], u) for k, u in enumerate(used) if u]
+        runs.append([times, capacity - sum(s * u for s, u in held), held])
     room: list[list] = [[] for _ in range(capacity + 1)]
     for run in runs:
         room[run[1]].append(run)
@@ -200,7 +274,7 @@ def token_pieces(
     return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", groups: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", groups: int = GROUPS) -> DataFrame:
     """The pieces with sequence_id and offset; pieces of ``capacity`` or more fill a sequence of their own.
 
     Lengths must be positive. Sequence numbers have gaps; an empty table gives an empty result; a column
