@@ -84,6 +84,43 @@ def test_markov_is_a_distribution():
         assert seen < 1 + 1e-9 and abs(seen + (8 - len(chars)) * np.exp(m.log_p(context, "q")) - 1) < 1e-9
 
 
+def test_urls_against_brute_force(spark):
+    rng = random.Random(9)
+    good, bad = ["docs", "wiki", "about", "news"], ["casino", "win", "xxx", "loan"]
+    host = lambda words, end: ".".join(rng.choice(words) for _ in range(2)) + end
+    rows = [(f"http://{host(good, '.com')}/{rng.choice(good)}{rng.randrange(9)}") for _ in range(60)] + [f"https://{host(bad, '.net')}/{rng.choice(['es', 'fr'])}/{rng.choice(bad)}" for _ in range(60)]
+    rows += [f"http://{host(good + bad, '.org')}/{rng.choice(good + bad)}?q" for _ in range(60)] + [None, "", "no scheme", "http://é.org/ü"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    found = {r.page_id: r for r in urls.judge(pages, order=2).collect()}
+    ruled = sorted({(r.verdict, r.host + r.path) for r in found.values() if r.rule})
+    held = {t for (t,) in spark.createDataFrame(ruled, "v string, t string").filter("pmod(xxhash64(43, t), 4) = 0").select("t").collect()}
+    learn = {v: ["\x02\x02" + t + "\x03" for w, t in ruled if w == v and t not in held] for v in ("allow", "block")}
+
+    def log_p(texts, context, char):
+        p = 1 / 256
+        for n in range(3):
+            tail = context[2 - n :]
+            after = Counter(t[k] for t in texts for k in range(2, len(t)) if t[k - n : k] == tail)
+            if not after:
+                break
+            p = (after[char] + len(after) * p) / (after.total() + len(after))
+        return np.log(p)
+
+    def score(text):
+        t = "\x02\x02" + text + "\x03"
+        return np.mean([log_p(learn["allow"], t[k - 2 : k], t[k]) - log_p(learn["block"], t[k - 2 : k], t[k]) for k in range(2, len(t))])
+
+    known = [(score(t), v == "allow") for v, t in ruled if t in held]
+    balanced = lambda x: sum(s >= x for s, g in known if g) / sum(g for _, g in known) + sum(s < x for s, g in known if not g) / sum(not g for _, g in known)
+    best, unruled = max(balanced(s) for s, _ in known), [r for r in found.values() if not r.rule]
+    assert len(found) == len(rows) and len(unruled) == 64
+    for r in unruled:
+        assert abs(r.score - score(r.host + r.path)) < 1e-9
+    # One threshold parts them, and it is one of the best.
+    low, high = max([r.score for r in unruled if r.verdict == "block"], default=-9), min([r.score for r in unruled if r.verdict == "allow"], default=9)
+    assert low < high and any(low < x <= high and balanced(x) == best for x in [s for s, _ in known] + [high])
+
+
 def test_automaton_and_phrases_against_brute_force():
     rng = np.random.default_rng(0)
     reference = "".join(map(str, rng.integers(2, 5, 400)))
