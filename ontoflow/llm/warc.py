@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ._common import remove, settle, shared_dir
 
-#: Records in a file at most; a reader task holds one file at a time.
-FILE_RECORDS = 1500
+#: Bytes of a file before compression, about: a reader task holds one file at a time. Pages of one of these classes (bytes of the payload, at most) share files,
+#: so that their number bounds a file's size; a longer page's records have files of their own.
+FILE_BYTES = 96 << 20
+CLASSES = (1 << 17, 1 << 21)
 #: Digests of payloads that repeat are broadcast up to so many (about 100 bytes each), and joined by shuffle beyond.
 MOST_BROADCAST = 1_000_000
 EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
@@ -58,8 +60,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     counts as the smallest. The pages must come in the same order when read again, as files do.
     """
     clean = F.regexp_replace(F.col(url_col), r"[\r\n]+", " ")
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), clean.alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    pages = pages.withColumns({"digest": base32_sha1(F.col("html")), "n": F.octet_length("html")})
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), clean.alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), base32_sha1(F.coalesce(F.col(html_col), F.lit(""))).alias("digest"), F.octet_length(F.coalesce(F.col(html_col), F.lit(""))).alias("n"))
+    # The rows' numbers must be the same below and in the records, whatever the pages come from.
+    pages = settle(pages).withColumn("row", F.monotonically_increasing_id())
     me = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "row", "page_id")
     same = pages.select("digest", "n", me.alias("me")).filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("me").alias("first"), F.count("*").alias("copies"))
     same = settle(same.filter("copies > 1").select(F.col("digest").alias("_digest"), "first"))
@@ -80,8 +83,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _record(F.lit("metadata"), metadata, "application/warc-fields", fields, target, _header("WARC-Concurrent-To", response), date=date),
     )
     # A text file's line is a record here, and what ends it is what ends a record.
-    out = pages.select(F.explode(records).alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rank = F.size(F.filter(F.array(*[F.lit(x) for x in CLASSES]), lambda x: x < F.col("n")))
+    for k in sorted(r["k"] for r in pages.select(rank.alias("k")).distinct().collect()):  # len(CLASSES) + 1 numbers at most
+        out = pages.filter(rank == k).select(F.explode(records).alias("value"))
+        # A page has three records, and only one of them holds the payload.
+        most = 3 * max(1, FILE_BYTES // (CLASSES[k] + 4096)) if k < len(CLASSES) else 3
+        out.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    if pages.isEmpty():
+        pages.selectExpr("'' as value").write.mode("append").text(path)
 
 
 def _inflate(raw: bytes) -> bytes:
@@ -118,9 +127,12 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split(" ") for x in _RECORD.split(", "))])
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+
         for b in batches:
             for file in b.column(0):
-                out = []
+                out, held = [], 0
                 for h, block in parse(_inflate(file.as_py())):
                     kind, digest, size, fields, payload = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, None
                     if kind == "metadata":
@@ -133,8 +145,12 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                             payload = body if with_payload else None
                         elif kind == "revisit":
                             size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
+                    if held > 16 << 20:
+                        yield batch(out)
+                        out, held = [], 0
+                    held += 1000 + len(payload or b"")
                     out.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, size, fields, payload))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+                yield batch(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(rows, _RECORD)

@@ -67,6 +67,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_long_and_shuffled_pages(spark, tmp_path):
+    html = {i: f"<p>{i % 5}</p>" if i % 3 else "x" * (40_000 * (i % 7) + i % 2) for i in range(60)} | {99: "long " * 2_000_000}
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in html.items()], "page_id bigint, url string, html string")
+    found = {r.page_id: r for r in warc.digests(warc.round_trip(pages.orderBy("html").repartition(5))).collect()}
+    last = {t: max(i for i, u in html.items() if u == t) for t in html.values()}
+    assert {i: (r.payload_bytes, r.refers_to) for i, r in found.items()} == {i: (len(t), last[t] if last[t] != i else None) for i, t in html.items()}
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert max(len(warc._inflate(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")) < 11 << 20
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_url_rules(spark):
     rows = [(1, "https://WWW.Example.COM/en/1?q"), (2, "http://m.example.com/en/"), (3, "http://x.net/es/a#b"), (4, "http://shop.com"), (5, "http://shop.com/"), (6, None), (7, "no scheme"), (8, "a://b?x://y/"), (9, "http://notexample.com/en/")]
     found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
