@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, settle
 
 ANCHOR = 4
 #: The set of windows is broadcast up to so many rows (about 100 bytes each); a larger benchmark joins by shuffle.
@@ -79,7 +79,7 @@ def find_windows(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
 
     docs has _row, doc_id and w, items has item_id and w (arrays of words).
     """
-    grams = windows(items, n).persist()
+    grams = settle(windows(items, n))
     found = None
     for k in sorted(r["k"] for r in grams.select("k").distinct().collect()):  # n rows at most
         docs = docs.withColumn(f"_near{k}", _near(grams, k))
@@ -116,18 +116,12 @@ def contamination(
         F.collect_set(F.when(hit, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("k")).alias("to")))).alias("ranges"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
-    # Ranges sorted and merged, then measured.
-    merged = F.aggregate(
-        F.array_sort("ranges"),
-        F.array().cast("array<struct<from:int,to:int>>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["to"] >= x["from"]),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["from"].alias("from"), F.greatest(F.element_at(out, -1)["to"], x["to"]).alias("to")))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    per = per.withColumn("spans", merged)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    per = per.withColumns({"n_hit": n_hit, "n_words": F.col("n_words").cast("long")})
+    # Every hit word once, in order; a span begins and ends where a neighbour isn't hit.
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform("ranges", lambda x: F.sequence(x["from"], x["to"] - 1)))))
+    per = per.withColumn("hits", hits).withColumns({"n_hit": F.size("hits").cast("long"), "n_words": F.col("n_words").cast("long")})
+    first = F.filter("hits", lambda x, k: (k == 0) | (F.get("hits", k - 1) != x - 1))
+    last = F.transform(F.filter("hits", lambda x, k: F.coalesce(F.get("hits", k + 1) != x + 1, F.lit(True))), lambda x: x + 1)
+    per = per.withColumn("spans", F.arrays_zip(first.alias("from"), last.alias("to")))
     return per.select(
         "doc_id",
         "n_words",
