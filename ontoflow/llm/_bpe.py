@@ -13,9 +13,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: All that some library may take for white space; a space before one of these is no place to cut.
 BLANK = " \t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
@@ -97,7 +97,7 @@ class Library:
 
 def hashes(pieces: list[str]) -> np.ndarray:
     """64-bit hashes of pieces, the same in every worker."""
-    return pd.util.hash_array(np.array(pieces, object), categorize=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
 
 
 class Lengths:
@@ -122,7 +122,7 @@ class Lengths:
 class Encoder:
     """Encodes Arrow string arrays; the ids of pieces are kept up to a bound of entries and of bytes, long pieces never."""
 
-    MOST, MOST_BYTES = 300_000, 16 << 20
+    MOST, MOST_BYTES = 150_000, 8 << 20
 
     def __init__(self, library: Library):
         self.library = library
@@ -207,7 +207,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``most`` bytes of text at most (one longer text is a run of its own)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     k = 0

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES, _BATCH = 16_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +34,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) with batches of BATCH_BYTES at most, and memory given back after each task.
+
+    Workers serve many tasks, next to the heap of their executor: what one task no longer needs must not stay with the next.
+    """
+    conf = df.sparkSession.conf
+    size = conf.get(_BATCH, "64m").lower().rstrip("b")
+    if int(size.rstrip("kmg") or 0) << {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0) > BATCH_BYTES:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever Spark keeps it."""
     sc = spark.sparkContext

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ._common import settle
+from ._common import map_batches, settle
 from ._graph import components, forest
 
 
@@ -68,7 +68,7 @@ def _projected(kinds: DataFrame) -> DataFrame:
                 p[at] = unit(_matrix(v.take(pa.array(at)), dim)) @ sign / math.sqrt(dim)
             yield pa.record_batch([*b.columns, pa.array(size, pa.int32()), pa.array(p)], [*b.schema.names, "dim", "p"])
 
-    return kinds.mapInArrow(project, StructType([*kinds.schema.fields, StructField("dim", IntegerType()), StructField("p", DoubleType())]))
+    return kinds.transform(map_batches, project, StructType([*kinds.schema.fields, StructField("dim", IntegerType()), StructField("p", DoubleType())]))
 
 
 def _blocks(kinds: DataFrame, block: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _blocks(kinds: DataFrame, block: int) -> DataFrame:
 
     label = kinds.schema["label"].dataType.simpleString()
     schema = f"label {label}, dim int, low double, high double, ks array<bigint>, reps array<bigint>, ns array<bigint>, codes binary, scales binary, norms binary, errors binary"
-    return settle(sorted_.mapInArrow(cut, schema)).withColumn("no", F.monotonically_increasing_id())
+    return settle(sorted_.transform(map_batches, cut, schema)).withColumn("no", F.monotonically_increasing_id())
 
 
 def near_duplicates(
@@ -171,7 +171,7 @@ def near_duplicates(
                 yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), links], ["rep", "root", "links"])
 
     # Rows with links are what tiles are sure of (a tree of each tile's links, and their number by end); those without are doubtful pairs of numbers.
-    tiled = settle(tiles.select("no", "no2", *side, *[f"{x}2" for x in side]).mapInArrow(link, "rep bigint, root bigint, links bigint"))
+    tiled = settle(tiles.select("no", "no2", *side, *[f"{x}2" for x in side]).transform(map_batches, link, "rep bigint, root bigint, links bigint"))
     doubtful = tiled.filter("links is null").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     end = lambda x: kinds.select(F.col("k").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
 
@@ -186,7 +186,7 @@ def near_duplicates(
                 true[at] = np.einsum("nd,nd->n", va, vb) >= threshold
             yield batch.select([0, 1, 2, 3]).filter(pa.array(true))
 
-    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").mapInArrow(verify, "ra bigint, rb bigint, na bigint, nb bigint")
+    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").transform(map_batches, verify, "ra bigint, rb bigint, na bigint, nb bigint")
     checked = settle(checked)
     linked = tiled.filter("links is not null").union(checked.select("ra", "rb", "nb")).union(checked.select("rb", "ra", "na"))
     graph = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ._bpe import slices
+from ._common import map_batches
 
 UNKNOWN = "und"
 #: Symbols of a text after folding: 0 is a letter that the language's text doesn't have, 1 anything but a letter.
@@ -260,12 +261,12 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = _fitted(key, model.value)
         for b in batches:
-            for part in slices(b, at, 4 << 20):
+            for part in slices(b, at, 1 << 20):
                 language, score = fitted.predict(part.column(at).to_pylist())
                 yield pa.record_batch([*part.columns, pa.array(language, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(predict, schema)
+    return docs.transform(map_batches, predict, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", characters: int = 24_000) -> DataFrame:

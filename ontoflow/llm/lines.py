@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import map_batches, settle
 
 #: Odd multiplier of the runs' polynomial hash, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -158,7 +158,7 @@ def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
                 counts.append(len(found[-1]))
             yield pa.record_batch([pa.array(np.repeat(ids, counts)), pa.array(np.repeat(nos, counts)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["id", "no", "run"])
 
-    held = settle(texts.select("id", "no", "h", "w").mapInArrow(keys, "id bigint, no bigint, run bigint"))
+    held = settle(texts.select("id", "no", "h", "w").transform(map_batches, keys, "id bigint, no bigint, run bigint"))
     owners = settle(held.groupBy("run").agg(F.min(F.struct("id", "no")).alias("owner"), F.count("*").alias("holders")).filter("holders > 1").select("run", "owner.no"))
     pairs = held.join(owners.withColumnRenamed("no", "owner"), "run").filter("no <> owner").select("no", "owner").distinct()
     later = settle(pairs).join(texts.select("no", "h", "w"), "no")
@@ -177,7 +177,7 @@ def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
                     cuts.append(cut.astype(np.int32))
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), pa.array(cuts, pa.list_(pa.int32()))], ["no", "cut"])
 
-    cut = both.mapInArrow(align, "no bigint, cut array<int>").groupBy("no").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cut = both.transform(map_batches, align, "no bigint, cut array<int>").groupBy("no").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     found = texts.join(cut, "no", "left").filter("cut is not null or n > 1")
 
     def blanks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def deletions(docs: DataFrame, least_words: int = 20) -> DataFrame:
             total = [int(w.sum()) >= least_words for w in _rows(b.column(2))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.bool_())), pa.array(total, pa.bool_())], ["fingerprint", "first", "gone", "long"])
 
-    return found.select("fingerprint", F.col("id").alias("first"), "w", "cut").mapInArrow(blanks, "fingerprint string, first bigint, gone array<boolean>, long boolean")
+    return found.select("fingerprint", F.col("id").alias("first"), "w", "cut").transform(map_batches, blanks, "fingerprint string, first bigint, gone array<boolean>, long boolean")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:

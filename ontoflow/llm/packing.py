@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _bpe
-from ._common import settle, tokenizer_path
+from ._common import map_batches, settle, tokenizer_path
 
 
 #: Groups of rounded lengths; the part of a sequence that a configuration may leave empty once actual lengths are in its places.
@@ -271,7 +271,7 @@ def token_pieces(
                 yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
+    return docs.transform(map_batches, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", groups: int = GROUPS) -> DataFrame:

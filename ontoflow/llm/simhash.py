@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import map_batches, settle
 from ._graph import components, forest
 
 BITS = 64
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, n: int, seed: int) -> DataFrame:
             fp = np.array([fingerprint(x.as_py(), n, seed) for x in b.column(1)], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.transform(map_batches, compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def _pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,7 +114,7 @@ def links(fps: DataFrame, radius: int, hot: int = 2048) -> DataFrame:
                         b.append(r)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return tables.select("fps").mapInArrow(link, "a bigint, b bigint")
+    return tables.select("fps").transform(map_batches, link, "a bigint, b bigint")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -189,7 +189,7 @@ def _common(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndar
                 yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["t"])
 
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text").distinct()
-    top = some.mapInArrow(each, "t bigint").groupBy("t").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
+    top = some.transform(map_batches, each, "t bigint").groupBy("t").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "t").limit(most).toArrow()
     t, n = (top.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(t)
     return t[order], n[order]
@@ -240,7 +240,7 @@ class _Links:
                     part = b.slice(k, 256)
                     yield pa.record_batch([part.column(0), pa.array([shingle_set(x.as_py(), words) for x in part.column(1)], pa.list_(pa.int64()))], ["id", "s"])
 
-        return settle(self.rows.join(ids, "id", "left_semi").mapInArrow(whole, f"id {self.kind}, s array<bigint>"))
+        return settle(self.rows.join(ids, "id", "left_semi").transform(map_batches, whole, f"id {self.kind}, s array<bigint>"))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose sizes, histograms and prefixes allow the similarity; settled."""
@@ -253,7 +253,7 @@ class _Links:
                 able = may_reach(similarity, _histograms(x.column(3)), x.column(2).to_numpy(), _histograms(x.column(5)), x.column(4).to_numpy())
                 yield pa.record_batch([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(able))
 
-        able = settle(both.select("a", "b", "na", "ha", "nb", "hb").mapInArrow(keep, f"a {self.kind}, b {self.kind}"))
+        able = settle(both.select("a", "b", "na", "ha", "nb", "hb").transform(map_batches, keep, f"a {self.kind}, b {self.kind}"))
         # What two prefixes share bounds what the sets share: the prefix that ends first misses only the rest of its set.
         side = lambda x: self.sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"))
         both = able.join(side("a"), "a").join(side("b"), "b")
@@ -326,10 +326,10 @@ class _Links:
                     a, b = np.concatenate(a), np.concatenate(b)
                     yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        return tiles.select("no", "no2", *lists, *[f"{x}2" for x in lists]).mapInArrow(compare, f"a {self.kind}, b {self.kind}")
+        return tiles.select("no", "no2", *lists, *[f"{x}2" for x in lists]).transform(map_batches, compare, f"a {self.kind}, b {self.kind}")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 200_000, few: int = 16, block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 3, most: int = 200_000, few: int = 16, block: int = 256) -> DataFrame:
     """The rows of docs, all their columns, with one row of each group of near-duplicates: that of the least id (an integer).
 
     Rows link if their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and a group is what links join.
@@ -360,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 columns = [part.column(0), pa.array(keys, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(classes, pa.binary())]
                 yield pa.record_batch(columns, ["id", "key", "fp", "n", "first", "h"])
 
-    base = settle(rows.mapInArrow(sketches, f"id {kind}, key binary, fp bigint, n int, first array<bigint>, h binary"))
+    base = settle(rows.transform(map_batches, sketches, f"id {kind}, key binary, fp bigint, n int, first array<bigint>, h binary"))
     # Texts of equal words are one from the start.
     firsts = settle(base.groupBy("key").agg(F.min("id").alias("least")))
     copies = base.select("id", "key").join(firsts, "key").filter("id > least").select("id")

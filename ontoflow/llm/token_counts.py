@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bpe
-from ._common import tokenizer_path
+from ._common import map_batches, tokenizer_path
 
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = 8192) -> list[str]:
@@ -60,5 +60,5 @@ def token_counts(
                 yield pa.record_batch([b.column(0), size, pa.array(encoder.lengths(texts, table.value))], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = docs.transform(map_batches, count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import remove, settle, shared_dir
+from ._common import map_batches, remove, settle, shared_dir
 
 #: Bytes of a file before compression, about: a reader task holds one file at a time. Pages of one of these classes (bytes of the payload, at most) share files,
 #: so that their number bounds a file's size; a longer page's records have files of their own.
@@ -153,7 +153,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 yield batch(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(rows, _RECORD)
+    return files.transform(map_batches, rows, _RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
