@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoflow.plans.storage import settle
+from ontoflow.plans.storage import grow, settle
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -22,7 +22,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         delta = settle(left.union(right).distinct().join(total, ["s", "o"], "left_anti"))
         if delta.isEmpty():
             return total
-        total = settle(total.union(delta))
+        total = grow(total, delta)
     raise RuntimeError(f"no closure in {max_rounds} rounds")
 
 
@@ -35,7 +35,7 @@ def reachable(start: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> D
         delta = settle(step.join(total, "s", "left_anti"))
         if delta.isEmpty():
             return total
-        total = settle(total.union(delta))
+        total = grow(total, delta)
     raise RuntimeError(f"reachability unsettled after {max_rounds} rounds")
 
 

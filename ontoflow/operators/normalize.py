@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoflow.plans.storage import settle
+from ontoflow.schema import KB
 
 
 def operand_keys(members: DataFrame) -> DataFrame:
@@ -33,6 +34,35 @@ def merge_structural(triples: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"not merged in {max_rounds} rounds")
 
 
+def pair_equivalents(equivalent: DataFrame) -> DataFrame:
+    """s, rep: anonymous concepts that a named equivalent replaces. Of several names of a concept the least counts, and a name replaces
+    only the least of the concepts that it is for, so that no name gets two definitions; equivalent (s, o) may go either way."""
+    both = equivalent.select("s", "o").union(equivalent.select(F.col("o").alias("s"), F.col("s").alias("o")))
+    named = both.filter("s > 0 and o < 0").groupBy("o").agg(F.min("s").alias("rep"))
+    return named.groupBy("rep").agg(F.min("o").alias("s")).select("s", "rep")
+
+
+def merge_equivalents(kb: KB) -> KB:
+    """The knowledge base with each named concept in the place of the anonymous one that defines it; the latter's own edges and types go."""
+    pairs = settle(pair_equivalents(kb.equivalent))
+    gone = pairs.select("s")
+
+    def put(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            to = pairs.select(F.col("s").alias("_from"), F.col("rep").alias("_to"))
+            df = df.join(to, F.col(c) == F.col("_from"), "left").withColumn(c, F.coalesce("_to", c)).drop("_from", "_to")
+        return df.distinct()
+
+    return kb.with_(
+        is_a=put(kb.is_a.join(gone, "s", "left_anti").select("s", "o"), "o").filter("s <> o"),
+        types=kb.types.join(gone, "s", "left_anti").select("s", "kind"),
+        equivalent=put(kb.equivalent, "s", "o").filter("s <> o"),
+        some=put(kb.some, "s", "value"),
+        only=put(kb.only, "s", "value"),
+        list_member=put(kb.list_member, "s", "o"),
+    )
+
+
 def rewrite(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """edges (s, o) with ids replaced by mapping (s, rep), distinct."""
     m = mapping.select(F.col("s").alias("_from"), F.col("rep").alias("_to"))

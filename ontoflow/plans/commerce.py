@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ontoflow.operators.marks import marks
 from ontoflow.plans.rules import RULES
 from ontoflow.plans.storage import shared_folder
 
@@ -53,6 +54,7 @@ RELATIONS: dict[str, str] = {
     "types": """SELECT CAST(1000 + r_regionkey AS BIGINT) AS s, 'Class' AS kind FROM region UNION ALL SELECT 2000 + n_nationkey, 'Class' FROM nation UNION ALL SELECT id, 'Class' FROM seg UNION ALL SELECT id, 'Class' FROM ptype
       UNION ALL SELECT id, 'Class' FROM brand UNION ALL SELECT id, 'Class' FROM oclass UNION ALL SELECT 1000000000 + c_custkey, 'NamedIndividual' FROM customer UNION ALL SELECT 2000000000 + s_suppkey, 'NamedIndividual' FROM supplier
       UNION ALL SELECT 3000000000 + p_partkey, 'NamedIndividual' FROM part UNION ALL SELECT 4000000000 + o_orderkey, 'Class' FROM orders UNION ALL SELECT 13, 'ObjectProperty' UNION ALL SELECT 14, 'ObjectProperty' UNION ALL SELECT 14, 'FunctionalProperty'
+      UNION ALL SELECT 7000 + (s.id - 3000) * 10 + r_regionkey, 'Class' FROM seg s CROSS JOIN region UNION ALL SELECT 8002, 'Class' UNION ALL SELECT 8003, 'Class'
       UNION ALL SELECT 10, 'ObjectProperty' UNION ALL SELECT 11, 'ObjectProperty' UNION ALL SELECT 12, 'ObjectProperty'""",
     "is_a": """SELECT CAST(2000 + n_nationkey AS BIGINT) AS s, CAST(1000 + n_regionkey AS BIGINT) AS o FROM nation UNION SELECT 1000000000 + c_custkey, 2000 + c_nationkey FROM customer UNION SELECT 1000000000 + c_custkey, id FROM customer JOIN seg ON name = c_mktsegment
       UNION SELECT 2000000000 + s_suppkey, 2000 + s_nationkey FROM supplier UNION SELECT 3000000000 + p_partkey, id FROM part JOIN ptype ON name = p_type UNION SELECT 3000000000 + p_partkey, id FROM part JOIN brand ON name = p_brand
@@ -65,12 +67,23 @@ RELATIONS: dict[str, str] = {
       UNION SELECT 1000000000 + o_custkey, -(13 * 10000000 + id) FROM orders JOIN oclass ON st = o_orderstatus AND pr = o_orderpriority UNION SELECT id, -(24 * 10000000 + 1000) FROM oclass WHERE st = 'P' UNION SELECT id, -(8500000 + 3001) FROM oclass WHERE st = 'F' UNION SELECT 4000000000 + o_orderkey, -(8000000 + 3001) FROM orders WHERE o_orderpriority = '2-HIGH'
       UNION SELECT 1000000000 + c_custkey, 1000 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT 2000000000 + s_suppkey, -(1000000 + 30010) FROM supplier WHERE s_acctbal < 0 UNION SELECT 3000000000 + p_partkey, 3000000001 FROM part WHERE p_partkey BETWEEN 2 AND 20
       UNION SELECT 4000000000 + k, -(21 * 10000000 + t2) FROM kinds WHERE nt = 2 AND k % 11 = 0 UNION SELECT 4000000000 + k, -(20 * 10000000 + b2) FROM kinds WHERE nb = 2 AND k % 5 = 0 UNION SELECT 2000000000 + s_suppkey, -(5000000 + 400100 + 1) FROM supplier WHERE s_suppkey % 10 = 0
+      UNION SELECT -(14 * 10000000 + id), 8002 FROM seg UNION SELECT -(24 * 10000000 + id), 8003 FROM seg
       UNION SELECT 4000000000 + k, -(21 * 10000000 + 800000 + (b1 - 5000) * 100 + (b2 - 5000)) FROM kinds WHERE nb = 2 UNION SELECT 4001, -(7000000 + 102) UNION SELECT 2000000000 + l_suppkey, -(12 * 10000000 + b.id) FROM lineitem JOIN part ON p_partkey = l_partkey JOIN brand b ON b.name = p_brand WHERE l_quantity > 45""",
     "ids": "SELECT s FROM types WHERE kind <> 'ObjectProperty' AND kind <> 'FunctionalProperty' UNION SELECT s FROM some_ UNION SELECT s FROM only_ UNION SELECT s FROM list_member WHERE kind IN ('and', 'or', 'not')",
     # Reflexive, told, and two steps: enough for rules to meet, and not the whole closure.
     "sub": """SELECT s, s AS o FROM ids UNION SELECT s, o FROM is_a UNION SELECT a.s, b.o FROM is_a a JOIN is_a b ON a.o = b.s UNION SELECT s, o FROM equivalent UNION SELECT o, s FROM equivalent UNION SELECT s, o FROM list_member WHERE kind = 'and' UNION SELECT o, s FROM list_member WHERE kind = 'or'
       UNION SELECT 6001, 2""",
+    "told": "SELECT s, o FROM is_a UNION SELECT s, o FROM equivalent UNION SELECT o, s FROM equivalent",
+    # As SQL for the oracle only; Spark computes marks with its own operator.
+    "marks": """SELECT a.mark, s FROM types CROSS JOIN (SELECT 'descendants' AS mark UNION ALL SELECT 'ancestors') a WHERE kind IN ('Class', 'NamedIndividual') AND s > 0
+      UNION SELECT e.b AS mark, e.o AS s FROM marks m JOIN (
+        SELECT 'descendants' AS a, o AS s, 'descendants' AS b, s AS o FROM told UNION ALL SELECT 'ancestors', s, 'ancestors', o FROM told
+        UNION ALL SELECT k.mark, s, k.mark, o FROM list_member CROSS JOIN (SELECT 'descendants' AS mark UNION ALL SELECT 'ancestors') k WHERE kind IN ('and', 'or')
+        UNION ALL SELECT k.mark, s, k.mark, value FROM some_ CROSS JOIN (SELECT 'descendants' AS mark UNION ALL SELECT 'ancestors') k
+        UNION ALL SELECT 'ancestors', s, 'descendants', value FROM only_ UNION ALL SELECT 'descendants', s, 'ancestors', value FROM only_) e ON e.a = m.mark AND e.s = m.s""",
 }
+#: Relations that refer to themselves.
+RECURSIVE = {"marks"}
 #: What each relation is made of, so that a query names only what it needs.
 _ORDER = list(RELATIONS)
 
@@ -80,7 +93,7 @@ def _mentioned(text: str, names) -> list[str]:
 
 
 def sql(query: str) -> str:
-    """The query with the relations it needs as common table expressions."""
+    """The query with the relations it needs as common table expressions, each computed once."""
     needed: set[str] = set()
 
     def visit(text: str) -> None:
@@ -90,10 +103,11 @@ def sql(query: str) -> str:
                 visit(RELATIONS[name])
 
     visit(query)
-    parts = [f"{n} AS ({RELATIONS[n]})" for n in _ORDER if n in needed]
+    parts = [f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({RELATIONS[n]})" for n in _ORDER if n in needed]
+    head = "WITH RECURSIVE" if needed & RECURSIVE else "WITH"
     own = query.removeprefix("WITH ")
     joined = ", ".join(parts)
-    return f"WITH {joined}, {own}" if own != query else (f"WITH {joined} {query}" if parts else query)
+    return f"{head} {joined}, {own}" if own != query else (f"{head} {joined} {query}" if parts else query)
 
 
 #: Folders of imported relations by application, tables and name.
@@ -111,9 +125,13 @@ def _import(spark: SparkSession, sf_dir: str, query: str) -> None:
     for name in _mentioned(query, _ORDER):
         key = (spark.sparkContext.applicationId, sf_dir, name)
         if key not in _IMPORTED:
-            _import(spark, sf_dir, RELATIONS[name])
             path = f"{shared_folder(spark)}/relation-{name}-{uuid.uuid4().hex}"
-            spark.sql(RELATIONS[name]).write.parquet(path)
+            if name in RECURSIVE:
+                found = marks(*(relation(spark, sf_dir, f"SELECT * FROM {r}") for r in ("types", "told", "list_member", "some_", "only_")))
+            else:
+                _import(spark, sf_dir, RELATIONS[name])
+                found = spark.sql(RELATIONS[name])
+            found.write.parquet(path)
             _IMPORTED[key] = path
         spark.read.parquet(_IMPORTED[key]).createOrReplaceTempView(name)
 

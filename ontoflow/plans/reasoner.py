@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoflow.functions.terms import construct_id, list_text, restriction_text
+from ontoflow.operators import extract
 from ontoflow.operators.closure import transitive_closure
-from ontoflow.plans.storage import settle
+from ontoflow.plans.storage import grow, settle
 from ontoflow.schema import BOTTOM, KB, TOP
 
 
@@ -43,7 +44,33 @@ class Result:
     some: DataFrame
     only: DataFrame
     concrete: DataFrame
+    refused: DataFrame
     metrics: list[tuple[str, int, int]] = field(default_factory=list)
+    rule_rows: list[tuple[str, int, int]] = field(default_factory=list)
+
+    def new_parents(self) -> DataFrame:
+        """s, o: named parents that were neither told nor follow from a told edge and one more."""
+        told = self.kb.is_a.select("s", "o").union(self.kb.equivalent.select("s", "o")).union(pairs(self.kb.equivalent, "o", "s"))
+        return extract.new_parents(self.sub, told)
+
+    def new_equivalents(self) -> DataFrame:
+        """s, o: named concepts below each other that weren't told to be equivalent."""
+        told = self.kb.equivalent.select("s", "o").union(pairs(self.kb.equivalent, "o", "s"))
+        found = extract.equivalents(self.sub).filter(f"s > {BOTTOM} and o > {BOTTOM}")
+        return found.join(told.distinct(), ["s", "o"], "left_anti")
+
+    def entity_kinds(self) -> DataFrame:
+        """s, kind: one kind for each entity."""
+        return extract.entity_kinds(self.kb.types)
+
+    def complete(self) -> bool:
+        """Whether no construction was refused, so that nothing that the rules give is missing."""
+        return self.refused.isEmpty()
+
+    def usage(self) -> DataFrame:
+        """rule, executions, matches, hits of a run with profile: how often a rule ran, what it gave, and how many of that was new."""
+        rows = self.kb.spark.createDataFrame(self.rule_rows, "rule string, matches bigint, hits bigint")
+        return rows.groupBy("rule").agg(F.count("*").alias("executions"), F.sum("matches").alias("matches"), F.sum("hits").alias("hits"))
 
     def inconsistent(self) -> DataFrame:
         """s: named individuals below bottom."""
@@ -59,22 +86,25 @@ class Result:
 
 
 class Reasoner:
-    """rules: "full", or "basic" (transitivity-free marks aside, only rules without unions, cases and construction).
+    """rules: "full", or "basic" (only rules without unions, cases and construction).
 
     max_cases: how many unions of a concept are split together; max_atoms: operands of a constructed intersection;
-    max_depth: nesting of constructed restrictions. Beyond these nothing is constructed. max_rounds ends in an error.
+    max_depth: nesting of constructed restrictions. Beyond these nothing is constructed, and Result.refused says what wasn't, so that a result
+    that may lack something is told from a complete one. max_rounds ends in an error. profile counts matches and hits by rule (Result.usage), for
+    a checkpoint of all matches a round.
     """
 
-    def __init__(self, rules: str = "full", max_cases: int = 2, max_atoms: int = 12, max_depth: int = 3, max_rounds: int = 100, extra: list[Callable[[Reasoner], DataFrame]] = ()):
+    def __init__(self, rules: str = "full", max_cases: int = 2, max_atoms: int = 12, max_depth: int = 3, max_rounds: int = 100, extra: list[Callable[[Reasoner], DataFrame]] = (), profile: bool = False):
         if rules not in ("full", "basic"):
             raise ValueError(f"no rule set {rules}")
-        self.full, self.max_cases, self.max_atoms, self.max_depth, self.max_rounds, self.extra = rules == "full", max_cases, max_atoms, max_depth, max_rounds, list(extra)
+        self.full, self.max_cases, self.max_atoms, self.max_depth, self.max_rounds, self.extra, self.profile = rules == "full", max_cases, max_atoms, max_depth, max_rounds, list(extra), profile
 
     # --- set-up -----------------------------------------------------------------------------------------------
 
     def _load(self, kb: KB) -> None:
         spark = kb.spark
-        self.kb, self.spark, self.metrics = kb, spark, []
+        self.kb, self.spark, self.metrics, self.rule_rows = kb, spark, [], []
+        self.refused = spark.createDataFrame([], "rule string, s bigint")
         members = kb.list_member.distinct()
         kind = lambda k: members.filter(F.col("kind") == k).select("s", "o")
         self.some, self.only = settle(kb.some.distinct()), settle(kb.only.distinct())
@@ -109,8 +139,8 @@ class Reasoner:
         new = settle(found.select("s", "o").distinct().join(self.sub, ["s", "o"], "left_anti"))
         n = new.count()
         if n:
-            self.sub = settle(self.sub.union(new))
-            self.delta = new if self.delta is None else settle(self.delta.union(new))
+            self.sub = grow(self.sub, new)
+            self.delta = new if self.delta is None else grow(self.delta, new)
         return n > 0
 
     # --- saturation -------------------------------------------------------------------------------------------
@@ -202,7 +232,7 @@ class Reasoner:
         delta = total
         while not delta.isEmpty():
             delta = settle(delta.join(steps, "s").select(F.col("o").alias("s")).distinct().join(total, "s", "left_anti"))
-            total = settle(total.union(delta))
+            total = grow(total, delta)
         return total
 
     def saturate(self) -> None:
@@ -212,16 +242,35 @@ class Reasoner:
             new, self.delta = self.delta, None
             if new is None or new.isEmpty():
                 return
-            found = [self._transitive(new, self.sub), self._transitive(self.sub, new), self._bottom_down(new, self.sub), self._bottom_down(self.sub, new), self._of_top()]
-            found += [self._and(new)] * self.has["ands"] + [self._disjoint(new)] * self.has["disjoint"] + [self._some(new), self._empty_successor(new)] * self.has["some"]
-            found += [self._only(new)] * self.has["only"] + [self._complement()] * self.has["nots"] + [self._inverse()] * (self.has["inverse"] and self.has["only"])
+            found = {"is_a_transitivity": self._transitive(new, self.sub).union(self._transitive(self.sub, new)), "bottom": self._bottom_down(new, self.sub).union(self._bottom_down(self.sub, new)), "top": self._of_top()}
+            rules = {"and_2": ("ands", self._and), "disjoint": ("disjoint", self._disjoint), "some_subprop_subclass": ("some", self._some), "some_nothing": ("some", self._empty_successor), "only_subprop_subclass": ("only", self._only)}
+            found |= {name: rule(new) for name, (needs, rule) in rules.items() if self.has[needs]}
+            if self.has["nots"]:
+                found["not"] = self._complement()
+            if self.has["inverse"] and self.has["only"]:
+                found["some_only_inverse"] = self._inverse()
             if self.full and not self.cases.isEmpty():
-                found.append(self._by_cases())
-            found += [f(self) for f in self.extra]
-            self._add(union(found).filter(f"s <> {BOTTOM}"))
+                found["cases"] = self._by_cases()
+            found |= {f"extra_{k}": f(self) for k, f in enumerate(self.extra)}
+            if self.profile:
+                found = self._profiled(found)
+            self._add(union(list(found.values())).filter(f"s <> {BOTTOM}"))
             self.metrics.append(("saturation", self.sub.count(), 0 if self.delta is None else self.delta.count()))
         raise RuntimeError(f"not saturated in {self.max_rounds} rounds")
 
+    def _profiled(self, found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The rules' results, settled together, with what they matched and how much of it is new counted by rule."""
+        tagged = settle(union([df.select(F.lit(name).alias("rule"), "s", "o") for name, df in found.items()]).filter(f"s <> {BOTTOM}"))
+        new = tagged.distinct().join(self.sub, ["s", "o"], "left_anti").groupBy("rule").agg(F.count("*").alias("hits"))
+        counts = tagged.groupBy("rule").agg(F.count("*").alias("matches")).join(new, "rule", "left")
+        rows = {r["rule"]: (r["matches"], r["hits"] or 0) for r in counts.collect()}  # a row for each rule
+        self.rule_rows += [(name, *rows.get(name, (0, 0))) for name in found]
+        return {"all": tagged.select("s", "o")}
+
+    def _refuse(self, rule: str, column: str, made: DataFrame) -> None:
+        """Note the concepts for which a limit keeps something from being constructed."""
+        self.refused = settle(self.refused.union(made.select(F.lit(rule).alias("rule"), F.col(column).alias("s"))).distinct())
+
     # --- construction -----------------------------------------------------------------------------------------
 
     def _sets(self, df: DataFrame, *columns: str) -> DataFrame:
@@ -238,7 +287,7 @@ class Reasoner:
         new = settle(new.join(self.atoms, "k", "left_anti"))
         if new.isEmpty():
             return
-        self.atoms = settle(self.atoms.union(new.select("k", "atoms", "cases", "depth")))
+        self.atoms = grow(self.atoms, new.select("k", "atoms", "cases", "depth"))
         parts = new.select(F.col("k").alias("s"), F.explode("atoms").alias("o"))
         self.ands, self.has["ands"] = settle(self.ands.union(parts).distinct()), True
         self._add(union([parts, new.select(F.col("k").alias("s"), F.col("k").alias("o")), new.select(F.col("k").alias("s"), F.lit(TOP).cast("bigint").alias("o"))]))
@@ -249,7 +298,7 @@ class Reasoner:
         old = getattr(self, kind)
         new = settle(made.select(F.col("r").alias("s"), "prop", "value").distinct().join(old, ["s", "prop", "value"], "left_anti"))
         if not new.isEmpty():
-            setattr(self, kind, settle(old.union(new)))
+            setattr(self, kind, grow(old, new))
             self.has[kind] = True
             self._add(pairs(new, "s", "s").union(new.select("s", F.lit(TOP).cast("bigint").alias("o"))))
             # Facts about the values were new before the restriction was: they meet it now.
@@ -296,7 +345,10 @@ class Reasoner:
             return
         each = made.select("x", "p", "vs", F.explode("vs").alias("v")).join(self.atoms.select(F.col("k").alias("v"), "atoms", "cases", "depth"), "v", "left")
         sets = each.groupBy("x", "p", "vs").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("atoms", F.array("v")))))).alias("atoms"), F.max(F.coalesce("cases", F.lit(0))).alias("cases"), (F.max(F.coalesce("depth", F.lit(0))) + 1).alias("depth"))
-        sets = sets.filter((F.size("atoms") <= self.max_atoms) & (F.col("depth") <= self.max_depth))
+        able = (F.size("atoms") <= self.max_atoms) & (F.col("depth") <= self.max_depth)
+        sets = settle(sets)
+        self._refuse(f"{kind}_and", "x", sets.filter(~able))
+        sets = sets.filter(able)
         sets = settle(sets.withColumn("k", construct_id(list_text("and", F.col("atoms")))))
         self._intersections(sets)
         made = self._restrictions(kind, sets.select("x", F.col("p").alias("prop"), F.col("k").alias("value")))
@@ -307,7 +359,9 @@ class Reasoner:
         f = self.props.join(self.functional.select(F.col("s").alias("o")), "o").select(F.col("s").alias("p"), F.col("o").alias("prop"))
         edge = self.sub.select(F.col("s").alias("x"), F.col("o").alias("g")).join(self.some.select(F.col("s").alias("g"), F.col("prop").alias("p"), F.col("value").alias("v")), "g").join(f, "p").filter(f"v <> {TOP}").select("x", "prop", "v").distinct()
         edge = self._minimal(settle(self._alive(edge)), "x", "prop")
-        edge = edge.join(self.atoms.select(F.col("k").alias("v"), "depth"), "v", "left").filter(F.coalesce("depth", F.lit(0)) < self.max_depth)
+        edge = edge.join(self.atoms.select(F.col("k").alias("v"), "depth"), "v", "left").withColumn("deep", F.coalesce("depth", F.lit(0)) >= self.max_depth)
+        self._refuse("some_func", "x", edge.filter("deep"))
+        edge = edge.filter("not deep")
         known = self._universals().select("x", F.col("q").alias("prop"), "v")
         made = self._restrictions("only", edge.join(known, ["x", "prop", "v"], "left_anti").select("x", "prop", F.col("v").alias("value")))
         self._add(made.select(F.col("x").alias("s"), F.col("r").alias("o")))
@@ -342,17 +396,20 @@ class Reasoner:
         made = self._sets(settle(open_.distinct()), "x", "l").withColumn("cases", F.col("cases") + 1)
         limit = (F.col("cases") <= self.max_cases) & (F.size("atoms") <= self.max_atoms)
         full = made.groupBy("x", "u").agg(F.min(limit.cast("int")).alias("ok")).filter("ok = 1")
+        self._refuse("cases", "x", made.join(full, ["x", "u"], "left_anti"))
         made = settle(made.join(full, ["x", "u"], "left_semi").select("x", "u", "l", "k", "atoms", "cases", "depth"))
         self._intersections(made)
         rows = made.select("x", "u", "l", "k").union(own.select("x", "u", "l", "k"))
         new = settle(rows.distinct().join(self.cases, ["x", "u", "l", "k"], "left_anti"))
         if new.isEmpty():
             return
-        self.cases = settle(self.cases.union(new))
+        self.cases = grow(self.cases, new)
         self.delta = settle(self.sub.join(new.select(F.col("x").alias("s")).distinct(), "s", "left_semi").union(self.delta) if self.delta is not None else self.sub.join(new.select(F.col("x").alias("s")).distinct(), "s", "left_semi"))
         # Some P.V with V in cases is below the union of the cases' existentials.
         edge = self.some.select(F.col("s").alias("e"), F.col("prop"), F.col("value").alias("x")).join(new.filter("x <> u or k = l"), "x")
-        edge = edge.join(self.atoms.select(F.col("k"), F.col("depth").alias("d")), "k", "left").filter(F.coalesce("d", F.lit(0)) < self.max_depth)
+        edge = edge.join(self.atoms.select(F.col("k"), F.col("depth").alias("d")), "k", "left").withColumn("deep", F.coalesce("d", F.lit(0)) >= self.max_depth)
+        self._refuse("some_or", "e", edge.filter("deep"))
+        edge = edge.filter("not deep")
         parts = self._restrictions("some", edge.select("e", "u", "prop", F.col("k").alias("value")).distinct())
         sets = settle(parts.groupBy("e", "u").agg(F.array_sort(F.collect_set("r")).alias("rs")).withColumn("w", construct_id(list_text("or", F.col("rs")))))
         members = sets.select(F.col("w").alias("s"), F.explode("rs").alias("o")).distinct()
@@ -381,5 +438,5 @@ class Reasoner:
             if self.has["individuals"]:
                 self._add(self._individuals())
             if (self.delta is None or self.delta.isEmpty()) and self.sub.count() == before:
-                return Result(kb, self.sub, self.some, self.only, self.concrete(), self.metrics)
+                return Result(kb, self.sub, self.some, self.only, self.concrete(), self.refused, self.metrics, self.rule_rows)
         raise RuntimeError(f"construction unsettled after {self.max_rounds} rounds")

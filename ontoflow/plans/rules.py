@@ -37,18 +37,6 @@ RULES: dict[str, str] = {
     "r09_prop_is_a_transitivity": "SELECT DISTINCT a.s, b.o FROM prop_told a JOIN prop_told b ON a.o = b.s",
     "r10_domain": "SELECT DISTINCT g.s, d.c AS o FROM domain_range d JOIN prop_is_a h ON h.o = d.p JOIN some_ g ON g.prop = h.s WHERE d.kind = 'domain' AND d.c <> 1",
     "r11_range": "SELECT 1 AS s, p AS prop, c AS value FROM domain_range WHERE kind = 'range' AND c <> 1",
-    "r12_infer_descendants_entity": "SELECT DISTINCT s FROM types WHERE kind IN ('Class', 'NamedIndividual') AND s > 0",
-    "r13_infer_ancestors_entity": "SELECT DISTINCT s FROM types WHERE kind IN ('NamedIndividual', 'Class') AND s > 0",
-    "r14_infer_descendants_is_a": "SELECT DISTINCT a.s FROM is_a a JOIN types m ON m.s = a.o WHERE m.s > 0",
-    "r15_infer_ancestors_is_a": "SELECT DISTINCT a.o AS s FROM is_a a JOIN types m ON m.s = a.s WHERE m.s > 0",
-    "r16_infer_descendants_inner_1": "SELECT DISTINCT m.o AS s FROM is_a a JOIN list_member m ON m.s = a.o AND m.kind = 'and'",
-    "r17_infer_descendants_inner_2": "SELECT DISTINCT m.o AS s FROM is_a a JOIN list_member m ON m.s = a.o AND m.kind = 'or'",
-    "r18_infer_ancestors_inner_1": "SELECT DISTINCT m.o AS s FROM equivalent a JOIN list_member m ON m.s = a.o AND m.kind = 'and'",
-    "r19_infer_ancestors_inner_2": "SELECT DISTINCT m.o AS s FROM is_a a JOIN list_member m ON m.s = a.o AND m.kind = 'or' WHERE a.s < 0 OR a.s > 0",
-    "r20_infer_descendants_some": "SELECT DISTINCT g.value AS s FROM some_ g JOIN is_a a ON a.o = g.s",
-    "r21_infer_ancestors_some": "SELECT DISTINCT g.value AS s, g.prop FROM some_ g JOIN is_a a ON a.o = g.s",
-    "r22_infer_descendants_only": "SELECT DISTINCT g.value AS s FROM only_ g JOIN is_a a ON a.o = g.s",
-    "r23_infer_ancestors_only": "SELECT DISTINCT g.value AS s, g.prop FROM only_ g JOIN is_a a ON a.o = g.s",
     "r24_and_linked_list": "SELECT m.s, m.o AS o1, n.o AS o2 FROM list_member m JOIN list_member n ON n.s = m.s AND n.kind = 'and' AND m.o < n.o WHERE m.kind = 'and'",
     "r25_or_linked_list": "SELECT m.s, m.o AS o1, n.o AS o2 FROM list_member m JOIN list_member n ON n.s = m.s AND n.kind = 'or' AND m.o < n.o WHERE m.kind = 'or'",
     "r26_prop_is_a_self": "SELECT s, s AS o FROM types WHERE kind IN ('ObjectProperty', 'DatatypeProperty')",
@@ -56,7 +44,11 @@ RULES: dict[str, str] = {
     "r28_is_a_thing": "SELECT s, CAST(1 AS BIGINT) AS o FROM types WHERE kind IN ('Class', 'NamedIndividual') UNION SELECT s, CAST(1 AS BIGINT) AS o FROM some_ UNION SELECT s, CAST(1 AS BIGINT) AS o FROM only_",
     "r29_nothing": "SELECT 'is_a' AS t, 2 AS s, 1 AS o UNION ALL SELECT 'is_a' AS t, 2 AS s, 2 AS o UNION ALL SELECT 'disjoint' AS t, 1 AS s, 2 AS o",
     "r30_is_a_transitivity_1": "SELECT DISTINCT a.s, b.o FROM is_a a JOIN is_a b ON a.o = b.s",
-    "r31_is_a_transitivity_2": "SELECT DISTINCT a.s, m.s AS o FROM is_a a JOIN list_member m ON m.o = a.o AND m.kind = 'or'",
+    # Below something that is newly below an intersection.
+    "r31_is_a_transitivity_2": """WITH four AS (
+      SELECT x.s, m.s AS o FROM sub x JOIN list_member m ON m.o = x.o AND m.kind = 'and' JOIN (SELECT s, count(*) AS n FROM list_member WHERE kind = 'and' GROUP BY s) z ON z.s = m.s
+      GROUP BY x.s, m.s, z.n HAVING count(DISTINCT m.o) = z.n EXCEPT SELECT s, o FROM sub)
+      SELECT DISTINCT a.s, f.o FROM is_a a JOIN four f ON f.s = a.o""",
     "r32_and_1": "SELECT DISTINCT x.s, m.o FROM sub x JOIN list_member m ON m.s = x.o AND m.kind = 'and'",
     "r33_and_2": "SELECT x.s, m.s AS o FROM sub x JOIN list_member m ON m.o = x.o AND m.kind = 'and' JOIN (SELECT s, count(*) AS n FROM list_member WHERE kind = 'and' GROUP BY s) z ON z.s = m.s GROUP BY x.s, m.s, z.n HAVING count(DISTINCT m.o) = z.n",
     "r34_or_1": "SELECT DISTINCT m.o AS s, x.o FROM list_member m JOIN sub x ON x.s = m.s WHERE m.kind = 'or'",
@@ -80,9 +72,9 @@ RULES: dict[str, str] = {
     "r52_only_disjoint_or_1": _with(_HELD, _C, _UHELD) + "SELECT DISTINCT f.x AS s, f.q AS prop, f.r AS rest FROM uheld f JOIN prop_is_a h ON h.s = f.q JOIN held g ON g.x = f.x AND g.q = h.o JOIN clash c ON c.v = f.l AND c.w = g.v",
     "r53_only_disjoint_or_2": _with(_HELD, _C, _UHELD) + "SELECT DISTINCT f.x AS s, g.q AS prop, f.r AS rest1, g.r AS rest2 FROM uheld f JOIN prop_is_a h ON h.o = f.q JOIN uheld g ON g.x = f.x AND g.q = h.s JOIN clash c ON c.v = f.l AND c.w = g.l",
     "r54_some_only": _with(_HELD, _EDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value FROM edge e JOIN prop_is_a h ON h.s = e.p JOIN held f ON f.x = e.x AND f.q = h.o JOIN sub v ON v.s = f.v AND v.o = e.w",
-    "r55_some_only_or_1": _with(_SPLIT, _OHELD, _EDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value, f.r AS rest FROM edge e JOIN prop_is_a h ON h.s = e.p JOIN oheld f ON f.x = e.x AND f.q = h.o JOIN sub v ON v.s = f.v AND v.o = e.w JOIN types t ON t.s = e.x",
+    "r55_some_only_or_1": _with(_SPLIT, _OHELD, _EDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value, f.r AS rest FROM edge e JOIN prop_is_a h ON h.s = e.p JOIN oheld f ON f.x = e.x AND f.q = h.o JOIN sub v ON v.s = f.v AND v.o = e.w JOIN marks t ON t.s = e.x AND t.mark = 'ancestors'",
     "r56_some_only_or_2": _with(_HELD, _SPLIT, _OEDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value, e.r AS rest FROM oedge e JOIN prop_is_a h ON h.s = e.p JOIN held f ON f.x = e.x AND f.q = h.o JOIN sub v ON v.s = f.v AND v.o = e.w",
-    "r57_some_only_or_3": _with(_SPLIT, _OHELD, _OEDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value, e.r AS rest1, f.r AS rest2 FROM oedge e JOIN prop_is_a h ON h.s = e.p JOIN oheld f ON f.x = e.x AND f.q = h.o AND f.u <> e.u JOIN sub v ON v.s = f.v AND v.o = e.w JOIN types t ON t.s = e.x",
+    "r57_some_only_or_3": _with(_SPLIT, _OHELD, _OEDGE) + "SELECT DISTINCT e.x AS s, e.p AS prop, f.v AS value, e.r AS rest1, f.r AS rest2 FROM oedge e JOIN prop_is_a h ON h.s = e.p JOIN oheld f ON f.x = e.x AND f.q = h.o AND f.u <> e.u JOIN sub v ON v.s = f.v AND v.o = e.w JOIN marks t ON t.s = e.x AND t.mark = 'ancestors'",
     "r58_some_only_and_1": _with(_HELD, _EDGE, _PAIR) + "SELECT DISTINCT e.x AS s, e.p AS prop, p.n AS value FROM edge e JOIN prop_is_a h ON h.s = e.p JOIN held f ON f.x = e.x AND f.q = h.o JOIN sub a ON a.s = f.v JOIN sub b ON b.s = e.w JOIN pair p ON p.a = a.o AND p.b = b.o",
     "r59_some_only_and_or_1": _with(_SPLIT, _OHELD, _EDGE, _PAIR) + "SELECT DISTINCT e.x AS s, e.p AS prop, p.n AS value, f.r AS rest FROM edge e JOIN prop_is_a h ON h.s = e.p JOIN oheld f ON f.x = e.x AND f.q = h.o JOIN sub a ON a.s = f.v JOIN sub b ON b.s = e.w JOIN pair p ON p.a = a.o AND p.b = b.o",
     "r60_some_only_and_or_2": _with(_HELD, _SPLIT, _OEDGE, _PAIR) + "SELECT DISTINCT e.x AS s, e.p AS prop, p.n AS value, e.r AS rest FROM oedge e JOIN prop_is_a h ON h.s = e.p JOIN held f ON f.x = e.x AND f.q = h.o JOIN sub a ON a.s = f.v JOIN sub b ON b.s = e.w JOIN pair p ON p.a = a.o AND p.b = b.o",

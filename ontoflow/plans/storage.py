@@ -33,3 +33,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def grow(total: DataFrame, more: DataFrame) -> DataFrame:
+    """total and more, settled in spark.sql.shuffle.partitions partitions at most: a loop's table mustn't gain partitions with every round."""
+    return settle(total.union(more).coalesce(int(total.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

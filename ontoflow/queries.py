@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ontoflow.functions.terms import construct_id, list_text, restriction_text
 from ontoflow.operators import extract, normalize
+from ontoflow.operators import marks as mark
 from ontoflow.operators.closure import reachable, restriction_depth, transitive_closure
 from ontoflow.plans.commerce import relation, rule_query, sql
 from ontoflow.plans.reasoner import Reasoner
@@ -20,6 +21,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {name: rule_query(name) for name in sorted(RULES)}
 ORACLE: dict[str, str] = {name: sql(RULES[name]) for name in sorted(RULES)}
 
+
+#: The rules on marks: number, name, and what SQL joins the marks with.
+_MARK_SQL = {
+    "below": "SELECT o AS s, s AS o FROM told", "above": "SELECT s, o FROM told", "and": "SELECT s, o FROM list_member WHERE kind = 'and'",
+    "or": "SELECT s, o FROM list_member WHERE kind = 'or'", "some": "SELECT s, value AS o FROM some_", "only": "SELECT s, value AS o FROM only_",
+}
+
+
+def _mark_rules() -> None:
+    """Queries r12 to r23: what each rule on marks gives, from the operator's marks; their SQL is a recursion of its own."""
+
+    def along(spark, d):
+        return mark.relations(*(relation(spark, d, f"SELECT * FROM {r}") for r in ("told", "list_member", "some_", "only_")))
+
+    for k, (name, one) in enumerate((("infer_descendants_entity", mark.DOWN), ("infer_ancestors_entity", mark.UP)), 12):
+        QUERIES[f"r{k}_{name}"] = lambda spark, d, one=one: mark.named(relation(spark, d, "SELECT * FROM types"), one)
+        ORACLE[f"r{k}_{name}"] = sql(f"SELECT DISTINCT '{one}' AS mark, s FROM types WHERE kind IN ('Class', 'NamedIndividual') AND s > 0")
+    for k, (rule, (before, edges, after)) in enumerate(mark.STEPS.items(), 14):
+        QUERIES[f"r{k}_{rule}"] = lambda spark, d, rule=rule: mark.step(rule, relation(spark, d, "SELECT * FROM marks"), along(spark, d))
+        ORACLE[f"r{k}_{rule}"] = sql(f"SELECT DISTINCT '{after}' AS mark, e.o AS s FROM marks m JOIN ({_MARK_SQL[edges]}) e ON e.s = m.s WHERE m.mark = '{before}'")
+
+
+_mark_rules()
+
 #: Nations, customers and suppliers below regions: a small hierarchy of named concepts.
 HIERARCHY = """SELECT CAST(2000 + n_nationkey AS BIGINT) AS s, CAST(1000 + n_regionkey AS BIGINT) AS o FROM nation
   UNION ALL SELECT 1000000000 + c_custkey, CAST(2000 + c_nationkey AS BIGINT) FROM customer UNION ALL SELECT 2000000000 + s_suppkey, CAST(2000 + s_nationkey AS BIGINT) FROM supplier"""
@@ -141,9 +166,9 @@ def self_join(spark, d):
     return a.alias("a").join(a.filter("o between 1000 and 1004").alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
 
 
-@q("o33_theta_residual", "SELECT a.s, a.o AS o1, b.o AS o2 FROM is_a a JOIN is_a b ON a.s = b.s AND a.o < b.o WHERE a.o BETWEEN 4000 AND 5999 AND b.o BETWEEN 4000 AND 5999")
+@q("o33_theta_residual", "SELECT a.s, a.o AS o1, b.o AS o2 FROM is_a a JOIN is_a b ON a.s = b.s AND a.o < b.o")
 def theta(spark, d):
-    a = relation(spark, d, _all("is_a")).filter("o between 4000 and 5999")
+    a = relation(spark, d, _all("is_a"))
     return a.select("s", F.col("o").alias("o1")).join(a.select("s", F.col("o").alias("o2")), "s").filter("o1 < o2")
 
 
@@ -229,10 +254,20 @@ def reach(spark, d):
     return reachable(spark.createDataFrame([(1000,)], "s bigint"), down)
 
 
-@q("o59_restriction_depth", "SELECT s, count(DISTINCT x) AS depth FROM (SELECT s, s AS x FROM some_ UNION ALL SELECT a.s, b.s FROM some_ a JOIN some_ b ON a.value = b.s) t GROUP BY s")
+_DEPTH = """WITH steps AS (SELECT s, value AS o FROM some_ UNION SELECT s, value FROM only_ UNION SELECT s, o FROM list_member WHERE kind IN ('and', 'or')),
+  walk AS (SELECT s, s AS o FROM some_ UNION SELECT s, s FROM only_ UNION SELECT w.s, t.o FROM walk w JOIN steps t ON t.s = w.o)
+  SELECT s, count(*) AS depth FROM walk WHERE o IN (SELECT s FROM some_ UNION SELECT s FROM only_) GROUP BY s"""
+
+
+@q("o59_restriction_depth")
 def depth(spark, d):
-    some = relation(spark, d, _all("some_")).selectExpr("cast(s as bigint) s", "cast(prop as bigint) prop", "cast(value as bigint) value")
-    return restriction_depth(some, some.limit(0), some.select("s"))
+    """Restrictions of all kinds that each restriction reaches through values and operands."""
+    some, only = (relation(spark, d, f"SELECT CAST(s AS BIGINT) AS s, CAST(prop AS BIGINT) AS prop, CAST(value AS BIGINT) AS value FROM {r}") for r in ("some_", "only_"))
+    operands = relation(spark, d, "SELECT CAST(s AS BIGINT) AS s, CAST(o AS BIGINT) AS o FROM list_member WHERE kind IN ('and', 'or')")
+    return restriction_depth(some, only, some.select("s").union(only.select("s")).distinct(), operands)
+
+
+ORACLE["o59_restriction_depth"] = sql(_DEPTH).replace("WITH", "WITH RECURSIVE", 1)
 
 
 @q("o61_create_restriction", f"SELECT DISTINCT {_MD5.format(chr(39) + 'some|11|' + chr(39) + ' || o')} AS s, 11 AS prop, o AS value FROM list_member WHERE kind = 'or' AND o > 0")
@@ -294,10 +329,27 @@ def classify(spark, d):
     return normalize.classify_restrictions(rows, ids).select("s", "kind", "prop", "value")
 
 
-@q("o78_new_parents", f"WITH RECURSIVE e AS ({HIERARCHY} UNION ALL {_CHAIN}), r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s, o FROM r WHERE s <> o AND s <> 2 AND o <> 1 EXCEPT (SELECT s, o FROM e UNION SELECT e.s, r.o FROM e JOIN r ON e.o = r.s)", kb=False)
+#: Told, two steps on, below intersections, and below the classes that these define.
+_DEFINED = f"WITH below AS ({RULES['r33_and_2']}), wide AS (SELECT s, o FROM sub UNION SELECT s, o FROM below UNION SELECT b.s, e.s AS o FROM below b JOIN equivalent e ON e.o = b.o) "
+
+
+@q(
+    "o78_new_parents",
+    _DEFINED
+    + """SELECT s, o FROM wide WHERE s > 0 AND o > 0 AND s <> o AND s <> 2 AND o <> 1 EXCEPT (SELECT s, o FROM told
+  UNION SELECT t.s, w.o FROM told t JOIN wide w ON w.s = t.o AND w.s <> w.o UNION SELECT w.s, w.o FROM wide w JOIN wide v ON v.s = w.o AND v.o = w.s WHERE w.s <> w.o)""",
+)
 def new_parents(spark, d):
-    sub = closure(spark, d)
-    return extract.new_parents(sub, spark.sql(f"{HIERARCHY} UNION ALL {_CHAIN}"))
+    """Classes defined as intersections that a customer or another concept is found to be below."""
+    wide = relation(spark, d, _DEFINED + "SELECT s, o FROM wide")
+    return extract.new_parents(wide, relation(spark, d, _all("told")))
+
+
+@q("o75_merge_equivalents", "SELECT o AS s, s AS rep FROM (SELECT s, min(o) AS o FROM (SELECT o, min(s) AS s FROM (SELECT s, o FROM equivalent UNION ALL SELECT s + 500, o FROM equivalent) t GROUP BY o) u GROUP BY s) v")
+def merge_pairs(spark, d):
+    """Two names for each definition; the lesser one takes its place."""
+    both = relation(spark, d, "SELECT s, o FROM equivalent UNION ALL SELECT s + 500, o FROM equivalent")
+    return normalize.pair_equivalents(both)
 
 
 @q("o78_equivalents", "WITH RECURSIVE e AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(1000000 + s_nationkey AS BIGINT) AS o FROM supplier UNION ALL SELECT CAST(1000000 + s_nationkey AS BIGINT), CAST(min(s_suppkey) AS BIGINT) FROM supplier GROUP BY s_nationkey), r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT a.s, a.o FROM r a JOIN r b ON a.s = b.o AND a.o = b.s WHERE a.s <> a.o", kb=False)
