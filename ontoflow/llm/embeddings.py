@@ -110,6 +110,15 @@ def _blocks(kinds: DataFrame, block: int) -> DataFrame:
     return settle(sorted_.transform(map_batches, cut, schema)).withColumn("no", F.monotonically_increasing_id())
 
 
+def _count(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, count: dict, root: dict) -> dict:
+    """Add links a - b of na and nb equal vectors to the numbers of links by end; the forest root with them."""
+    for at, n in ((a, nb), (b, na)):
+        who, where = np.unique(at, return_inverse=True)
+        for w, m in zip(who.tolist(), np.bincount(where, n).tolist()):
+            count[w] = count.get(w, 0) + int(m)
+    return forest(a.tolist(), b.tolist(), root)
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -160,11 +169,7 @@ def near_duplicates(
                     a.append(ka[i[~sure]])
                     b.append(kb[j[~sure]])
                     i, j = i[sure], j[sure]
-                    for at, n in ((ra[i], cb[j]), (rb[j], ca[i])):
-                        who, where = np.unique(at, return_inverse=True)
-                        for w, m in zip(who.tolist(), np.bincount(where, n).tolist()):
-                            count[w] = count.get(w, 0) + int(m)
-                    root = forest(ra[i].tolist(), rb[j].tolist(), root)
+                    root = _count(ra[i], rb[j], ca[i], cb[j], count, root)
                 a, b, nodes = np.concatenate(a), np.concatenate(b), list(root)
                 found = np.concatenate([np.array(nodes, np.int64), a]), np.concatenate([np.array([root[w] for w in nodes], np.int64), b])
                 links = pa.array([count[w] for w in nodes] + [None] * len(a), pa.int64())
@@ -184,11 +189,12 @@ def near_duplicates(
                 at = np.flatnonzero(size == dim)
                 va, vb = (unit(_matrix(batch.column(k).take(pa.array(at)), dim)) for k in (4, 5))
                 true[at] = np.einsum("nd,nd->n", va, vb) >= threshold
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(true))
+            count: dict = {}
+            root = _count(*(c.to_numpy()[true] for c in batch.columns[:4]), count, {})
+            yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64()), pa.array([count[w] for w in root], pa.int64())], ["rep", "root", "links"])
 
-    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").transform(map_batches, verify, "ra bigint, rb bigint, na bigint, nb bigint")
-    checked = settle(checked)
-    linked = tiled.filter("links is not null").union(checked.select("ra", "rb", "nb")).union(checked.select("rb", "ra", "na"))
+    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").transform(map_batches, verify, "rep bigint, root bigint, links bigint")
+    linked = tiled.filter("links is not null").union(settle(checked))
     graph = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
     found = graph.join(links, "node").select("node", "component", "links")
