@@ -95,3 +95,39 @@ def test_knowledge_base_round_trip(spark, tmp_path):
     kb.write(str(tmp_path / "kb"))
     back = KB.read(spark, str(tmp_path / "kb"))
     assert {n: rows(d) for n, d in back.relations().items()} == {n: rows(d) for n, d in kb.relations().items()}
+
+
+def test_marks_turn_at_universals(spark):
+    from ontoflow.operators import marks
+
+    types = spark.createDataFrame([(1001, "Class"), (1002, "NamedIndividual"), (-9, "Class"), (9, "ObjectProperty")], "s bigint, kind string")
+    told = spark.createDataFrame([(1001, -1), (-7, 1002), (-8, -7)], "s bigint, o bigint")  # 1001 is below only p.V; -8 below -7 below 1002
+    members = spark.createDataFrame([("and", -2, -3), ("or", -3, -4), ("disjoint", -2, -6)], "kind string, s bigint, o bigint")
+    only, some = (spark.createDataFrame(x, "s bigint, prop bigint, value bigint") for x in ([(-1, 9, -2)], [(-4, 9, -5)]))
+    found = {(r.mark, r.s) for r in marks.marks(types, told, members, some, only).collect()}
+    want = {(m, s) for m in (marks.DOWN, marks.UP) for s in (1001, 1002)} | {(marks.UP, -1), (marks.DOWN, -7), (marks.DOWN, -8)}
+    assert found == want | {(marks.DOWN, x) for x in (-2, -3, -4, -5)}
+    assert marks.marks(types.limit(0), told, members, some, only).count() == 0
+
+
+def test_equivalents_merge_in_pairs(spark):
+    from ontoflow.operators.normalize import merge_equivalents, pair_equivalents
+    from ontoflow.schema import KB
+
+    two = [(1003, -5), (-5, 1004), (1003, -6), (1007, 1008)]
+    assert sorted(map(tuple, pair_equivalents(spark.createDataFrame(two, "s bigint, o bigint")).collect())) == [(-6, 1003)]
+    kb = KB.of(spark, equivalent=[(1003, -5)], is_a=[(-5, 1001), (1010, -5)], list_member=[("and", -5, 1001)], some=[(-7, 20, -5)], types=[(-5, "Class"), (1003, "Class")])
+    merged = merge_equivalents(kb)
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    assert rows(merged.is_a) == [(1010, 1003)] and rows(merged.equivalent) == [] and rows(merged.types) == [(1003, "Class")]
+    assert rows(merged.list_member) == [("and", 1003, 1001)] and rows(merged.some) == [(-7, 20, 1003)]
+
+
+def test_results_and_usage_of_a_run(spark):
+    from ontoflow.plans.reasoner import Reasoner
+    from ontoflow.schema import KB
+
+    kb = KB.of(spark, is_a=[(1010, 1001), (1010, 1002)], equivalent=[(1003, -5)], list_member=[("and", -5, 1001), ("and", -5, 1002)], types=[(k, "Class") for k in (1001, 1002, 1003, 1010)])
+    found = Reasoner(rules="basic", profile=True).run(kb)
+    assert [tuple(r) for r in found.new_parents().collect()] == [(1010, 1003)] and found.complete() and found.new_equivalents().count() == 0
+    assert {(r.rule, r.hits) for r in found.usage().collect() if r.hits} == {("and_2", 1), ("is_a_transitivity", 3)}
