@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one representative. Representatives are quantised once, and cut into blocks of equal numbers in order of their
 projection on a fixed direction (ties by id); two unit vectors of cosine t or more are sqrt(2 - 2t) apart at most, and so are their
-projections, so block pairs further apart are skipped. Only int8 codes travel to the tiles. A tile multiplies the codes of two blocks; with
+projections, so block pairs further apart are skipped. Only int8 codes travel to the tiles; vectors follow for tiles with doubtful pairs. A tile multiplies the codes of two blocks; with
 x = x^ + e, the true product differs from that of the codes by |x^||f| + |e||y^| + |e||f| at most. Pairs above the threshold by more than
 this bound are links, pairs below it by more are none, and only the rest is computed in double precision from the vectors themselves.
 """
@@ -72,19 +72,20 @@ def _projected(kinds: DataFrame) -> DataFrame:
 
 
 def _blocks(kinds: DataFrame, block: int) -> DataFrame:
-    """no, label, dim, low, high, ks, reps, ns, codes, scales, norms, errors: a row for each block of ``block`` representatives at most.
+    """no, label, dim, low, high, reps, ns, codes, scales, norms, errors, vectors: a row for each block of ``block`` representatives at most.
 
     Rows are dealt by ranges of (label, dim, projection, id), so that neither a hot label nor equal projections meet in one task.
     """
     order = ["label", "dim", "p", "k"]
     sorted_ = kinds.select(*order, "rep", "n", "v").repartitionByRange(*order).sortWithinPartitions(*order)
-    names = ["label", "dim", "low", "high", "ks", "reps", "ns", "codes", "scales", "norms", "errors"]
+    names = ["label", "dim", "low", "high", "reps", "ns", "codes", "scales", "norms", "errors", "vectors"]
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         held = pa.Table.from_batches(parts).combine_chunks()
         dim, p = held.column("dim")[0].as_py(), held.column("p").to_numpy()
-        sides = quantise(unit(_matrix(held.column("v").chunk(0), dim)))
-        lists = [pa.array([held.column(x).to_numpy()], pa.list_(pa.int64())) for x in ("k", "rep", "n")]
+        whole = unit(_matrix(held.column("v").chunk(0), dim))
+        sides = *quantise(whole), whole
+        lists = [pa.array([held.column(x).to_numpy()], pa.list_(pa.int64())) for x in ("rep", "n")]
         raw = [pa.array([x.tobytes()], pa.binary()) for x in sides]
         return pa.record_batch([held.column("label").chunk(0)[:1], pa.array([dim], pa.int32()), pa.array([p.min()]), pa.array([p.max()]), *lists, *raw], names)
 
@@ -106,7 +107,7 @@ def _blocks(kinds: DataFrame, block: int) -> DataFrame:
             yield flush(parts)
 
     label = kinds.schema["label"].dataType.simpleString()
-    schema = f"label {label}, dim int, low double, high double, ks array<bigint>, reps array<bigint>, ns array<bigint>, codes binary, scales binary, norms binary, errors binary"
+    schema = f"label {label}, dim int, low double, high double, reps array<bigint>, ns array<bigint>, codes binary, scales binary, norms binary, errors binary, vectors binary"
     return settle(sorted_.transform(map_batches, cut, schema)).withColumn("no", F.monotonically_increasing_id())
 
 
@@ -119,6 +120,11 @@ def _count(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, count:
     return forest(a.tolist(), b.tolist(), root)
 
 
+def _summed(root: dict, count: dict) -> pa.RecordBatch:
+    """rep, root, links of a forest and the numbers of links."""
+    return pa.record_batch([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64()), pa.array([count[w] for w in root], pa.int64())], ["rep", "root", "links"])
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -147,54 +153,58 @@ def near_duplicates(
     ends = blocks.select("label", "dim", "no", "low", "high")
     other = ends.select("label", "dim", F.col("no").alias("no2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = ends.join(other, ["label", "dim"]).filter((F.col("no") <= F.col("no2")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
-    side = ["dim", "ks", "reps", "ns", "codes", "scales", "norms", "errors"]
+    side = ["dim", "reps", "ns", "codes", "scales", "norms", "errors"]
     tiles = pairs.select("no", "no2").join(blocks.select("no", *side), "no").join(blocks.select(F.col("no").alias("no2"), *[F.col(x).alias(f"{x}2") for x in side]), "no2")
 
     def coded(batch: pa.RecordBatch, r: int, first: int) -> tuple:
         dim = batch.column(first)[r].as_py()
-        codes, *rest = (batch.column(first + k)[r].as_buffer() for k in range(4, 8))
+        codes, *rest = (batch.column(first + k)[r].as_buffer() for k in range(3, 7))
         return np.frombuffer(codes, np.int8).reshape(-1, dim), *(np.frombuffer(x) for x in rest)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = pa.list_(pa.int32())
         for batch in batches:
             for r in range(batch.num_rows):
-                ka, ra, ca, kb, rb, cb = (batch.column(k)[r].values.to_numpy() for k in (3, 4, 5, 11, 12, 13))
-                same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
+                ra, ca, rb, cb = (batch.column(k)[r].values.to_numpy() for k in (3, 4, 10, 11))
+                no, no2 = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                 count: dict = {}
                 root: dict = {}
-                a, b = [ka[:0]], [kb[:0]]
-                for i, j, sure in tile_pairs(coded(batch, r, 2), coded(batch, r, 10), threshold):
-                    if same:
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, j, sure in tile_pairs(coded(batch, r, 2), coded(batch, r, 9), threshold):
+                    if no == no2:
                         i, j, sure = i[i < j], j[i < j], sure[i < j]
-                    a.append(ka[i[~sure]])
-                    b.append(kb[j[~sure]])
+                    a.append(i[~sure])
+                    b.append(j[~sure])
                     i, j = i[sure], j[sure]
                     root = _count(ra[i], rb[j], ca[i], cb[j], count, root)
-                a, b, nodes = np.concatenate(a), np.concatenate(b), list(root)
-                found = np.concatenate([np.array(nodes, np.int64), a]), np.concatenate([np.array([root[w] for w in nodes], np.int64), b])
-                links = pa.array([count[w] for w in nodes] + [None] * len(a), pa.int64())
-                yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), links], ["rep", "root", "links"])
-
-    # Rows with links are what tiles are sure of (a tree of each tile's links, and their number by end); those without are doubtful pairs of numbers.
-    tiled = settle(tiles.select("no", "no2", *side, *[f"{x}2" for x in side]).transform(map_batches, link, "rep bigint, root bigint, links bigint"))
-    doubtful = tiled.filter("links is null").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    end = lambda x: kinds.select(F.col("k").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+                yield pa.record_batch([*_summed(root, count).columns, *(pa.nulls(len(root), x) for x in (pa.int64(), pa.int64(), ints, ints))], columns)
+                if any(map(len, a)):
+                    doubt = (pa.array([np.concatenate(x).astype(np.int32)], ints) for x in (a, b))
+                    yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([no]), pa.array([no2]), *doubt], columns)
+
+    # Rows with links are what tiles are sure of (a tree of each tile's links, and their number by end); the others are tiles with their doubtful pairs.
+    columns = ["rep", "root", "links", "no", "no2", "i", "j"]
+    tiled = tiles.select("no", "no2", *side, *[f"{x}2" for x in side]).transform(map_batches, link, "rep bigint, root bigint, links bigint, no bigint, no2 bigint, i array<int>, j array<int>")
+    tiled = settle(tiled)
+    held = ["dim", "reps", "ns", "vectors"]
+    doubtful = tiled.filter("links is null").select("no", "no2", "i", "j").join(blocks.select("no", *held), "no")
+    doubtful = doubtful.join(blocks.select(F.col("no").alias("no2"), *[F.col(x).alias(f"{x}2") for x in held[1:]]), "no2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Vectors of several dimensions may share a batch, but not a pair.
-            size = pc.list_value_length(batch.column(4)).to_numpy()
-            true = np.zeros(batch.num_rows, bool)
-            for dim in np.unique(size).tolist():
-                at = np.flatnonzero(size == dim)
-                va, vb = (unit(_matrix(batch.column(k).take(pa.array(at)), dim)) for k in (4, 5))
-                true[at] = np.einsum("nd,nd->n", va, vb) >= threshold
-            count: dict = {}
-            root = _count(*(c.to_numpy()[true] for c in batch.columns[:4]), count, {})
-            yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64()), pa.array([count[w] for w in root], pa.int64())], ["rep", "root", "links"])
-
-    checked = doubtful.join(end("a"), "a").join(end("b"), "b").select("ra", "rb", "na", "nb", "va", "vb").transform(map_batches, verify, "rep bigint, root bigint, links bigint")
-    linked = tiled.filter("links is not null").union(settle(checked))
+            for r in range(batch.num_rows):
+                i, j, ra, ca, rb, cb = (batch.column(k)[r].values.to_numpy() for k in (1, 2, 3, 4, 6, 7))
+                va, vb = (np.frombuffer(batch.column(k)[r].as_buffer()).reshape(-1, batch.column(0)[r].as_py()) for k in (5, 8))
+                count: dict = {}
+                root: dict = {}
+                for k in range(0, len(i), 1 << 16):
+                    p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    true = np.einsum("nd,nd->n", va[p], vb[q]) >= threshold
+                    root = _count(ra[p[true]], rb[q[true]], ca[p[true]], cb[q[true]], count, root)
+                yield _summed(root, count)
+
+    checked = doubtful.select("dim", "i", "j", "reps", "ns", "vectors", "reps2", "ns2", "vectors2").transform(map_batches, verify, "rep bigint, root bigint, links bigint")
+    linked = tiled.filter("links is not null").select("rep", "root", "links").union(settle(checked))
     graph = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy(F.col("rep").alias("node")).agg(F.sum("links").alias("links"))
     found = graph.join(links, "node").select("node", "component", "links")
