@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, lines, packing, sharding, simhash, token_counts, urls, warc
+from . import decontaminate, divergence, embeddings, language, lines, packing, sharding, simhash, token_counts, urls, warc
 from ._common import table
 
 
@@ -50,13 +50,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language, op2_simhash, op3_line_dedup, op4_token_counts, op5_warc, op6_decontamination, op7_packing, op8_embeddings, op9_urls, op10_sharding)
+    for f in (op1_language, op2_simhash, op3_line_dedup, op4_token_counts, op5_warc, op6_decontamination, op7_packing, op8_embeddings, op9_urls, op10_sharding, op13_divergence)
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: 1 + floor(10^9 (n + 5) / (total + 5 kinds)), exact.
+_SHARE = "(1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * {kinds}))::BIGINT"
+
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
 )
@@ -89,4 +96,21 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM g JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op13_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) WHERE term <> '' GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n_lang FROM o GROUP BY lang, term HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n_lang)::BIGINT AS total_lang FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT o.lang, o.source, o.term, sum(n)::BIGINT AS n FROM o JOIN kept ON o.lang = kept.lang AND o.term = kept.term GROUP BY ALL),
+g AS MATERIALIZED (SELECT x.lang, x.source, coalesce(v, 0) AS v, coalesce(total_lang, 0) AS total_lang, coalesce(total, 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) x
+  LEFT JOIN langs ON x.lang = langs.lang LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) t ON t.lang = x.lang AND t.source = x.source),
+full_ AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="coalesce(c.n, 0)", total="total", kinds="v")} AS p, {_SHARE.format(n="n_lang", total="total_lang", kinds="v")} AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM full_ WHERE n > 0 AND p > q),
+both_ AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_) WHERE part = 'pair' OR rank <= 50""",
 }
