@@ -8,7 +8,6 @@ terms that both have make rows, all others enter by sums of each source.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,28 +21,30 @@ from pyspark.sql.window import Window
 
 from ._common import map_batches, settle
 
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Characters of a text that are split at once, so that a very long one doesn't become one list of terms; different terms that a task holds.
-_PIECE, _HELD = 1_000_000, 200_000
+#: UTF-8 bytes: A-Z lower-cased, letters and bytes of other characters as they are, all else a blank.
+_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of a text that are split at once, so that a very long one doesn't become one list of terms; different terms that a task holds.
+_PIECE, _HELD = 1_000_000, 400_000
 #: Cells of a block, the unit that sketches are sent and merged by.
 _BLOCK = 1 << 16
 #: Sketches merge in a tree: tasks in groups of so many at most.
 _FAN = 64
 
 
-def _terms(text: str) -> Iterator[list[str]]:
-    """The terms of a text, by pieces that end between terms."""
-    begin = 0
+def _terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, by pieces that end between terms."""
+    if len(text) <= _PIECE:
+        yield text.translate(_BYTES).split()
+        return
+    text, begin = text.translate(_BYTES), 0
     while begin < len(text):
-        end = min(len(text), begin + _PIECE)
-        while end < len(text) and _TERM.match(text, end - 1) and _TERM.match(text, end):
-            end += 1
-        yield _TERM.findall(text[begin:end].translate(_LOWER))
+        end = text.find(b" ", begin + _PIECE)
+        end = len(text) if end < 0 else end
+        yield text[begin:end].split()
         begin = end
 
 
-def _cells(lang: str, terms: list[str], depth: int, bits: int) -> np.ndarray:
+def _cells(lang: str, terms: list[bytes], depth: int, bits: int) -> np.ndarray:
     """depth x terms: the cells of each term of a language, two halves of a 128-bit hash combined for each row."""
     seed = xxhash.xxh64_intdigest(lang, 13)
     raw = b"".join(xxhash.xxh3_128_digest(t, seed) for t in terms)
@@ -51,6 +52,12 @@ def _cells(lang: str, terms: list[str], depth: int, bits: int) -> np.ndarray:
     return np.stack([(h[:, 0] + np.uint64(k) * (h[:, 1] | np.uint64(1))) >> np.uint64(64 - bits) for k in range(depth)]).astype(np.int64)
 
 
+def _bytes(texts: pa.Array) -> Iterator[bytes]:
+    """Each text's UTF-8, without making strings of them."""
+    for x in texts.cast(pa.large_binary()):
+        yield x.as_py()
+
+
 def sketch(docs: DataFrame, least: int, depth: int, bits: int) -> np.ndarray:
     """depth x 2^bits bytes over docs (lang, source, text): cells of document frequencies of (lang, term), at most ``least``, never underestimating.
 
@@ -75,8 +82,8 @@ def sketch(docs: DataFrame, least: int, depth: int, bits: int) -> np.ndarray:
 
         table, seen, held = np.zeros(cells, np.uint8), {}, 0
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                once: set[str] = set()
+            for lang, text in zip(b.column("lang").to_pylist(), _bytes(b.column("text"))):
+                once: set[bytes] = set()
                 for terms in _terms(text):
                     once.update(terms)
                 mine = seen.setdefault(lang, Counter())
@@ -130,16 +137,16 @@ def _counts(docs: DataFrame, table: np.ndarray, least: int, bits: int) -> DataFr
                 may &= (shared.value[row][at[row] >> 3] >> (7 - (at[row] & 7)).astype(np.uint8) & 1).astype(bool)
             kept = [t for t, m in zip(terms, may.tolist()) if m]
             if kept:
-                columns = [pa.array([lang] * len(kept)), pa.array([source] * len(kept)), pa.array(kept), pa.array([n[t] for t in kept], pa.int64()), pa.array([d[t] for t in kept], pa.int64())]
+                columns = [pa.array([lang] * len(kept)), pa.array([source] * len(kept)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([n[t] for t in kept], pa.int64()), pa.array([d[t] for t in kept], pa.int64())]
                 yield pa.record_batch(columns, ["lang", "source", "term", "n", "d"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = {}, 0
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), _bytes(b.column("text"))):
                 n, d = seen.setdefault((lang, source), (Counter(), Counter()))
                 held -= len(n)
-                once: set[str] = set()
+                once: set[bytes] = set()
                 for terms in _terms(text):
                     n.update(terms)
                     once.update(terms)

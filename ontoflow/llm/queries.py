@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, embeddings, language, lines, packing, sharding, simhash, token_counts, urls, warc
+from . import clustering, decontaminate, divergence, embeddings, language, lines, packing, pii, sharding, simhash, token_counts, urls, warc
 from ._common import table
 
 
@@ -50,13 +50,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language, op2_simhash, op3_line_dedup, op4_token_counts, op5_warc, op6_decontamination, op7_packing, op8_embeddings, op9_urls, op10_sharding, op13_divergence)
+    for f in (op1_language, op2_simhash, op3_line_dedup, op4_token_counts, op5_warc, op6_decontamination, op7_packing, op8_embeddings, op9_urls, op10_sharding, op11_pii, op12_clusters, op13_divergence)
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -68,7 +76,29 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
 )
 
+
+def _lloyd(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """SQL of op12: a table for each round's assignment and one for its centroids."""
+    near = "SELECT q, vec_id, x, cluster, d FROM (SELECT q, v.vec_id, v.x, c.cluster, list_sum(list_transform(range(1, {dim} + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d, row_number() OVER (PARTITION BY q ORDER BY d, c.cluster) AS r FROM v, c{j} c) WHERE r = 1"
+    mean = """SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{j} c LEFT JOIN (SELECT cluster, list(y ORDER BY i) AS x FROM (SELECT cluster, i, floor_div(sum(x[i])::HUGEINT, count(*)) AS y
+  FROM (SELECT cluster, x, unnest(range(1, {dim} + 1)) AS i FROM a{j}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.cluster"""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS q, vec_id, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, lambda y: y IS NOT NULL AND isfinite(y))))""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS cluster, x FROM (SELECT x, sha256('3:' || vec_id::VARCHAR) AS h FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for j in range(rounds + 1):
+        parts.append(f"a{j} AS MATERIALIZED ({near.format(j=j, dim=dim)})")
+        if j < rounds:
+            parts.append(f"c{j + 1} AS MATERIALIZED ({mean.format(j=j, dim=dim)})")
+    whole = ", ".join(parts).replace("floor_div(sum(x[i])::HUGEINT, count(*))", "((sum(x[i]) - (((sum(x[i]) % count(*)) + count(*)) % count(*))) // count(*))::BIGINT")
+    return f"""WITH {whole}
+SELECT vec_id, a.cluster, d AS distance, (sum(d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_clusters": _lloyd(),
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
