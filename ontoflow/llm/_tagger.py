@@ -155,7 +155,7 @@ class Tagger:
         g["step"], g["start"] = d_step / n, d[:, 0].sum(0) / n
         return float(total.sum() - told) / n, g
 
-    def fit(self, sym: np.ndarray, gold: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 42) -> Tagger:
+    def fit(self, sym: np.ndarray, gold: np.ndarray, steps: int, batch: int = 64, rate: float = 0.05, seed: int = 42) -> Tagger:
         """Adam over shuffled batches, with a rate that falls to nothing."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
