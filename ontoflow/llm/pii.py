@@ -65,7 +65,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def valid(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in found.split("."))
+        return all(x != "" and int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in found.split("."))
     n = _digits(found)
     return {"card": 13 <= len(n) <= 19 and luhn(n), "phone": 9 <= len(n) <= 15}.get(kind, True)
 
