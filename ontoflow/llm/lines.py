@@ -3,8 +3,8 @@
 A block that goes holds ``least_words`` words or more, so it holds a run: consecutive lines that just reach as many words. Runs
 are rare where single lines aren't. Each run that several documents hold links every later one to its earliest holder, so a passage
 makes no more pairs than it has holders, and no passage is left without a pair. Each pair is aligned with patience diff (lines unique in both are its
-anchors), and aligned common blocks of ``least_words`` words or more are deleted from the later document; what is moved or repeated within a document, so that
-no unique anchor reaches it, is aligned run by run after that. Blank lines are left out of all this.
+anchors), and aligned common blocks of ``least_words`` words or more are deleted from the later document; what is left of it is aligned again, for blocks
+that moved, are repeated, or have no line of their own. Nothing goes that isn't aligned. Blank lines are left out of all this.
 """
 
 from __future__ import annotations
@@ -122,19 +122,36 @@ def blocks(pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def common_lines(earlier: np.ndarray, earlier_words: np.ndarray, later: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
-    """Which lines of the later document are in a block of least_words words or more that the earlier one has too."""
+    """Which lines of the later document are in an aligned block of least_words words or more.
+
+    The documents are aligned as a whole; then what is left of the later one, stretch by stretch, with the whole earlier one, which finds blocks that moved or that the later
+    one repeats; last, where lines aren't unique, what is left from a common run on with the earlier document from that run on.
+    """
     cut = np.zeros(len(later), bool)
-    for a, z in blocks(patience(earlier.tolist(), later.tolist())):
-        if words[a:z].sum() >= least_words:
-            cut[a:z] = True
-    if not cut.all():
-        # Moved and repeated blocks: runs of the rest that the earlier document has anywhere.
-        a, z, h = runs(later, words, least_words)
-        held = np.isin(h, runs(earlier, earlier_words, least_words)[2])
-        steps = np.zeros(len(later) + 1, np.int64)
-        np.add.at(steps, a[held], 1)
-        np.add.at(steps, z[held], -1)
-        cut |= np.cumsum(steps[:-1]) > 0
+
+    def align(one: np.ndarray, begin: int, two: np.ndarray) -> None:
+        for a, z in blocks(patience(one.tolist(), two.tolist())):
+            if words[begin + a : begin + z].sum() >= least_words:
+                cut[begin + a : begin + z] = True
+
+    align(earlier, 0, later)
+    if cut.all():
+        return cut
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], cut, [True]]).astype(np.int8)))
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if (a, z) != (0, len(later)) and words[a:z].sum() >= least_words:
+            align(earlier, a, later[a:z])
+    a, z, h = runs(later, words, least_words)
+    at, _, h0 = runs(earlier, earlier_words, least_words)
+    known, first = np.unique(h0, return_index=True)
+    spot = np.searchsorted(known, h)
+    held = np.flatnonzero((spot < len(known)) & (known[np.minimum(spot, len(known) - 1)] == h)) if len(known) else np.zeros(0, np.int64)
+    for k in held.tolist():
+        if not cut[a[k] : z[k]].all():
+            p, q = int(at[first[spot[k]]]), int(a[k])
+            same = earlier[p : p + len(later) - q] != later[q : q + len(earlier) - p]
+            n = int(same.argmax()) if same.any() else len(same)
+            align(earlier[p : p + n], q, later[q : q + n])
     return cut
 
 
