@@ -133,7 +133,14 @@ def contamination(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all their columns, without contaminated documents. id_col must identify a row; rows whose id is null stay."""
-    bad = contamination(docs, benchmark, id_col, text_col, **options).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all their columns, without those whose text is contaminated.
+
+    Each row is judged by its own text, whatever its id: ids may be null or repeat. Rows with a null text stay, repeated rows fare alike,
+    an empty table gives an empty result, and no column name clashes.
+    """
+    fingerprint = next(n for k in range(len(docs.columns) + 1) if (n := f"_print{k}") not in docs.columns)
+    text = docs[f"`{text_col}`"]
+    prints = docs.select(F.md5(text).alias("doc_id"), text.alias("text"))
+    bad = contamination(prints, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias(fingerprint)).distinct()
+    return docs.join(bad, F.md5(text) == bad[fingerprint], "left_anti")
