@@ -277,11 +277,13 @@ def token_pieces(
 def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", groups: int = GROUPS) -> DataFrame:
     """The pieces with sequence_id and offset; pieces of ``capacity`` or more fill a sequence of their own.
 
-    Lengths must be positive. Sequence numbers have gaps; an empty table gives an empty result; a column
-    named sequence_id or offset is replaced, columns named _part, _row, _rank or _key are not allowed.
+    Lengths must be positive. Sequence numbers have gaps; repeated rows are packed each; an empty table gives an empty result; a column
+    named sequence_id or offset is replaced, all others are kept whatever their names.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset").withColumn("_key", F.col(length_col))
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = {c: f"c{k}" for k, c in enumerate(columns)}  # names that can't clash
+    pieces = pieces.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()], F.col(f"`{length_col}`").alias("_key"))
     # The checkpoint makes partitions stable, so that ranks can be counted by partition first.
     pieces = settle(pieces).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
     full = pieces.filter(F.col("_key") >= capacity).select("*", (2 * F.col("_row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -300,7 +302,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, length_col: str = "length", gr
         (2 * (F.col("_first") + F.floor(nth / F.col("_each")))).alias("sequence_id"),
         (F.col("_at") + nth % F.col("_each") * F.col("_len")).alias("offset"),
     )
-    return packed.unionByName(full).drop("_part", "_row", "_key")
+    return packed.unionByName(full).select(*[F.col(x).alias(c) for c, x in inner.items()], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 1024, end_id: int | None = 2, with_ids: bool = False) -> DataFrame:
