@@ -11,15 +11,22 @@ from ontoflow.llm import decontaminate, language, lines, packing, simhash
 from ontoflow.llm._common import remove, shared_dir, table
 
 
+# Each stage takes rows with any nulls, equal ids, repeated rows and more columns, and an empty table, for which it gives an empty result; all but
+# the last keep the columns as they are, whatever their names.
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null, or no letters); a missing lang becomes the predicted one."""
+    """Drop documents without a language (a null text, or one without letters); a missing lang becomes the predicted one. Repeated rows fare alike."""
     known = language.annotate(docs).filter(F.col("lang_pred") != language.UNKNOWN)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete blocks of lines that an earlier document has; a document that loses every line goes."""
-    out = lines.line_dedup(docs).filter("n_cut = 0 or n_cut < n_lines")
+    """Delete blocks of lines that an earlier document has; a document that loses every line goes.
+
+    Rows with a null id or text stay as they are. Rows of equal ids and texts are one document; of different texts with equal ids one counts as the later.
+    """
+    out = lines.line_dedup(docs).filter("n_cut is null or n_cut = 0 or n_cut < n_lines")
     n_chars = F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
@@ -30,12 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more is text of the benchmark."""
+    """Drop documents of which a twentieth or more is text of the benchmark, each by its own text; rows with a null text stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces packed into sequences of 1024."""
+    """Token pieces packed into sequences of 1024; a null text is one piece that holds the end token alone."""
     return packing.pack_documents(docs)
 
 
