@@ -275,3 +275,29 @@ def test_error_bound_holds():
     codes, scale, norm, error = embeddings.quantise(x)
     decoded = codes * scale[:, None]
     assert (np.abs(x @ x.T - decoded @ decoded.T) <= norm[:, None] * error + error[:, None] * norm + error[:, None] * error + 1e-12).all()
+
+
+def test_only_aligned_lines_go(monkeypatch):
+    """Blocks that moved, that repeat, and whose lines aren't unique; and nothing goes that patience diff doesn't align."""
+    rng = np.random.default_rng(1)
+    for round_ in range(300):
+        kinds = int(rng.integers(3, 40))
+        h, weight = rng.integers(-(2**62), 2**62, kinds), rng.integers(1, 9, kinds)
+        earlier, later = rng.integers(0, kinds, int(rng.integers(1, 40))), rng.integers(0, kinds, int(rng.integers(1, 40)))
+        for _ in range(int(rng.integers(0, 4))):
+            k, n, at = int(rng.integers(0, len(earlier))), int(rng.integers(1, 12)), int(rng.integers(0, len(later)))
+            later = np.concatenate([later[:at], earlier[k : k + n], later[at:]])
+        cut = np.zeros(len(later), bool)
+        for i in range(len(earlier)):
+            for j in range(len(later)):
+                n = 0
+                while i + n < len(earlier) and j + n < len(later) and earlier[i + n] == later[j + n]:
+                    n += 1
+                if weight[later[j : j + n]].sum() >= 20:
+                    cut[j : j + n] = True
+        args = h[earlier], weight[earlier], h[later], weight[later], 20
+        assert (lines.common_lines(*args) == cut).all()
+        if cut.any():
+            with monkeypatch.context() as m:
+                m.setattr(lines, "patience", lambda a, b: [])
+                assert not lines.common_lines(*args).any()
