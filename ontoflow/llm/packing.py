@@ -3,8 +3,8 @@
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, large lengths
 are sorted, cut into a few groups of equal cardinality and rounded up to each group's longest; how often each configuration of
 these few sizes is used is optimised by a linear program whose columns are generated as they pay; actual lengths take the places of the rounded ones, the last
-place of a sequence the longest that its room takes; small
-lengths go best-fit into what room is left. The outcome is a table of runs (length, ranks from-to, sequences,
+place of a sequence the longest that its room takes. What finds no place in a full sequence is grouped and optimised again, round by round, and the last of it is
+filled without rounding; small lengths go best-fit into what room is left. The outcome is a table of runs (length, ranks from-to, sequences,
 offset) whose size depends on ``capacity`` alone; it is broadcast and each piece finds its place by its rank
 among pieces of its length.
 """
@@ -26,8 +26,8 @@ from . import _bpe
 from ._common import map_batches, settle, tokenizer_path
 
 
-#: Groups of rounded lengths; the part of a sequence that a configuration may leave empty once actual lengths are in its places.
-GROUPS, WASTE = 24, 2000
+#: Groups of rounded lengths; grouping goes on as long as a round places one in so many of the pieces left.
+GROUPS, LAST = 24, 200
 
 
 def grouped(histogram: dict[int, int], smallest: int, groups: int) -> list[tuple[int, int]]:
@@ -140,11 +140,11 @@ def _fullest(sizes: list[int], left: list[int], first: int, capacity: int) -> li
     return used
 
 
-def _substituted(large: dict[int, int], groups: list[tuple[int, int]], capacity: int, waste: int) -> list[list]:
+def _substituted(large: dict[int, int], groups: list[tuple[int, int]], capacity: int, spare: dict[int, int]) -> list[list]:
     """Runs [sequences, room left, [(length, pieces in each), ...]] of configurations with actual lengths in their places; takes them out of large.
 
-    A place gets the longest length left that isn't above its rounded size, the last place of a sequence the longest that fits at all; sequences
-    that would leave more room than ``waste`` aren't made.
+    A place gets the longest length left that isn't above its rounded size, the last place of a sequence the longest that fits at all. A sequence
+    is made if it is full, or if there is a small piece that fills it to the token: spare has their numbers by length, and what is used goes from it.
     """
     there, runs = sorted(s for s, n in large.items() if n), []
 
@@ -167,10 +167,12 @@ def _substituted(large: dict[int, int], groups: list[tuple[int, int]], capacity:
             while s := longest(room, held):  # rounding has left room for another
                 held[s] = held.get(s, 0) + 1
                 room -= s
-            if room > waste:
-                break
             # As long as none of these lengths runs out, sequences are alike.
-            n = min(times, *(large[s] // u for s, u in held.items()))
+            n = min(times, *(large[s] // u for s, u in held.items()), *([spare.get(room, 0)] if room else []))
+            if not n:
+                break
+            if room:
+                spare[room] -= n
             for s, u in held.items():
                 large[s] -= u * n
             there = [s for s in there if large[s]]
@@ -184,8 +186,13 @@ def plan(histogram: dict[int, int], capacity: int, smallest: int | None = None,
     smallest = smallest or max(1, capacity // 5)
     large = {s: n for s, n in histogram.items() if s >= smallest and n}
     runs: list[list] = []
-    runs += _substituted(large, grouped(large, smallest, groups), capacity, capacity // WASTE)
-    # What found no place in a nearly full sequence goes without rounding, fullest sequence first.
+    # Group, optimise and substitute again with what is left, first for full sequences, then for those that a small piece fills up.
+    for spare in ({}, {s: n for s, n in histogram.items() if 0 < s < smallest}):
+        placed = sum(large.values())
+        while placed * LAST > (pieces := sum(large.values())) > 0:
+            runs += _substituted(large, grouped(large, smallest, groups), capacity, spare)
+            placed = pieces - sum(large.values())
+    # The last pieces go without rounding, fullest sequence first.
     rest = sorted(((s, n) for s, n in large.items() if n), reverse=True)
     for used, times in _filled(rest, capacity):
         held = [(rest[k][0], u) for k, u in enumerate(used) if u]
