@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see; a local one only where none is configured (tests)."""
+    """The folder every executor can see. Where none is configured, local mode (tests) gets one of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="ontoflow-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
