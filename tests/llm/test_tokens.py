@@ -84,3 +84,35 @@ def test_pack_documents(spark):
         assert [x for _, p in sorted(ids[i]) for x in p] == library.text(t or "") + [2]
     assert sorted(r.length for r in rows if r.doc_id == 4) == sorted([1024] * (len(library.text("x " * 3000)) // 1024) + [(len(library.text("x " * 3000)) + 1) % 1024])
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_most_large_pieces_are_placed_by_grouping(monkeypatch):
+    """Of uniform, lognormal and exponential lengths; and few sequences more than the tokens need."""
+    from collections import Counter
+
+    import numpy as np
+
+    from ontoflow.llm import packing
+
+    rng, n, plain = np.random.default_rng(0), 20_000, packing._substituted
+    placed = [0]
+
+    def counted(large, *rest):
+        before = sum(large.values())
+        runs = plain(large, *rest)
+        placed[0] += before - sum(large.values())
+        return runs
+
+    monkeypatch.setattr(packing, "_substituted", counted)
+    for x in (rng.integers(1, 1024, n), rng.lognormal(5.5, 0.9, n), rng.exponential(300, n)):
+        x, placed[0] = np.clip(x.astype(int), 1, 1023), 0
+        histogram = {int(s): int(m) for s, m in Counter(x.tolist()).items()}
+        rows = packing.plan(histogram, 1024)
+        used, room = Counter(), Counter()
+        for s, a, z, first, each, at in rows:
+            used[s] += z - a
+            for k in range(-(-(z - a) // each)):
+                room[first + k] += s * min(each, z - a - k * each)
+        assert used == histogram and max(room.values()) <= 1024
+        assert placed[0] / (x >= 204).sum() > 0.5
+        assert len(room) <= 1.005 * x.sum() / 1024
