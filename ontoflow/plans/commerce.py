@@ -48,9 +48,12 @@ RELATIONS: dict[str, str] = {
       UNION ALL SELECT 'not', -(9000000 + id), id FROM seg UNION ALL SELECT 'inverse', 14, 13""",
     "equivalent": "SELECT 7000 + (s.id - 3000) * 10 + r_regionkey AS s, -(1000000 + s.id * 10 + r_regionkey) AS o FROM seg s CROSS JOIN region",
     "disjoint_with": "SELECT a.id AS s, b.id AS o FROM oclass a JOIN oclass b ON a.st = 'P' AND b.st = 'P' AND a.pr = '1-URGENT' AND b.pr = '5-LOW'",
-    "prop_told": "SELECT 11 AS s, 10 AS o UNION ALL SELECT 12, 10 UNION ALL SELECT 9, 11",
+    # A property for each brand (contains that brand) below one for the first type it comes in, and these below contains.
+    "prop_told": """SELECT 11 AS s, 10 AS o UNION ALL SELECT 12, 10 UNION ALL SELECT 9, 11
+      UNION ALL SELECT 30000000 + b.id, 31000000 + min(t.id) FROM part JOIN brand b ON b.name = p_brand JOIN ptype t ON t.name = p_type GROUP BY b.id
+      UNION ALL SELECT 31000000 + id, 11 FROM ptype""",
     "prop_is_a": "SELECT 11 AS s, 10 AS o UNION ALL SELECT 12, 10 UNION ALL SELECT 9, 11 UNION ALL SELECT 9, 10 UNION ALL SELECT 9, 9 UNION ALL SELECT 10, 10 UNION ALL SELECT 11, 11 UNION ALL SELECT 12, 12 UNION ALL SELECT 13, 13 UNION ALL SELECT 14, 14",
-    "domain_range": "SELECT 'domain' AS kind, 10 AS p, 8001 AS c UNION ALL SELECT 'domain', 13, 8002 UNION ALL SELECT 'range', 14, 8002 UNION ALL SELECT 'domain', 12, 1",
+    "domain_range": "SELECT 'domain' AS kind, 10 AS p, 8001 AS c UNION ALL SELECT 'domain', 13, 8002 UNION ALL SELECT 'range', 14, 8002 UNION ALL SELECT 'domain', 12, 1 UNION ALL SELECT 'range', 30000000 + id, id FROM brand",
     "types": """SELECT CAST(1000 + r_regionkey AS BIGINT) AS s, 'Class' AS kind FROM region UNION ALL SELECT 2000 + n_nationkey, 'Class' FROM nation UNION ALL SELECT id, 'Class' FROM seg UNION ALL SELECT id, 'Class' FROM ptype
       UNION ALL SELECT id, 'Class' FROM brand UNION ALL SELECT id, 'Class' FROM oclass UNION ALL SELECT 1000000000 + c_custkey, 'NamedIndividual' FROM customer UNION ALL SELECT 2000000000 + s_suppkey, 'NamedIndividual' FROM supplier
       UNION ALL SELECT 3000000000 + p_partkey, 'NamedIndividual' FROM part UNION ALL SELECT 4000000000 + o_orderkey, 'Class' FROM orders UNION ALL SELECT 13, 'ObjectProperty' UNION ALL SELECT 14, 'ObjectProperty' UNION ALL SELECT 14, 'FunctionalProperty'

@@ -1,25 +1,27 @@
-"""The reasoner: a semi-naive fixpoint of joins over subsumptions (s, o).
+"""The reasoner: a semi-naive fixpoint of joins over append-only facts.
 
-Saturation rules derive subsumptions between known concepts. Construction rules make new concepts where the
-axioms ask for them: the successor that an existential has under all applicable universals, the intersection of
-universals' fillers, and the cases of a union below a concept. Rules of the reference that differ only in
-whether one or both sides sit in a union are one rule here, applied inside the cases. A new concept's id follows
-from its structure, so results don't depend on the order of rules.
+A round applies every rule that what is new can concern, and writes what that adds as one segment (ontoflow.plans.facts). Saturation rules derive
+subsumptions between known concepts; when they add nothing, construction rules make new concepts where the axioms ask for them: the successor that an existential has
+under all applicable universals, the intersection of universals' fillers, and the cases of a union below a concept. Rules of the reference that
+differ only in whether one or both sides sit in a union are one rule here, applied inside the cases. A new concept's id follows from its
+structure, so results don't depend on the order of rules.
+
+What nothing refers to (individuals, as a rule) joins last: the rounds over classes don't carry it, and it then takes a few rounds however deep the classes are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoflow.functions.terms import construct_id, list_text, restriction_text
 from ontoflow.operators import extract
 from ontoflow.operators.closure import transitive_closure
-from ontoflow.plans.storage import grow, settle
+from ontoflow.plans.facts import FACT, Facts, facts, union
+from ontoflow.plans.storage import settle
 from ontoflow.schema import BOTTOM, KB, TOP
 
 
@@ -27,26 +29,28 @@ class Inconsistent(Exception):
     """A named individual is below bottom."""
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, frames)
-
-
 def pairs(df: DataFrame, s: str, o: str) -> DataFrame:
     return df.select(F.col(s).alias("s"), F.col(o).alias("o"))
 
 
+def named(df: DataFrame, **columns: str) -> DataFrame:
+    """df with only these columns: new name = old name."""
+    return df.select(*(F.col(old).alias(new) for new, old in columns.items()))
+
+
 @dataclass
 class Result:
     """What a run found. sub: all subsumptions, reflexive ones and those of top included."""
 
     kb: KB
-    sub: DataFrame
-    some: DataFrame
-    only: DataFrame
-    concrete: DataFrame
-    refused: DataFrame
-    metrics: list[tuple[str, int, int]] = field(default_factory=list)
-    rule_rows: list[tuple[str, int, int]] = field(default_factory=list)
+    facts: Facts
+    metrics: list[tuple[int, int, float]] = field(default_factory=list)
+
+    def __post_init__(self):
+        have = self.facts.all
+        self.sub = have("sub").select("s", "o")
+        self.some, self.only = (named(have(k), s="s", prop="p", value="o") for k in ("some", "only"))
+        self.concrete, self.refused = have("concrete").select("s"), named(have("refused"), s="s", limit="p")
 
     def new_parents(self) -> DataFrame:
         """s, o: named parents that were neither told nor follow from a told edge and one more."""
@@ -65,12 +69,16 @@ class Result:
 
     def complete(self) -> bool:
         """Whether no construction was refused, so that nothing that the rules give is missing."""
-        return self.refused.isEmpty()
+        return not self.facts.has("refused")
 
     def usage(self) -> DataFrame:
-        """rule, executions, matches, hits of a run with profile: how often a rule ran, what it gave, and how many of that was new."""
-        rows = self.kb.spark.createDataFrame(self.rule_rows, "rule string, matches bigint, hits bigint")
-        return rows.groupBy("rule").agg(F.count("*").alias("executions"), F.sum("matches").alias("matches"), F.sum("hits").alias("hits"))
+        """rule, executions, matches, hits: how often a rule ran, what it gave, and how many of that was new (told of the first rule by name that gave it)."""
+        rows = [(rule, *map(int, n)) for rule, n in sorted(self.facts.used.items())]
+        return self.kb.spark.createDataFrame(rows, "rule string, executions bigint, matches bigint, hits bigint")
+
+    def derivations(self) -> DataFrame:
+        """rel, s, p, o, rule, sources: of a run with explain, each fact with the ways in which the round that made it derived it."""
+        return self.facts.derivations()
 
     def inconsistent(self) -> DataFrame:
         """s: named individuals below bottom."""
@@ -84,359 +92,429 @@ class Result:
             raise Inconsistent(f"individuals below bottom: {sorted(r['s'] for r in bad)}")
         return self
 
+    def close(self) -> None:
+        """Remove what the run wrote; the result's tables can't be read after that."""
+        self.facts.close()
+
+
+#: What a refusal's limit column says.
+TOO_MANY_CASES, TOO_MANY_ATOMS, TOO_DEEP = 1, 2, 3
+
 
 class Reasoner:
     """rules: "full", or "basic" (only rules without unions, cases and construction).
 
     max_cases: how many unions of a concept are split together; max_atoms: operands of a constructed intersection;
     max_depth: nesting of constructed restrictions. Beyond these nothing is constructed, and Result.refused says what wasn't, so that a result
-    that may lack something is told from a complete one. max_rounds ends in an error. profile counts matches and hits by rule (Result.usage), for
-    a checkpoint of all matches a round.
+    that may lack something is told from a complete one. max_rounds ends in an error. explain keeps how each fact was derived
+    (Result.derivations). extra: functions of the Reasoner that give more subsumptions (s, o) each round, from ``sub()`` and ``new()``.
     """
 
-    def __init__(self, rules: str = "full", max_cases: int = 2, max_atoms: int = 12, max_depth: int = 3, max_rounds: int = 100, extra: list[Callable[[Reasoner], DataFrame]] = (), profile: bool = False):
+    def __init__(self, rules: str = "full", max_cases: int = 2, max_atoms: int = 12, max_depth: int = 3, max_rounds: int = 1000, extra: list[Callable[[Reasoner], DataFrame]] = (), explain: bool = False):
         if rules not in ("full", "basic"):
             raise ValueError(f"no rule set {rules}")
-        self.full, self.max_cases, self.max_atoms, self.max_depth, self.max_rounds, self.extra, self.profile = rules == "full", max_cases, max_atoms, max_depth, max_rounds, list(extra), profile
+        self.full, self.max_cases, self.max_atoms, self.max_depth, self.max_rounds, self.extra, self.explain = rules == "full", max_cases, max_atoms, max_depth, max_rounds, list(extra), explain
+
+    def run(self, kb: KB) -> Result:
+        """All that follows. The result is the same whatever the order of axioms; an empty knowledge base gives top and bottom."""
+        self.kb, self.spark = kb, kb.spark
+        self.f = Facts(kb.spark, self.explain)
+        told, late = self._load()
+        self._settle({"assertion": told})
+        if late is not None:
+            self._settle({"assertion": late})
+        return Result(kb, self.f, self.f.metrics)
+
+    def _settle(self, found: dict[str, DataFrame]) -> None:
+        """Add found, then saturate and construct by turns until nothing is new."""
+        constructed, fresh = self.f.round, True
+        for _ in range(self.max_rounds):
+            if found and self.f.add(found):
+                found, fresh = self._saturation(), True
+            elif self.full and fresh:  # saturated: construct from what changed since the last time
+                found, fresh, constructed = self._construct(constructed), False, self.f.round
+            else:
+                return
+        raise RuntimeError(f"not settled in {self.max_rounds} rounds")
 
     # --- set-up -----------------------------------------------------------------------------------------------
 
-    def _load(self, kb: KB) -> None:
-        spark = kb.spark
-        self.kb, self.spark, self.metrics, self.rule_rows = kb, spark, [], []
-        self.refused = spark.createDataFrame([], "rule string, s bigint")
+    def _load(self) -> tuple[DataFrame, DataFrame | None]:
+        """Told facts, and those of what nothing refers to."""
+        kb, spark = self.kb, self.spark
         members = kb.list_member.distinct()
         kind = lambda k: members.filter(F.col("kind") == k).select("s", "o")
-        self.some, self.only = settle(kb.some.distinct()), settle(kb.only.distinct())
-        self.ands, self.ors, self.nots = settle(kind("and")), settle(kind("or")), settle(kind("not"))
         inverse = kind("inverse")
         self.inverse = settle(inverse.union(pairs(inverse, "o", "s")).distinct())
         typed = lambda k: kb.types.filter(F.col("kind") == k).select("s").distinct()
-        self.functional, self.individuals = settle(typed("FunctionalProperty")), settle(typed("NamedIndividual"))
-        lists = kind("disjoint").union(self.nots).union(pairs(self.nots, "s", "s"))
-        self.disjoint = settle(lists.distinct())  # list s, member o
-        used = union([kb.prop_is_a.select("s"), kb.prop_is_a.select(F.col("o").alias("s")), self.some.select(F.col("prop").alias("s")), self.only.select(F.col("prop").alias("s")), self.inverse.select("s"), self.functional, kb.domain_range.select(F.col("p").alias("s"))]).distinct()
+        self.functional = settle(typed("FunctionalProperty"))
+        some, only, nots = kb.some.distinct(), kb.only.distinct(), kind("not")
+        used = union([kb.prop_is_a.select("s"), kb.prop_is_a.select(F.col("o").alias("s")), some.select(F.col("prop").alias("s")), only.select(F.col("prop").alias("s")), self.inverse.select("s"), self.functional, kb.domain_range.select(F.col("p").alias("s")), named(kb.role, s="p")]).distinct()
         # p below q, so the inverse of p is below the inverse of q.
-        i, j = self.inverse.alias("i"), self.inverse.alias("j")
-        turned = kb.prop_is_a.alias("h").join(i, F.col("h.s") == F.col("i.s")).join(j, F.col("h.o") == F.col("j.s")).select(F.col("i.o").alias("s"), F.col("j.o").alias("o"))
-        closed = transitive_closure(kb.prop_is_a.select("s", "o").union(turned))
-        self.props = settle(closed.union(pairs(used, "s", "s")).distinct())
+        i, j = named(self.inverse, p="s", ip="o"), named(self.inverse, q="s", iq="o")
+        turned = named(named(kb.prop_is_a, p="s", q="o").join(i, "p").join(j, "q"), s="ip", o="iq")
+        self.props = settle(transitive_closure(kb.prop_is_a.select("s", "o").union(turned)).union(pairs(used, "s", "s")).distinct())
+        #: Properties p1, q2 such that what is related over p1 is related back over q2.
+        up = lambda a, b: named(self.props, **{a: "s", b: "o"})
+        self.back = settle(up("p1", "p").join(named(self.inverse, p="s", q="o"), "p").join(up("q", "q2"), "q").select("p1", "q2").distinct())
+        self.has_inverse, self.has_functional = not self.inverse.isEmpty(), not self.functional.isEmpty()
         ranges = kb.domain_range.filter(f"kind = 'range' and c <> {TOP}").select(construct_id(restriction_text("only", F.col("p"), F.col("c"))).alias("s"), F.col("p").alias("prop"), F.col("c").alias("value"))
-        self.only = settle(self.only.union(ranges).distinct())
-        domains = kb.domain_range.filter(f"kind = 'domain' and c <> {TOP}").select("p", F.col("c").alias("o"))
+        only = only.unionByName(ranges).distinct()
+        domains = kb.domain_range.filter(f"kind = 'domain' and c <> {TOP}").select(F.col("p").alias("up"), F.col("c").alias("o"))
         # The existential of a property's domain holds for its subproperties too.
-        domains = self.some.join(self.props.select(F.col("s").alias("prop"), F.col("o").alias("p")), "prop").join(domains, "p").select("s", "o")
-        told = union([kb.is_a.select("s", "o"), kb.equivalent.select("s", "o"), pairs(kb.equivalent, "o", "s"), self.ands, pairs(self.ors, "o", "s"), domains, ranges.select(F.lit(TOP).cast("bigint").alias("s"), F.col("s").alias("o"))])
-        ids = union([told.select("s"), told.select(F.col("o").alias("s")), self.some.select("s"), self.only.select("s"), self.some.select(F.col("value").alias("s")), self.only.select(F.col("value").alias("s")), self.disjoint.select(F.col("o").alias("s")), self.nots.select("s"), kb.types.filter("kind in ('Class', 'NamedIndividual')").select("s"), spark.createDataFrame([(TOP,), (BOTTOM,)], "s bigint")]).distinct()
-        self.sub, self.delta = settle(spark.createDataFrame([], "s bigint, o bigint")), None
-        self._add(union([told, pairs(ids, "s", "s"), ids.select("s", F.lit(TOP).cast("bigint").alias("o"))]).filter(f"s <> {BOTTOM} or o in ({TOP}, {BOTTOM})"))
-        # Constructed intersections as sets of atoms, and the cases (x, u, l, k) of unions u below x.
-        self.atoms = settle(spark.createDataFrame([], "k bigint, atoms array<bigint>, cases int, depth int"))
-        self.cases = settle(spark.createDataFrame([], "x bigint, u bigint, l bigint, k bigint"))
-        self.has = {n: not getattr(self, n).isEmpty() for n in ("some", "only", "ands", "ors", "nots", "disjoint", "inverse", "functional", "individuals")}
-
-    def _add(self, found: DataFrame) -> bool:
-        new = settle(found.select("s", "o").distinct().join(self.sub, ["s", "o"], "left_anti"))
-        n = new.count()
-        if n:
-            self.sub = grow(self.sub, new)
-            self.delta = new if self.delta is None else grow(self.delta, new)
-        return n > 0
+        domains = some.join(named(self.props, prop="s", up="o"), "prop").join(domains, "up").select("s", "o")
+        top = F.lit(TOP).cast("bigint")
+        edges = union([kb.is_a.select("s", "o"), kb.equivalent.select("s", "o"), pairs(kb.equivalent, "o", "s"), kind("and"), pairs(kind("or"), "o", "s"), domains, ranges.select(top.alias("s"), F.col("s").alias("o"))])
+        people = typed("NamedIndividual")
+        below = [named(kb.is_a, s="o"), named(kb.equivalent, s="o"), kb.equivalent.select("s"), named(members, s="o"), named(some, s="value"), named(only, s="value")]
+        self.late = settle(people.join(union(below).distinct(), "s", "left_anti"))
+        ids = union([edges.select("s"), named(edges, s="o"), some.select("s"), only.select("s"), named(some, s="value"), named(only, s="value"), named(members.filter("kind <> 'inverse'"), s="o"), nots.select("s"), kb.types.filter("kind in ('Class', 'NamedIndividual')").select("s"), spark.createDataFrame([(TOP,), (BOTTOM,)], "s bigint")]).distinct()
+        edges = union([edges, pairs(ids, "s", "s"), ids.select("s", top.alias("o"))]).filter(f"s is not null and o is not null and (s <> {BOTTOM} or o in ({TOP}, {BOTTOM}))")
+        edges = settle(edges.distinct())
+        is_late = not self.late.isEmpty()
+        early = edges.join(self.late, "s", "left_anti") if is_late else edges
+        clash = union([kind("disjoint"), nots, pairs(nots, "s", "s")])
+        rest = [facts(some, "some", "s", "value", "prop"), facts(only, "only", "s", "value", "prop"), facts(kind("and"), "and", "s", "o"), facts(kind("or"), "or", "s", "o"), facts(nots, "not", "s", "o"), facts(clash, "disjoint", "s", "o"), facts(people, "individual", "s"), facts(people, "concrete", "s")]
+        rest.append(facts(kind("or"), "case", "s", "o", "s"))  # what is below all operands' concepts is above the union
+        turned = named(kb.role.join(named(self.inverse, p="s", i="o"), "p"), s="o", p="i", o="s")
+        rest.append(facts(kb.role.select("s", "p", "o").unionByName(turned).filter("s is not null and p is not null and o is not null").distinct(), "role", "s", "o", "p"))
+        self.told_ors = settle(kind("or").select("s").distinct())
+        return union([facts(early, "sub", "s", "o"), *rest]), facts(edges.join(self.late, "s", "left_semi"), "sub", "s", "o") if is_late else None
+
+    def sub(self) -> DataFrame:
+        return self.f.all("sub").select("s", "o")
+
+    def new(self) -> DataFrame:
+        """Subsumptions of the last round."""
+        found = self.f.new("sub")
+        return (self.f.all("sub").limit(0) if found is None else found).select("s", "o")
+
+    def _dead(self, name: str) -> DataFrame:
+        return self.sub().filter(F.col("o") == BOTTOM).select(F.col("s").alias(name))
+
+    def _met(self) -> DataFrame:
+        """Subsumptions that rules over restrictions, lists and cases must look at: new ones, and old ones of the values and operands of new constructs."""
+        out = [self.new()]
+        fresh = [named(d, s="o") for k in ("some", "only") if (d := self.f.new(k)) is not None]
+        operands = []
+        if (d := self.f.new("and")) is not None:
+            operands.append(d.groupBy("s").agg(F.min("o").alias("o")).select("o"))  # what is below all operands is below this one
+        if (d := self.f.new("disjoint")) is not None:
+            operands.append(d.select("o"))
+        if fresh:
+            out.append(self.sub().join(union(fresh).distinct(), "s", "left_semi"))
+        if operands or fresh:
+            out.append(self.sub().join(union([*operands, *(named(d, o="s") for d in fresh)]).distinct(), "o", "left_semi").select("s", "o"))
+        return union(out).distinct() if len(out) > 1 else out[0]
 
     # --- saturation -------------------------------------------------------------------------------------------
 
-    def _transitive(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.filter(f"s <> o and o not in ({TOP}, {BOTTOM})"), b.filter(f"s <> o and o <> {TOP}")
-        return a.alias("a").join(b.alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
+    def _saturation(self) -> dict[str, DataFrame]:
+        """The rules that the last round's facts concern, each with what it gives."""
+        self.f.compact()
+        last, has, found = self.f.last, self.f.has, {}
+        if "sub" in last:
+            found["is_a_transitivity"] = self._transitive()
+            if self.f.tops:
+                found["top"] = self._of_top()
+        met = self._met()
+        rules: list[tuple[str, tuple[str, ...], Callable[[DataFrame], DataFrame]]] = [
+            ("and_2", ("and",), self._and),
+            ("disjoint", ("disjoint",), self._disjoint),
+            ("some_subprop_subclass", ("some",), lambda m: self._restricted(m, "some")),
+            ("only_subprop_subclass", ("only",), lambda m: self._restricted(m, "only")),
+            ("not", ("not", "disjoint"), self._complement),
+            ("not_middle", ("not",), self._middle),
+        ]
+        found |= {name: rule(met) for name, needs, rule in rules if all(map(has, needs))}
+        if has("some") and (self.f.bottoms or "some" in last):
+            found["some_nothing"] = self._empty_successor(met)
+        if has("only") and (self.f.bottoms or "only" in last):
+            found["only_nothing"] = self._only_nothing()
+        if self.has_inverse and has("some") and has("only"):
+            found["some_only_inverse"] = self._inverse(met)
+        if self.full and has("case"):
+            found["or_2"] = self._by_cases(met)
+        if has("role"):
+            found |= self._roles(met)
+        if has("individual"):
+            found |= self._concrete()
+        for k, rule in enumerate(self.extra):
+            found[f"extra_{k}"] = facts(rule(self), "sub", "s", "o")
+        return {name: df.filter(f"rel <> 'sub' or s <> {BOTTOM}") for name, df in found.items()}
+
+    def _transitive(self) -> DataFrame:
+        """New edges before and after known ones; edges to top are never the first, reflexive ones neither."""
+        first, then = f"s <> o and o not in ({TOP}, {BOTTOM})", f"s <> o and o <> {TOP}"
+        a = named(self.new().filter(first), x="s", y="o").join(named(self.sub().filter(then), y="s", z="o"), "y")
+        b = named(self.sub().filter(first), x="s", y="o").join(named(self.new().filter(then), y="s", z="o"), "y")
+        return facts(a.union(b), "sub", "x", "z", via=[("sub", "x", None, "y"), ("sub", "y", None, "z")])
 
-    def _and(self, new: DataFrame) -> DataFrame:
+    def _of_top(self) -> DataFrame:
+        """What is above top is above every concept; a key of its own for each part of the concepts, so that none is hot."""
+        parts = 64
+        tops = self.new().filter(f"s = {TOP} and o <> {TOP}").select(F.col("o").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        every = self.sub().filter(f"s = o and s <> {BOTTOM}").select(F.col("s").alias("x"), F.pmod(F.xxhash64("s"), F.lit(parts)).cast("int").alias("part"))
+        return facts(every.join(tops, "part"), "sub", "x", "z", via=[("sub", TOP, None, "z")])
+
+    def _and(self, met: DataFrame) -> DataFrame:
         """Division: below all operands, so below the intersection. Only pairs that the new facts touch are counted."""
-        ands = self.ands.select(F.col("s").alias("n"), "o")
+        ands = named(self.f.all("and"), n="s", o="o")
         size = ands.groupBy("n").agg(F.count("*").alias("size"))
-        touched = new.join(ands, "o").select("s", "n").distinct().join(self.sub.select("s", F.col("o").alias("n")), ["s", "n"], "left_anti")
-        met = touched.join(ands, "n").join(self.sub, ["s", "o"], "left_semi").groupBy("s", "n").agg(F.count("*").alias("met"))
-        return met.join(size, "n").filter("met = size").select("s", F.col("n").alias("o"))
-
-    def _some(self, new: DataFrame) -> DataFrame:
-        a = self.some.select(F.col("s").alias("s1"), F.col("prop").alias("p1"), F.col("value").alias("v1"))
-        b = self.some.select(F.col("s").alias("s2"), F.col("prop").alias("p2"), F.col("value").alias("v2"))
-        h = self.props.select(F.col("s").alias("p1"), F.col("o").alias("p2"))
-        return new.select(F.col("s").alias("v1"), F.col("o").alias("v2")).join(a, "v1").join(F.broadcast(h) if self.small_props else h, "p1").join(b, ["p2", "v2"]).select(F.col("s1").alias("s"), F.col("s2").alias("o"))
-
-    def _only(self, new: DataFrame) -> DataFrame:
-        a = self.only.select(F.col("s").alias("s1"), F.col("prop").alias("p1"), F.col("value").alias("v1"))
-        b = self.only.select(F.col("s").alias("s2"), F.col("prop").alias("p2"), F.col("value").alias("v2"))
-        h = self.props.select(F.col("s").alias("p2"), F.col("o").alias("p1"))
-        return new.select(F.col("s").alias("v1"), F.col("o").alias("v2")).join(a, "v1").join(F.broadcast(h) if self.small_props else h, "p1").join(b, ["p2", "v2"]).select(F.col("s1").alias("s"), F.col("s2").alias("o"))
-
-    def _disjoint(self, new: DataFrame) -> DataFrame:
+        touched = met.join(ands, "o").select("s", "n").distinct().join(named(self.sub(), s="s", n="o"), ["s", "n"], "left_anti")
+        below = touched.join(ands, "n").join(self.sub(), ["s", "o"], "left_semi")
+        whole = below.groupBy("s", "n").agg(F.count("*").alias("met"), *self._listed("sub", "s", "o")).join(size, "n").filter("met = size")
+        return facts(whole, "sub", "s", "n", via=self._via(whole))
+
+    def _listed(self, rel: str, s: str, o: str) -> list[Column]:
+        """With explain, the facts of a group, as the column via."""
+        if not self.explain:
+            return []
+        return [F.sort_array(F.collect_set(F.struct(F.lit(rel).alias("rel"), F.col(s).alias("s"), F.lit(0).cast("bigint").alias("p"), F.col(o).alias("o")))).alias("via")]
+
+    def _via(self, df: DataFrame, *more: tuple) -> Column | None:
+        if not self.explain:
+            return None
+        extra = [F.struct(F.lit(r).alias("rel"), *(((F.lit(0) if c is None else F.lit(c) if isinstance(c, int) else F.col(c)).cast("bigint")).alias(n) for c, n in zip(cs, ("s", "p", "o")))) for r, *cs in more]
+        return F.concat(F.col("via"), F.array(*extra)) if extra else F.col("via")
+
+    def _disjoint(self, met: DataFrame) -> DataFrame:
         """Two different members of a disjoint list above one concept; a count by list, never pairs."""
-        lists = self.disjoint.select(F.col("s").alias("d"), "o")
-        touched = new.join(lists, "o").select("s", "d").distinct()
-        count = touched.join(lists, "d").join(self.sub, ["s", "o"], "left_semi").groupBy("s", "d").agg(F.count("*").alias("n"))
-        return count.filter("n > 1").select("s", F.lit(BOTTOM).cast("bigint").alias("o"))
-
-    def _empty_successor(self, new: DataFrame) -> DataFrame:
-        return new.filter(F.col("o") == BOTTOM).select(F.col("s").alias("value")).join(self.some, "value").select("s", F.lit(BOTTOM).cast("bigint").alias("o"))
-
-    def _bottom_down(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.filter(f"o not in ({TOP}, {BOTTOM}) and s <> o").alias("a").join(b.filter(F.col("o") == BOTTOM).alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
-
-    def _complement(self) -> DataFrame:
-        """x is below not-A if it is below something disjoint with something above A; what holds of A and of not-A holds of top."""
-        n = self.nots.select(F.col("s").alias("n"), F.col("o").alias("a"))
-        lists = self.disjoint.select(F.col("s").alias("d"), F.col("o").alias("m"))
-        over = n.join(pairs(self.sub, "s", "o").select(F.col("s").alias("a"), F.col("o").alias("m")), "a").join(lists, "m").select("n", "d", "m")
-        block = over.join(lists.select("d", F.col("m").alias("b")), "d").filter("b <> m").select("n", "b").distinct()
-        below = self.sub.select("s", F.col("o").alias("b")).join(block, "b").select("s", F.col("n").alias("o"))
-        z1 = n.join(self.sub.select(F.col("s").alias("n"), F.col("o").alias("z")), "n")
-        z2 = self.sub.select(F.col("s").alias("a"), F.col("o").alias("z"))
-        top = z1.join(z2, ["a", "z"]).filter(f"z <> {TOP}").select(F.lit(TOP).cast("bigint").alias("s"), F.col("z").alias("o"))
-        return below.union(top)
-
-    def _of_top(self) -> DataFrame:
-        """What is above top is above every concept."""
-        tops = self.sub.filter(f"s = {TOP} and o not in ({TOP})").select("o")
-        every = self.sub.filter(f"s = o and s <> {BOTTOM}").select("s")
-        return every.crossJoin(F.broadcast(tops)) if tops.count() <= 1000 else every.join(tops)
-
-    def _inverse(self) -> DataFrame:
-        """M is some P.N, N only has A over P's inverse: M is below A. With a functional inverse, N's successor is M."""
-        h = self.props
-        up = lambda a, b: h.select(F.col("s").alias(a), F.col("o").alias(b))
-        edge = self.some.select(F.col("s").alias("m"), F.col("prop").alias("p1"), F.col("value").alias("n")).join(up("p1", "p"), "p1").join(self.inverse.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").join(up("q", "q2"), "q")
-        held = self.sub.select(F.col("s").alias("n"), F.col("o").alias("g"))
-        only = held.join(self.only.select(F.col("s").alias("g"), F.col("prop").alias("q2"), F.col("value").alias("a")), "g").select("n", "q2", "a").distinct()
-        return edge.join(only, ["n", "q2"]).select(F.col("m").alias("s"), F.col("a").alias("o"))
-
-    def _by_cases(self) -> DataFrame:
+        lists = named(self.f.all("disjoint"), d="s", o="o")
+        touched = met.join(lists, "o").select("s", "d").distinct()
+        count = touched.join(lists, "d").join(self.sub(), ["s", "o"], "left_semi").groupBy("s", "d").agg(F.count("*").alias("n"), *self._listed("sub", "s", "o")).filter("n > 1")
+        return facts(count, "sub", "s", BOTTOM, via=self._via(count))
+
+    def _restricted(self, met: DataFrame, kind: str) -> DataFrame:
+        """Restrictions over comparable properties and values: some grows with its property, only shrinks."""
+        a, b = named(self.f.all(kind), s1="s", p1="p", v1="o"), named(self.f.all(kind), s2="s", p2="p", v2="o")
+        h = named(self.props, p1="s", p2="o") if kind == "some" else named(self.props, p2="s", p1="o")
+        found = named(met, v1="s", v2="o").join(a, "v1").join(h, "p1").join(b, ["p2", "v2"])
+        return facts(found, "sub", "s1", "s2", via=[(kind, "s1", "p1", "v1"), ("sub", "v1", None, "v2"), (kind, "s2", "p2", "v2")])
+
+    def _empty_successor(self, met: DataFrame) -> DataFrame:
+        found = named(met.filter(F.col("o") == BOTTOM), v="s").join(named(self.f.all("some"), x="s", p="p", v="o"), "v")
+        return facts(found, "sub", "x", BOTTOM, via=[("some", "x", "p", "v"), ("sub", "v", None, BOTTOM)])
+
+    def _only_nothing(self) -> DataFrame:
+        """What has no successors over a property has only such of any kind over it."""
+        only = self.f.all("only")
+        none = named(only, s1="s", p1="p", v1="o").join(self._dead("v1"), "v1")
+        found = none.join(named(self.props, p2="s", p1="o"), "p1").join(named(only, s2="s", p2="p", v2="o"), "p2").filter("s1 <> s2")
+        return facts(found, "sub", "s1", "s2", via=[("only", "s1", "p1", "v1"), ("sub", "v1", None, BOTTOM), ("only", "s2", "p2", "v2")])
+
+    def _complement(self, met: DataFrame) -> DataFrame:
+        """x is below not-A if it is below something disjoint with something above A."""
+        nots, lists = named(self.f.all("not"), n="s", a="o"), named(self.f.all("disjoint"), d="s", m="o")
+
+        def block(sub: DataFrame) -> DataFrame:
+            over = nots.join(named(sub, a="s", m="o"), "a").join(lists, "m")
+            return over.join(named(lists, d="d", b="m"), "d").filter("b <> m").select("n", "a", "m", "b").distinct()
+
+        found = named(met, x="s", b="o").join(block(self.sub()), "b").unionByName(named(self.sub(), x="s", b="o").join(block(met), "b"))
+        return facts(found, "sub", "x", "n", via=[("sub", "x", None, "b"), ("sub", "a", None, "m"), ("not", "n", None, "a")])
+
+    def _middle(self, met: DataFrame) -> DataFrame:
+        """What holds of A and of not-A holds of top."""
+        nots = named(self.f.all("not"), n="s", a="o")
+        new, all_ = met.filter(f"o <> {TOP}"), self.sub().filter(f"o <> {TOP}")
+        one = nots.join(named(new, n="s", z="o"), "n").join(named(all_, a="s", z="o"), ["a", "z"])
+        two = nots.join(named(new, a="s", z="o"), "a").join(named(all_, n="s", z="o"), ["n", "z"])
+        return facts(one.unionByName(two), "sub", TOP, "z", via=[("sub", "n", None, "z"), ("sub", "a", None, "z"), ("not", "n", None, "a")])
+
+    def _inverse(self, met: DataFrame) -> DataFrame:
+        """M is some P.N, N only has A over P's inverse: M is below A."""
+        held = named(met, n="s", g="o").join(named(self.f.all("only"), g="s", q2="p", a="o"), "g")
+        found = held.join(self.back, "q2").join(named(self.f.all("some"), m="s", p1="p", n="o"), ["p1", "n"])
+        return facts(found, "sub", "m", "a", via=[("some", "m", "p1", "n"), ("sub", "n", None, "g"), ("only", "g", "q2", "a")])
+
+    def _by_cases(self, met: DataFrame) -> DataFrame:
         """Below z in all cases, but for impossible ones: below z."""
-        c = self.cases.select("x", "u", "k").distinct()
-        dead = self.sub.filter(F.col("o") == BOTTOM).select(F.col("s").alias("k")).distinct()
-        size = c.join(dead, "k", "left_anti").groupBy("x", "u").agg(F.count("*").alias("size"))
-        none = c.select("x", "u").distinct().join(size, ["x", "u"], "left_anti").select(F.col("x").alias("s"), F.lit(BOTTOM).cast("bigint").alias("o"))
-        live = c.join(dead, "k", "left_anti").join(self.sub.select(F.col("s").alias("k"), F.col("o").alias("z")), "k")
-        all_ = live.groupBy("x", "u", "z").agg(F.count("*").alias("n")).join(size, ["x", "u"]).filter("n = size").select(F.col("x").alias("s"), F.col("z").alias("o"))
-        return all_.union(none)
-
-    def _individuals(self) -> DataFrame:
-        """A concrete concept below {b} holds b."""
-        return self.concrete().join(self.sub, "s").join(self.individuals.select(F.col("s").alias("o")), "o").filter("s <> o").select(F.col("o").alias("s"), F.col("s").alias("o"))
-
-    def concrete(self) -> DataFrame:
-        """s: concepts that have members: individuals, what is above or linked to them, and the last possible operand of a concrete union."""
-        total = settle(self.individuals)
-        dead = self.sub.filter(F.col("o") == BOTTOM).select("s").distinct()
-        last = self.ors.join(dead.select(F.col("s").alias("o")), "o", "left_anti").groupBy("s").agg(F.count("*").alias("n"), F.min("o").alias("o")).filter("n = 1").select("s", "o")
-        steps = settle(union([self.sub.filter(f"s <> o and o <> {TOP}"), pairs(self.some.filter(f"value <> {TOP}"), "s", "value"), last]).distinct())
-        delta = total
-        while not delta.isEmpty():
-            delta = settle(delta.join(steps, "s").select(F.col("o").alias("s")).distinct().join(total, "s", "left_anti"))
-            total = grow(total, delta)
-        return total
-
-    def saturate(self) -> None:
-        """Apply the saturation rules to what is new until nothing is."""
-        self.small_props = self.props.count() <= 100_000
-        for _ in range(self.max_rounds):
-            new, self.delta = self.delta, None
-            if new is None or new.isEmpty():
-                return
-            found = {"is_a_transitivity": self._transitive(new, self.sub).union(self._transitive(self.sub, new)), "bottom": self._bottom_down(new, self.sub).union(self._bottom_down(self.sub, new)), "top": self._of_top()}
-            rules = {"and_2": ("ands", self._and), "disjoint": ("disjoint", self._disjoint), "some_subprop_subclass": ("some", self._some), "some_nothing": ("some", self._empty_successor), "only_subprop_subclass": ("only", self._only)}
-            found |= {name: rule(new) for name, (needs, rule) in rules.items() if self.has[needs]}
-            if self.has["nots"]:
-                found["not"] = self._complement()
-            if self.has["inverse"] and self.has["only"]:
-                found["some_only_inverse"] = self._inverse()
-            if self.full and not self.cases.isEmpty():
-                found["cases"] = self._by_cases()
-            found |= {f"extra_{k}": f(self) for k, f in enumerate(self.extra)}
-            if self.profile:
-                found = self._profiled(found)
-            self._add(union(list(found.values())).filter(f"s <> {BOTTOM}"))
-            self.metrics.append(("saturation", self.sub.count(), 0 if self.delta is None else self.delta.count()))
-        raise RuntimeError(f"not saturated in {self.max_rounds} rounds")
-
-    def _profiled(self, found: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """The rules' results, settled together, with what they matched and how much of it is new counted by rule."""
-        tagged = settle(union([df.select(F.lit(name).alias("rule"), "s", "o") for name, df in found.items()]).filter(f"s <> {BOTTOM}"))
-        new = tagged.distinct().join(self.sub, ["s", "o"], "left_anti").groupBy("rule").agg(F.count("*").alias("hits"))
-        counts = tagged.groupBy("rule").agg(F.count("*").alias("matches")).join(new, "rule", "left")
-        rows = {r["rule"]: (r["matches"], r["hits"] or 0) for r in counts.collect()}  # a row for each rule
-        self.rule_rows += [(name, *rows.get(name, (0, 0))) for name in found]
-        return {"all": tagged.select("s", "o")}
-
-    def _refuse(self, rule: str, column: str, made: DataFrame) -> None:
-        """Note the concepts for which a limit keeps something from being constructed."""
-        self.refused = settle(self.refused.union(made.select(F.lit(rule).alias("rule"), F.col(column).alias("s"))).distinct())
+        cases = named(self.f.all("case"), x="s", u="p", k="o")
+        touched = [named(met, k="s").distinct().join(cases, "k").select("x", "u")]
+        if (d := self.f.new("case")) is not None:
+            touched.append(named(d, x="s", u="p"))
+        c = cases.join(union(touched).distinct(), ["x", "u"], "left_semi")
+        live = c.join(self._dead("k").distinct(), "k", "left_anti")
+        size = live.groupBy("x", "u").agg(F.count("*").alias("size"))
+        none = c.select("x", "u").distinct().join(size, ["x", "u"], "left_anti")
+        every = live.join(named(self.sub(), k="s", z="o"), "k").groupBy("x", "u", "z").agg(F.count("*").alias("n"), *self._listed("sub", "k", "z")).join(size, ["x", "u"]).filter("n = size")
+        return facts(every, "sub", "x", "z", via=self._via(every, ("sub", "x", None, "u"))).unionByName(facts(none, "sub", "x", BOTTOM, via=[("sub", "x", None, "u")]))
+
+    def _roles(self, met: DataFrame) -> dict[str, DataFrame]:
+        """Individuals that are related: o is in what s only has over the property, and s has some of what o is."""
+        roles, up = named(self.f.all("role"), x="s", p="p", y="o"), named(self.props, p="s", q="o")
+        found = {}
+        if self.f.has("only"):
+            held = named(met, x="s", g="o").join(named(self.f.all("only"), g="s", q="p", c="o"), "g").join(up, "q").join(roles, ["x", "p"])
+            found["role_only"] = facts(held, "sub", "y", "c", via=[("sub", "x", None, "g"), ("only", "g", "q", "c"), ("role", "x", "p", "y")])
+        if self.f.has("some"):
+            has = named(met, y="s", c="o").join(named(self.f.all("some"), e="s", q="p", c="o"), "c").join(up, "q").join(roles, ["y", "p"])
+            found["role_some"] = facts(has, "sub", "x", "e", via=[("role", "x", "p", "y"), ("sub", "y", None, "c"), ("some", "e", "q", "c")])
+        return found
+
+    def _concrete(self) -> dict[str, DataFrame]:
+        """Concepts that have members: individuals, what is above or linked to them, and the last possible operand of a concrete union. A concrete concept below {b} holds b."""
+        found, concrete = {}, self.f.all("concrete").select("s")
+        up = lambda df: df.filter(f"s <> o and o not in ({TOP}, {BOTTOM})")
+        above = [up(self.new()).join(concrete, "s", "left_semi")]
+        if (d := self.f.new("concrete")) is not None:
+            above.append(up(self.sub()).join(d.select("s"), "s", "left_semi"))
+        above = union(above)
+        found["concrete_is_a"] = facts(above, "concrete", "o", via=[("concrete", "s", None, None), ("sub", "s", None, "o")])
+        if self.f.has("some") and ("concrete" in self.f.last or "some" in self.f.last):
+            linked = self.f.all("some").filter(f"o <> {TOP}").join(concrete, "s", "left_semi")
+            found["concrete_some"] = facts(linked, "concrete", "o", via=[("concrete", "s", None, None), ("some", "s", "p", "o")])
+        if self.f.has("or") and ("concrete" in self.f.last or self.f.bottoms):
+            live = self.f.all("or").join(concrete, "s", "left_semi").join(self._dead("o").distinct(), "o", "left_anti").groupBy("s").agg(F.count("*").alias("n"), F.min("o").alias("o")).filter("n = 1")
+            found["concrete_or"] = facts(live, "concrete", "o", via=[("concrete", "s", None, None), ("or", "s", None, "o")])
+        held = above.join(named(self.f.all("individual"), o="s"), "o")
+        found["individual_1"] = facts(held, "sub", "o", "s", via=[("concrete", "s", None, None), ("sub", "s", None, "o")])
+        return found
 
     # --- construction -----------------------------------------------------------------------------------------
 
-    def _sets(self, df: DataFrame, *columns: str) -> DataFrame:
-        """df with atoms, cases, depth of the intersection of the concepts in the named columns (ids)."""
-        df = df.withColumns({"atoms": F.array(), "cases": F.lit(0), "depth": F.lit(0)}).withColumn("atoms", F.col("atoms").cast("array<bigint>"))
-        for c in columns:
-            side = self.atoms.select(F.col("k").alias(c), F.col("atoms").alias("_a"), F.col("cases").alias("_c"), F.col("depth").alias("_d"))
-            df = df.join(side, c, "left").withColumns({"atoms": F.array_sort(F.array_union("atoms", F.coalesce("_a", F.array(c)))), "cases": F.col("cases") + F.coalesce("_c", F.lit(0)), "depth": F.greatest("depth", F.coalesce("_d", F.lit(0)))}).drop("_a", "_c", "_d")
-        return df.withColumn("k", F.when(F.size("atoms") == 1, F.col("atoms")[0]).otherwise(construct_id(list_text("and", F.col("atoms")))))
-
-    def _intersections(self, made: DataFrame) -> None:
-        """Enter constructed intersections (k, atoms, cases, depth)."""
-        new = made.filter("size(atoms) > 1").groupBy("k").agg(F.first("atoms").alias("atoms"), F.min("cases").alias("cases"), F.min("depth").alias("depth"))
-        new = settle(new.join(self.atoms, "k", "left_anti"))
-        if new.isEmpty():
-            return
-        self.atoms = grow(self.atoms, new.select("k", "atoms", "cases", "depth"))
-        parts = new.select(F.col("k").alias("s"), F.explode("atoms").alias("o"))
-        self.ands, self.has["ands"] = settle(self.ands.union(parts).distinct()), True
-        self._add(union([parts, new.select(F.col("k").alias("s"), F.col("k").alias("o")), new.select(F.col("k").alias("s"), F.lit(TOP).cast("bigint").alias("o"))]))
-
-    def _restrictions(self, kind: str, made: DataFrame) -> DataFrame:
-        """made (prop, value, ...) with the id r of its restriction, entered if it is new."""
-        made = settle(made.withColumn("r", construct_id(restriction_text(kind, F.col("prop"), F.col("value")))))
-        old = getattr(self, kind)
-        new = settle(made.select(F.col("r").alias("s"), "prop", "value").distinct().join(old, ["s", "prop", "value"], "left_anti"))
-        if not new.isEmpty():
-            setattr(self, kind, grow(old, new))
-            self.has[kind] = True
-            self._add(pairs(new, "s", "s").union(new.select("s", F.lit(TOP).cast("bigint").alias("o"))))
-            # Facts about the values were new before the restriction was: they meet it now.
-            again = self.sub.join(new.select(F.col("value").alias("s")).union(self.some.join(new, "value", "left_semi").select(F.col("value").alias("s"))).distinct(), "s", "left_semi")
-            up = self.sub.join(new.select(F.col("value").alias("o")).distinct(), "o", "left_semi").select("s", "o")
-            self.delta = settle(union([d for d in (self.delta, again.select("s", "o"), up) if d is not None]).distinct())
-        return made
-
-    def _minimal(self, held: DataFrame, *key: str) -> DataFrame:
-        """held (key..., v) without v that is above another v of the same key (of equivalent ones the least id stays)."""
-        other = held.select(*key, F.col("v").alias("lower"))
-        below = self.sub.select(F.col("s").alias("lower"), F.col("o").alias("v"))
-        back = self.sub.select(F.col("s").alias("v"), F.col("o").alias("lower")).withColumn("back", F.lit(True))
-        over = held.join(other, list(key)).filter("v <> lower").join(below, ["lower", "v"], "left_semi").join(back, ["v", "lower"], "left").filter("back is null or lower < v")
-        return held.join(over.select(*key, "v").distinct(), [*key, "v"], "left_anti")
-
-    def _universals(self) -> DataFrame:
-        """x, q, v: x is below only q.v."""
-        return self.sub.select(F.col("s").alias("x"), F.col("o").alias("g")).join(self.only.select(F.col("s").alias("g"), F.col("prop").alias("q"), F.col("value").alias("v")), "g").filter(f"v <> {TOP}").select("x", "q", "v").distinct()
-
-    def _alive(self, df: DataFrame, column: str = "x") -> DataFrame:
-        return df.join(self.sub.filter(F.col("o") == BOTTOM).select(F.col("s").alias(column)).distinct(), column, "left_anti").filter(F.col(column) != BOTTOM)
-
-    def _successors(self) -> None:
+    def _construct(self, since: int) -> dict[str, DataFrame]:
+        """New concepts for what rounds after ``since`` changed."""
+        has, alive = self.f.has, self._dead("x").distinct()
+        self.touched = settle(named(self.f.since("sub", since), x="s").distinct().join(alive, "x", "left_anti").filter(f"x <> {BOTTOM}"))
+        self.attr = self.f.all("attr").groupBy(F.col("s").alias("id")).agg(F.max("p").alias("depth"), F.max("o").alias("cases"))
+        asked = []
+        if has("only") and has("some"):
+            asked.append(self._successors())
+        if has("only"):
+            asked.append(self._fillers())
+        if has("or") or has("not"):
+            asked.append(self._open_unions())
+        found = {}
+        if asked:
+            found |= self._contexts(union(asked))
+        if self.has_functional and has("some"):
+            found |= self._functional()
+        if has("some") and has("case"):
+            found["some_or"] = self._existentials_of_cases()
+        return found
+
+    def _below(self, kind: str, x: str, g: str, prop: str, value: str) -> DataFrame:
+        """x, g, prop, value: touched concepts below a restriction."""
+        edges = named(self.sub(), x="s", g="o").join(self.touched, "x", "left_semi")
+        return named(edges.join(named(self.f.all(kind), g="s", prop="p", value="o"), "g").filter(f"value <> {TOP}"), **{x: "x", g: "g", prop: "prop", value: "value"})
+
+    def _asked(self, df: DataFrame, rule: str, x: str, p: str, w: Column, u: Column) -> DataFrame:
+        """rule, x, p, w, u, part, g: a concept (one row a part) whose parts' intersection is asked for, as x is below g."""
+        return df.select(F.lit(rule).alias("rule"), F.col(x).alias("x"), F.col(p).alias("p") if p else F.lit(0).cast("bigint").alias("p"), w.cast("bigint").alias("w"), u.cast("bigint").alias("u"), "part", "g")
+
+    def _successors(self) -> DataFrame:
         """An existential's successor is in all fillers of the universals that hold."""
-        edge = self.sub.select(F.col("s").alias("x"), F.col("o").alias("g")).join(self.some.select(F.col("s").alias("g"), F.col("prop").alias("p"), F.col("value").alias("w")), "g").select("x", "p", "w").distinct()
-        edge = self._alive(edge)
-        held = edge.join(self.props.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").join(self._universals(), ["x", "q"]).select("x", "p", "w", "v").distinct()
-        held = held.join(self.sub.select(F.col("s").alias("w"), F.col("o").alias("v")), ["w", "v"], "left_anti")
-        held = self._minimal(settle(held), "x", "p", "w")
-        self._conjoin("some", held.groupBy("x", "p", "w").agg(F.collect_set("v").alias("vs")).select("x", "p", F.array_union(F.array("w"), "vs").alias("vs")))
-
-    def _fillers(self) -> None:
+        edge = self._below("some", "x", "e", "p", "w").groupBy("x", "p", "w").agg(F.min("e").alias("e"))
+        only = self._below("only", "x", "g", "q", "v").groupBy("x", "q", "v").agg(F.min("g").alias("g"))
+        held = edge.join(named(self.props, p="s", q="o"), "p").join(only, ["x", "q"]).groupBy("x", "p", "w", "e", "v").agg(F.min("g").alias("g"))
+        held = held.join(named(self.sub(), w="s", v="o"), ["w", "v"], "left_anti")
+        both = F.explode(F.array(F.struct(F.col("v").alias("part"), F.col("g").alias("why")), F.struct(F.col("w").alias("part"), F.col("e").alias("why"))))
+        parts = held.select("x", "p", "w", both.alias("b")).select("x", "p", "w", "b.part", F.col("b.why").alias("g"))
+        return self._asked(parts, "some_only", "x", "p", F.col("w"), F.lit(0))
+
+    def _fillers(self) -> DataFrame:
         """Universals over one property at once: their fillers' intersection."""
-        props = self.only.select(F.col("prop").alias("p")).distinct()
-        held = self._alive(self._universals()).join(self.props.select(F.col("s").alias("p"), F.col("o").alias("q")).join(props, "p"), "q").select("x", "p", "v").distinct()
-        held = self._minimal(settle(held), "x", "p")
-        self._conjoin("only", held.groupBy("x", "p").agg(F.collect_set("v").alias("vs")).filter("size(vs) > 1"))
-
-    def _conjoin(self, kind: str, made: DataFrame) -> None:
-        """x is below kind p.(intersection of vs), within the limits."""
-        made = settle(made)
-        if made.isEmpty():
-            return
-        each = made.select("x", "p", "vs", F.explode("vs").alias("v")).join(self.atoms.select(F.col("k").alias("v"), "atoms", "cases", "depth"), "v", "left")
-        sets = each.groupBy("x", "p", "vs").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("atoms", F.array("v")))))).alias("atoms"), F.max(F.coalesce("cases", F.lit(0))).alias("cases"), (F.max(F.coalesce("depth", F.lit(0))) + 1).alias("depth"))
-        able = (F.size("atoms") <= self.max_atoms) & (F.col("depth") <= self.max_depth)
-        sets = settle(sets)
-        self._refuse(f"{kind}_and", "x", sets.filter(~able))
-        sets = sets.filter(able)
-        sets = settle(sets.withColumn("k", construct_id(list_text("and", F.col("atoms")))))
-        self._intersections(sets)
-        made = self._restrictions(kind, sets.select("x", F.col("p").alias("prop"), F.col("k").alias("value")))
-        self._add(made.select(F.col("x").alias("s"), F.col("r").alias("o")))
-
-    def _functional(self) -> None:
-        """The only successor over a functional property is in the filler of any existential below it."""
-        f = self.props.join(self.functional.select(F.col("s").alias("o")), "o").select(F.col("s").alias("p"), F.col("o").alias("prop"))
-        edge = self.sub.select(F.col("s").alias("x"), F.col("o").alias("g")).join(self.some.select(F.col("s").alias("g"), F.col("prop").alias("p"), F.col("value").alias("v")), "g").join(f, "p").filter(f"v <> {TOP}").select("x", "prop", "v").distinct()
-        edge = self._minimal(settle(self._alive(edge)), "x", "prop")
-        edge = edge.join(self.atoms.select(F.col("k").alias("v"), "depth"), "v", "left").withColumn("deep", F.coalesce("depth", F.lit(0)) >= self.max_depth)
-        self._refuse("some_func", "x", edge.filter("deep"))
-        edge = edge.filter("not deep")
-        known = self._universals().select("x", F.col("q").alias("prop"), "v")
-        made = self._restrictions("only", edge.join(known, ["x", "prop", "v"], "left_anti").select("x", "prop", F.col("v").alias("value")))
-        self._add(made.select(F.col("x").alias("s"), F.col("r").alias("o")))
-        if self.has["inverse"]:
-            # N's successor over a functional property is the M whose existential leads to N over its inverse: M is related back.
-            up = lambda a, b: self.props.select(F.col("s").alias(a), F.col("o").alias(b))
-            there = self.some.select(F.col("s").alias("m"), F.col("prop").alias("r1"), F.col("value").alias("n")).join(up("r1", "i"), "r1").join(self.inverse.select(F.col("s").alias("i"), F.col("o").alias("prop")), "i").join(self.functional.select(F.col("s").alias("prop")), "prop")
-            on = self.sub.select(F.col("s").alias("n"), F.col("o").alias("g")).join(self.some.select(F.col("s").alias("g"), F.col("prop").alias("r2")), "g").select("n", "r2").distinct().join(up("r2", "prop"), "r2").join(self.inverse.select(F.col("s").alias("r2"), F.col("o").alias("back")), "r2")
-            made = self._restrictions("some", there.join(on, ["n", "prop"]).select("m", F.col("back").alias("prop"), F.col("n").alias("value")).distinct())
-            self._add(made.select(F.col("m").alias("s"), F.col("r").alias("o")))
+        props = named(self.f.all("only"), p="p").distinct()
+        held = self._below("only", "x", "g", "q", "v").join(named(self.props, p="s", q="o").join(props, "p", "left_semi"), "q").groupBy("x", "p", "v").agg(F.min("g").alias("g"))
+        return self._asked(named(held, x="x", p="p", part="v", g="g"), "only_and", "x", "p", F.lit(0), F.lit(0))
 
-    def _split(self) -> None:
+    def _open_unions(self) -> DataFrame:
         """Cases of the unions below which a concept is, unless it is below one of their operands."""
-        ors = self.ors.select(F.col("s").alias("u"), F.col("o").alias("l"))
-        own = ors.select(F.col("u").alias("x"), "u", "l", F.col("l").alias("k"))
-        values = self.some.select(F.col("value").alias("x")).union(self.atoms.select(F.col("k").alias("x"))).distinct()
-        able = self.sub.filter("s = o and s > 0").select(F.col("s").alias("x")).union(values).union(self.kb.list_member.filter("kind = 'and'").select(F.col("s").alias("x"))).distinct()
-        below = self.sub.select(F.col("s").alias("x"), F.col("o").alias("u")).join(ors.select("u").distinct(), "u").filter("x <> u").join(able, "x", "left_semi")
-        if self.has["nots"]:
+        ors = named(self.f.all("or"), u="s", l="o")
+        some_values = named(self.f.all("some"), x="o") if self.f.has("some") else self.attr.select(F.col("id").alias("x")).limit(0)
+        able = union([self.touched.filter("x > 0"), some_values, named(self.attr, x="id")]).distinct()
+        below = named(self.sub(), x="s", u="o").join(self.touched, "x", "left_semi").join(ors.select("u").distinct(), "u", "left_semi").filter("x <> u").join(able, "x", "left_semi")
+        met = below.join(ors, "u").join(named(self.sub(), x="s", l="o"), ["x", "l"], "left_semi").select("x", "u").distinct()
+        open_ = below.join(met, ["x", "u"], "left_anti").join(ors, "u").select("x", "u", "l")
+        if self.f.has("not") and self.f.has("and"):
             # Excluded middle, for a concept that has part of the other operand of a union with not-A.
-            n = self.nots.select(F.col("s").alias("n"), F.col("o").alias("a"))
-            with_not = n.join(ors.select(F.col("l").alias("n"), "u"), "n").join(ors.select("u", F.col("l").alias("other")), "u").filter("other <> n")
-            part = with_not.join(self.ands.select(F.col("s").alias("other"), F.col("o").alias("b")), "other").select("n", "a", "b").distinct()
-            asked = self.sub.select(F.col("s").alias("x"), F.col("o").alias("b")).join(part, "b").filter("x > 2").select("x", "n", "a").distinct()
-            middle = asked.select("x", F.col("n").alias("u"), F.explode(F.array("n", "a")).alias("l"))
-        else:
-            middle = None
-        open_ = self._alive(below)
-        settled_ = open_.join(ors, "u").join(self.sub.select(F.col("s").alias("x"), F.col("o").alias("l")), ["x", "l"], "left_semi").select("x", "u").distinct()
-        open_ = open_.join(settled_, ["x", "u"], "left_anti").join(ors, "u").select("x", "u", "l")
-        open_ = open_ if middle is None else open_.union(middle)
-        made = self._sets(settle(open_.distinct()), "x", "l").withColumn("cases", F.col("cases") + 1)
-        limit = (F.col("cases") <= self.max_cases) & (F.size("atoms") <= self.max_atoms)
-        full = made.groupBy("x", "u").agg(F.min(limit.cast("int")).alias("ok")).filter("ok = 1")
-        self._refuse("cases", "x", made.join(full, ["x", "u"], "left_anti"))
-        made = settle(made.join(full, ["x", "u"], "left_semi").select("x", "u", "l", "k", "atoms", "cases", "depth"))
-        self._intersections(made)
-        rows = made.select("x", "u", "l", "k").union(own.select("x", "u", "l", "k"))
-        new = settle(rows.distinct().join(self.cases, ["x", "u", "l", "k"], "left_anti"))
-        if new.isEmpty():
-            return
-        self.cases = grow(self.cases, new)
-        self.delta = settle(self.sub.join(new.select(F.col("x").alias("s")).distinct(), "s", "left_semi").union(self.delta) if self.delta is not None else self.sub.join(new.select(F.col("x").alias("s")).distinct(), "s", "left_semi"))
-        # Some P.V with V in cases is below the union of the cases' existentials.
-        edge = self.some.select(F.col("s").alias("e"), F.col("prop"), F.col("value").alias("x")).join(new.filter("x <> u or k = l"), "x")
-        edge = edge.join(self.atoms.select(F.col("k"), F.col("depth").alias("d")), "k", "left").withColumn("deep", F.coalesce("d", F.lit(0)) >= self.max_depth)
-        self._refuse("some_or", "e", edge.filter("deep"))
-        edge = edge.filter("not deep")
-        parts = self._restrictions("some", edge.select("e", "u", "prop", F.col("k").alias("value")).distinct())
-        sets = settle(parts.groupBy("e", "u").agg(F.array_sort(F.collect_set("r")).alias("rs")).withColumn("w", construct_id(list_text("or", F.col("rs")))))
-        members = sets.select(F.col("w").alias("s"), F.explode("rs").alias("o")).distinct()
-        self.ors = settle(self.ors.union(members).distinct())
-        self.has["ors"] = True
-        self._add(union([pairs(members, "o", "s"), pairs(members, "s", "s"), members.select("s", F.lit(TOP).cast("bigint").alias("o")), sets.select(F.col("e").alias("s"), F.col("w").alias("o"))]))
-
-    def construct(self) -> None:
-        if self.has["only"] and self.has["some"]:
-            self._successors()
-        if self.has["only"]:
-            self._fillers()
-        if self.has["functional"] and self.has["some"]:
-            self._functional()
-        if self.has["ors"] or self.has["nots"]:
-            self._split()
-
-    def run(self, kb: KB) -> Result:
-        """All that follows. The result is the same whatever the order of axioms; an empty knowledge base gives top and bottom."""
-        self._load(kb)
-        for _ in range(self.max_rounds):
-            self.saturate()
-            before = self.sub.count()
-            if self.full:
-                self.construct()
-            if self.has["individuals"]:
-                self._add(self._individuals())
-            if (self.delta is None or self.delta.isEmpty()) and self.sub.count() == before:
-                return Result(kb, self.sub, self.some, self.only, self.concrete(), self.refused, self.metrics, self.rule_rows)
-        raise RuntimeError(f"construction unsettled after {self.max_rounds} rounds")
+            nots = named(self.f.all("not"), n="s", a="o")
+            with_not = nots.join(named(ors, n="l", u="u"), "n").join(named(ors, u="u", other="l"), "u").filter("other <> n")
+            part = with_not.join(named(self.f.all("and"), other="s", b="o"), "other").select("n", "a", "b").distinct()
+            asked = named(self.sub(), x="s", b="o").join(self.touched, "x", "left_semi").join(part, "b").filter(f"x > {BOTTOM}").select("x", "n", "a").distinct()
+            open_ = open_.unionByName(asked.select("x", F.col("n").alias("u"), F.explode(F.array("n", "a")).alias("l")))
+        parts = open_.select("x", "u", "l", F.explode(F.array("x", "l")).alias("part"), F.col("u").alias("g")).distinct()
+        return self._asked(parts, "case", "x", None, F.col("l"), F.col("u"))
+
+    def _contexts(self, asked: DataFrame) -> dict[str, DataFrame]:
+        """Facts of the intersections asked for, within the limits: without operands that others are below."""
+        key = ["rule", "x", "p", "w", "u"]
+        asked = settle(asked.distinct())
+        limits = asked.join(named(self.attr, part="id", depth="depth", cases="cases"), "part", "left").groupBy(*key).agg(F.max(F.coalesce("depth", F.lit(0))).alias("depth"), F.max(F.coalesce("cases", F.lit(0))).alias("cases"))
+        inner = named(self.f.all("and"), part="s", atom="o").join(named(self.attr, part="id"), "part", "left_semi")
+        atoms = asked.join(inner, "part", "left").select(*key, F.coalesce("atom", "part").alias("a")).distinct()
+        below = named(self.sub(), b="s", a="o")
+        over = atoms.join(named(atoms, **{c: c for c in key}, b="a"), key).filter("a <> b").join(below, ["a", "b"], "left_semi")
+        back = named(self.sub(), a="s", b="o").withColumn("both", F.lit(True))
+        over = over.join(back, ["a", "b"], "left").filter("both is null or b < a").select(*key, "a").distinct()
+        least = atoms.join(over, [*key, "a"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set("a")).alias("atoms"))
+        made = least.join(limits, key).withColumn("k", F.when(F.size("atoms") == 1, F.col("atoms")[0]).otherwise(construct_id(list_text("and", F.col("atoms")))))
+        split = F.col("rule") == "case"
+        cases = F.col("cases") + F.when(split, 1).otherwise(0)
+        limit = F.when(cases > self.max_cases, TOO_MANY_CASES).when(F.size("atoms") > self.max_atoms, TOO_MANY_ATOMS).when(~split & (F.col("depth") >= self.max_depth), TOO_DEEP)
+        made = made.withColumns({"cases": cases, "limit": limit}).filter("rule <> 'only_and' or size(atoms) > 1")
+        # A union is split into all of its cases, or into none.
+        worst = made.groupBy("rule", "x", "p", "u", F.when(split, 0).otherwise(F.col("w")).alias("w2")).agg(F.max("limit").alias("worst"))
+        made = settle(made.withColumn("w2", F.when(split, 0).otherwise(F.col("w"))).join(worst, ["rule", "x", "p", "u", "w2"]))
+        refused, able = made.filter("worst is not null"), made.filter("worst is null")
+        several = able.filter("size(atoms) > 1")
+        each = several.select("k", F.explode("atoms").alias("a"))
+        found = {
+            "construct_and": union([facts(each, "and", "k", "a"), facts(each, "sub", "k", "a"), facts(each, "sub", "k", "k"), facts(each, "sub", "k", TOP), facts(several, "attr", "k", "cases", "depth")]),
+            "refused": facts(refused, "refused", "x", p="worst"),
+            "case": facts(able.filter("rule = 'case'"), "case", "x", "k", "u", via=[("sub", "x", None, "u")]),
+        }
+        for rule, kind in (("some_only", "some"), ("only_and", "only")):
+            mine = able.filter(F.col("rule") == rule)
+            if self.explain:
+                mine = mine.join(asked.groupBy(*key).agg(*self._listed("sub", "x", "g")), key)
+            found[rule] = self._restriction(kind, mine.withColumnsRenamed({"p": "prop", "k": "value"}), self._via(mine))
+        return found
+
+    def _known(self, kind: str, made: DataFrame) -> DataFrame:
+        """made (prop, value, ...) with r, the id of its restriction: the least that there is, or one from its structure."""
+        old = self.f.all(kind).groupBy(F.col("p").alias("prop"), F.col("o").alias("value")).agg(F.min("s").alias("old"))
+        return made.join(old, ["prop", "value"], "left").withColumn("r", F.coalesce("old", construct_id(restriction_text(kind, F.col("prop"), F.col("value"))))).drop("old")
+
+    def _entered(self, kind: str, made: DataFrame) -> list[DataFrame]:
+        """Facts that enter restrictions (r, prop, value, depth of the value)."""
+        return [facts(made, kind, "r", "value", "prop"), facts(made, "attr", "r", 0, F.col("depth") + 1), facts(made, "sub", "r", "r"), facts(made, "sub", "r", TOP)]
+
+    def _restriction(self, kind: str, made: DataFrame, via: Column | None = None) -> DataFrame:
+        """Facts of x below kind prop.value, the restriction entered if there is none."""
+        made = self._known(kind, made)
+        return union([*self._entered(kind, made), facts(made, "sub", "x", "r", via=via)])
+
+    def _functional(self) -> dict[str, DataFrame]:
+        """The only successor over a functional property is in the filler of any existential below it."""
+        f = named(self.props, p="s", prop="o").join(named(self.functional, prop="s"), "prop", "left_semi")
+        edge = self._below("some", "x", "g", "p", "v").join(f, "p").select("x", "prop", "v").distinct()
+        edge = edge.join(self._below("only", "x", "g", "prop", "v").select("x", "prop", "v").distinct(), ["x", "prop", "v"], "left_anti")
+        edge = edge.join(named(self.attr, v="id", depth="depth"), "v", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+        deep = edge.filter(F.col("depth") >= self.max_depth)
+        found = {"some_func": self._restriction("only", named(edge.filter(F.col("depth") < self.max_depth), x="x", prop="prop", value="v", depth="depth")), "func_refused": facts(deep, "refused", "x", p=F.lit(TOO_DEEP))}
+        if self.has_inverse:
+            # N's successor over a functional property is the M whose existential leads to N over its inverse: M is related back.
+            some = self.f.all("some")
+            there = named(some, m="s", r1="p", n="o").join(named(self.props, r1="s", i="o"), "r1").join(named(self.inverse, i="s", prop="o"), "i").join(named(self.functional, prop="s"), "prop", "left_semi")
+            on = self._below("some", "n", "g", "r2", "w").select("n", "r2").distinct().join(named(self.props, r2="s", prop="o"), "r2").join(named(self.inverse, r2="s", back="o"), "r2")
+            back = there.join(on, ["n", "prop"]).select(F.col("m").alias("x"), F.col("back").alias("prop"), F.col("n").alias("value")).distinct()
+            back = back.join(named(self.attr, value="id", depth="depth"), "value", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+            found["some_func_inverse"] = self._restriction("some", back.filter(F.col("depth") < self.max_depth))
+        return found
+
+    def _existentials_of_cases(self) -> DataFrame:
+        """Some P.V with V in cases of a told union is below the union of the cases' existentials."""
+        cases = named(self.f.all("case"), value="s", u="p", k="o").join(named(self.told_ors, u="s"), "u", "left_semi")
+        edge = named(self.f.all("some"), e="s", prop="p", value="o").join(cases, "value").select("e", "u", "prop", F.col("k").alias("value")).distinct()
+        edge = edge.join(named(self.attr, value="id", depth="depth"), "value", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+        able = edge.groupBy("e", "u").agg(F.max("depth").alias("deepest"))
+        edge = edge.join(able, ["e", "u"])
+        deep, edge = edge.filter(F.col("deepest") >= self.max_depth), edge.filter(F.col("deepest") < self.max_depth)
+        made = self._known("some", edge)
+        several = made.groupBy("e", "u").agg(F.array_sort(F.collect_set("r")).alias("rs")).withColumn("w", F.when(F.size("rs") == 1, F.col("rs")[0]).otherwise(construct_id(list_text("or", F.col("rs")))))
+        member = several.filter("size(rs) > 1").select("w", F.explode("rs").alias("r"))
+        lists = [facts(member, "or", "w", "r"), facts(member, "case", "w", "r", "w"), facts(member, "sub", "r", "w"), facts(member, "sub", "w", "w"), facts(member, "sub", "w", TOP)]
+        return union([*self._entered("some", made), *lists, facts(several, "sub", "e", "w"), facts(deep, "refused", "e", p=F.lit(TOO_DEEP))])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ontoflow.functions.terms import construct_id, list_text, restriction_text
-from ontoflow.operators import extract, normalize
+from ontoflow.operators import explain, extract, normalize
 from ontoflow.operators import marks as mark
-from ontoflow.operators.closure import reachable, restriction_depth, transitive_closure
+from ontoflow.operators.closure import leveled_closure, reachable, restriction_depth, transitive_closure
 from ontoflow.plans.commerce import relation, rule_query, sql
 from ontoflow.plans.reasoner import Reasoner
 from ontoflow.plans.rules import RULES
@@ -68,6 +68,21 @@ def _all(name: str) -> str:
     return f"SELECT * FROM {name}"
 
 
+#: Every intersection has two operands, so its pairs come straight from the tables.
+_AND_PAIRS = """WITH l AS (SELECT -(1000000 + s.id * 10 + r_regionkey) AS s, s.id AS x, 1000 + r_regionkey AS y FROM seg s CROSS JOIN region
+  UNION SELECT -(2000000 + (t - 4000) * 1000 + (b - 5000)), t, b FROM item) """
+ORACLE["r24_and_linked_list"] = sql(_AND_PAIRS + "SELECT s, least(x, y) AS o1, greatest(x, y) AS o2 FROM l")
+
+
+@q("r09_prop_is_a_transitivity", "WITH r AS (SELECT s, o FROM prop_told UNION SELECT r.s, p.o FROM r JOIN prop_told p ON p.s = r.o) SELECT CAST(s AS BIGINT) AS s, CAST(o AS BIGINT) AS o FROM r")
+def property_closure(spark, d):
+    """Properties of brands and types below all that they are below."""
+    return transitive_closure(relation(spark, d, "SELECT CAST(s AS BIGINT) AS s, CAST(o AS BIGINT) AS o FROM prop_told"))
+
+
+ORACLE["r09_prop_is_a_transitivity"] = ORACLE["r09_prop_is_a_transitivity"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 @q("o01_triple_scan", "SELECT s, value AS o FROM some_ WHERE prop = 13")
 def triple_scan(spark, d):
     return relation(spark, d, _all("some_")).filter("prop = 13").select("s", F.col("value").alias("o"))
@@ -149,7 +164,7 @@ def negation(spark, d):
     return relation(spark, d, _all("equivalent")).join(relation(spark, d, _all("is_a")).select("o"), "o", "left_anti").select("s", "o")
 
 
-@q("o29_commutative", "SELECT a.s, a.o AS x, b.o AS y FROM list_member a JOIN list_member b ON a.s = b.s AND a.o <> b.o WHERE a.kind = 'and' AND b.kind = 'and'")
+@q("o29_commutative", _AND_PAIRS + "SELECT s, x, y FROM l UNION ALL SELECT s, y AS x, x AS y FROM l")
 def commutative(spark, d):
     m = relation(spark, d, _all("list_member")).filter("kind = 'and'").select("s", "o")
     return m.select("s", F.col("o").alias("x")).join(m.select("s", F.col("o").alias("y")), "s").filter("x <> y")
@@ -160,13 +175,22 @@ def equi_join(spark, d):
     return relation(spark, d, _all("is_a")).join(relation(spark, d, _all("some_")).withColumnRenamed("s", "g"), F.col("o") == F.col("g")).select("s", "prop", "value")
 
 
-@q("o32_self_join", "SELECT a.s, b.o FROM is_a a JOIN is_a b ON a.o = b.s WHERE b.o BETWEEN 1000 AND 1004")
+@q(
+    "o32_self_join",
+    """SELECT CAST(1000000000 + c_custkey AS BIGINT) AS s, CAST(1000 + n_regionkey AS BIGINT) AS o FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT CAST(2000000000 + s_suppkey AS BIGINT), CAST(1000 + n_regionkey AS BIGINT) FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    kb=False,
+)
 def self_join(spark, d):
     a = relation(spark, d, _all("is_a"))
     return a.alias("a").join(a.filter("o between 1000 and 1004").alias("b"), F.col("a.o") == F.col("b.s")).select("a.s", "b.o")
 
 
-@q("o33_theta_residual", "SELECT a.s, a.o AS o1, b.o AS o2 FROM is_a a JOIN is_a b ON a.s = b.s AND a.o < b.o")
+@q(
+    "o33_theta_residual",
+    """WITH g AS (SELECT s, list_sort(list(o)) AS os FROM is_a GROUP BY s), e AS (SELECT s, os, unnest(range(1, len(os))) AS i FROM g)
+SELECT s, os[i] AS o1, unnest(os[i + 1:]) AS o2 FROM e""",
+)
 def theta(spark, d):
     a = relation(spark, d, _all("is_a"))
     return a.select("s", F.col("o").alias("o1")).join(a.select("s", F.col("o").alias("o2")), "s").filter("o1 < o2")
@@ -246,6 +270,24 @@ def closure(spark, d):
     return transitive_closure(spark.sql(f"{HIERARCHY} UNION ALL {_CHAIN}"))
 
 
+_LEVELS = f"""SELECT s, o, 1 AS l FROM ({HIERARCHY}) h UNION ALL SELECT o, o, 3 FROM ({HIERARCHY}) h
+  UNION ALL SELECT CAST(1000 + r_regionkey AS BIGINT), CAST(500 + r_regionkey % 2 AS BIGINT), 4 FROM region UNION ALL SELECT CAST(500 + r_regionkey % 2 AS BIGINT), 600, 1 FROM region UNION ALL SELECT 600, 1000, 4"""
+
+
+@q(
+    "o58_levels",
+    f"""WITH RECURSIVE e AS ({_LEVELS}), r AS (SELECT s, o, l FROM e UNION
+  SELECT r.s, e.o, CASE e.l WHEN 1 THEN 2 ELSE 5 END FROM r JOIN e ON e.s = r.o WHERE (r.l <= 2 AND e.l = 1) OR (r.l <> 3 AND e.l = 4))
+SELECT s, o, min(l)::INT AS l FROM r GROUP BY s, o""",
+    kb=False,
+)
+def levels(spark, d):
+    """Told edges, reflexive ones, and regions below unions, with a cycle through one of them."""
+    for t in ("region", "nation", "customer", "supplier"):
+        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+    return leveled_closure(spark.sql(_LEVELS))
+
+
 @q("o57_reachability", f"WITH RECURSIVE e AS ({HIERARCHY}), r AS (SELECT CAST(1000 AS BIGINT) AS s UNION SELECT e.s FROM r JOIN e ON e.o = r.s) SELECT s FROM r", kb=False)
 def reach(spark, d):
     for t in ("nation", "customer", "supplier"):
@@ -419,5 +461,97 @@ def inconsistent(spark, d):
     return Reasoner(rules="basic").run(commerce_kb(spark, d)).inconsistent()
 
 
+_CUSTOMERS = """cust AS (SELECT 1000000000 + c_custkey AS c, CAST(2000 + c_nationkey AS BIGINT) AS n, CAST(1000 + n_regionkey AS BIGINT) AS r, seg.id AS sg, c_custkey % 50 = 0 AS two
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN seg ON name = c_mktsegment),
+regions AS (SELECT c, sg, r AS x FROM cust UNION SELECT c, sg, 1000 FROM cust WHERE two)"""
+
+
+@q(
+    "o81_sources",
+    f"""WITH {_CUSTOMERS},
+orders_of AS (SELECT DISTINCT 1000000000 + o_custkey AS c, -(13 * 10000000 + id) AS g FROM orders JOIN oclass ON st = o_orderstatus AND pr = o_orderpriority)
+SELECT c AS s, r AS o, 'is_a_transitivity' AS rule, 'sub:' || c || ':0:' || n || ';sub:' || n || ':0:' || r AS sources FROM cust WHERE NOT (two AND r = 1000)
+UNION ALL SELECT c, -(1000000 + sg * 10 + x - 1000), 'and_2', 'sub:' || c || ':0:' || x || ';sub:' || c || ':0:' || sg FROM regions
+UNION ALL SELECT c, 2, 'disjoint', 'sub:' || c || ':0:1000;sub:' || c || ':0:' || r FROM cust WHERE two AND r <> 1000
+UNION ALL SELECT c, 8002, 'is_a_transitivity', 'sub:' || c || ':0:' || g || ';sub:' || g || ':0:8002' FROM orders_of""",
+)
+def sources(spark, d):
+    """Each inference about customers with the facts it follows from, over three rules."""
+    found = Reasoner(rules="basic", explain=True).run(commerce_kb(spark, d)).derivations()
+    mine = found.filter("rel = 'sub' and s >= 1000000000 and s <> o and o <> 1 and rule <> 'assertion'")
+    return mine.select("s", "o", "rule", explain.sources_text(F.col("sources")).alias("sources"))
+
+
+@q(
+    "o82_explanation",
+    f"""WITH {_CUSTOMERS}, bad AS (SELECT * FROM cust WHERE two AND r <> 1000)
+SELECT c AS s, 2 AS o, false AS told, 1 AS ways FROM bad UNION SELECT c, 1000, true, 0 FROM bad UNION SELECT c, r, false, 1 FROM bad UNION SELECT c, n, true, 0 FROM bad UNION SELECT n, r, true, 0 FROM bad""",
+)
+def explanation(spark, d):
+    """What the inconsistency of customers in two regions rests on, and nothing else."""
+    found = Reasoner(rules="basic", explain=True).run(commerce_kb(spark, d)).derivations()
+    bad = found.filter("rel = 'sub' and o = 2 and s >= 1000000000").select("rel", "s", "p", "o")
+    return explain.graph(found, bad).filter("useful").select("s", "o", "told", "ways")
+
+
+def market_kb(spark: SparkSession, d: str) -> KB:
+    """Customers with the orders they placed, under axioms that need constructed concepts, cases and inverses.
+
+    Placed orders of segment 1 are valid (19001), and 20000 + k is what placed a valid order of class k. Segment 2 trades in zone 19002 or 19003, and debtors
+    (19004) aren't in the first one. An order of class 6001 is placed by rush customers (19005) only.
+    """
+    k = lambda text: relation(spark, d, text)
+    customers = k("SELECT CAST(1000000000 + c_custkey AS BIGINT) AS s, CAST(id AS BIGINT) AS o, c_acctbal FROM customer JOIN seg ON name = c_mktsegment")
+    placed = k("SELECT s, o FROM is_a WHERE s BETWEEN 1000000000 AND 1999999999 AND o BETWEEN -130009999 AND -130000000")
+    classes = k("SELECT CAST(id AS BIGINT) AS id FROM oclass")
+    rows = lambda *r: spark.createDataFrame(list(r), "s bigint, o bigint")
+    is_a = customers.select("s", "o").union(placed).union(customers.filter("c_acctbal < 0").select("s", F.lit(19004).cast("bigint"))).union(rows((3001, -19100), (3002, -19200), (6001, -19101)))
+    both = classes.select(F.lit("and"), -(F.col("id") + 132000000), "id").union(classes.select(F.lit("and"), -(F.col("id") + 132000000), F.lit(19001).cast("bigint")))
+    lists = spark.createDataFrame([("or", -19200, 19002), ("or", -19200, 19003), ("disjoint", -19300, 19004), ("disjoint", -19300, 19002), ("inverse", 14, 13)], "kind string, s bigint, o bigint")
+    thirteen = F.lit(13).cast("bigint").alias("prop")
+    some = classes.select(-(F.col("id") + 130000000), thirteen, "id").union(classes.select(-(F.col("id") + 131000000), thirteen, -(F.col("id") + 132000000)))
+    only = spark.createDataFrame([(-19100, 13, 19001), (-19101, 14, 19005)], "s bigint, prop bigint, value bigint")
+    named = classes.select((F.col("id") + 14000).alias("s"), F.lit("Class").alias("kind")).union(customers.select("s", F.lit("NamedIndividual")))
+    return KB.of(spark, is_a=is_a.distinct(), equivalent=classes.select(F.col("id") + 14000, -(F.col("id") + 131000000)), list_member=lists.union(both), some=some, only=only, types=named)
+
+
+@q(
+    "reason_full",
+    """WITH c AS (SELECT CAST(1000000000 + c_custkey AS BIGINT) AS s, id AS sg, c_acctbal < 0 AS debtor FROM customer JOIN seg ON name = c_mktsegment),
+p AS (SELECT DISTINCT CAST(1000000000 + o_custkey AS BIGINT) AS s, id FROM orders JOIN oclass ON st = o_orderstatus AND pr = o_orderpriority)
+SELECT s, CAST(sg AS BIGINT) AS o FROM c UNION SELECT s, 19004 FROM c WHERE debtor UNION SELECT s, 19003 FROM c WHERE debtor AND sg = 3002
+UNION SELECT s, 19005 FROM p WHERE id = 6001 UNION SELECT c.s, id + 14000 FROM c JOIN p ON p.s = c.s WHERE sg = 3001""",
+)
+def reason_full(spark, d):
+    """All rules, constructing ones included, over customers and their orders: the named concepts that each customer is found to be in."""
+    found = Reasoner(rules="full").run(market_kb(spark, d))
+    return found.sub.filter("s >= 1000000000 and o > 1 and s <> o")
+
+
+@q(
+    "o10_roles",
+    """WITH p AS (SELECT DISTINCT CAST(1000000000 + o_custkey AS BIGINT) AS c, CAST(4000000000 + o_orderkey AS BIGINT) AS k, id, c_mktsegment AS m FROM orders
+  JOIN customer ON c_custkey = o_custkey JOIN oclass ON st = o_orderstatus AND pr = o_orderpriority)
+SELECT DISTINCT c AS s, -(130000000 + id) AS o FROM p UNION ALL SELECT DISTINCT k, -(140000000 + g.id) FROM p JOIN seg g ON g.name = m UNION ALL SELECT DISTINCT k, 19001 FROM p JOIN seg g ON g.name = m WHERE g.id = 3001""",
+)
+def roles(spark, d):
+    """Customers that placed orders (property 13, inverse 14), as individuals: orders of segment 1 are valid, customers have some of each class of order, orders some of each segment."""
+    k = lambda text: relation(spark, d, text)
+    people = k("SELECT CAST(1000000000 + c_custkey AS BIGINT) AS s, CAST(id AS BIGINT) AS o FROM customer JOIN seg ON name = c_mktsegment")
+    orders = k("SELECT CAST(4000000000 + o_orderkey AS BIGINT) AS s, CAST(id AS BIGINT) AS o, CAST(1000000000 + o_custkey AS BIGINT) AS c FROM orders JOIN oclass ON st = o_orderstatus AND pr = o_orderpriority")
+    some = k("SELECT CAST(s AS BIGINT) AS s, CAST(prop AS BIGINT) AS prop, CAST(value AS BIGINT) AS value FROM some_ WHERE prop = 13 OR (prop = 14 AND value > 3000)")
+    types = people.select("s").union(orders.select("s")).select("s", F.lit("NamedIndividual").alias("kind"))
+    kb = KB.of(
+        spark,
+        is_a=people.union(orders.select("s", "o")).union(spark.createDataFrame([(3001, -19100)], "s bigint, o bigint")),
+        some=some,
+        only=[(-19100, 13, 19001)],
+        list_member=[("inverse", 14, 13)],
+        types=types,
+        role=orders.select(F.col("c").alias("s"), F.lit(13).cast("bigint").alias("p"), F.col("s").alias("o")),
+    )
+    return Reasoner(rules="basic").run(kb).sub.filter("s >= 1000000000 and (o < 0 or o = 19001) and o <> -19100")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return reason_commerce(spark, d)

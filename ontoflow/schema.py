@@ -23,6 +23,7 @@ SCHEMAS: dict[str, str] = {
     "list_member": "kind string, s bigint, o bigint",  # kinds: and, or, disjoint, not, inverse
     "types": "s bigint, kind string",
     "domain_range": "kind string, p bigint, c bigint",
+    "role": "s bigint, p bigint, o bigint",  # individual s is related over p to individual o
     "entity": "id bigint, name string",
 }
 
@@ -45,6 +46,7 @@ class KB:
     list_member: DataFrame
     types: DataFrame
     domain_range: DataFrame
+    role: DataFrame
     entity: DataFrame
 
     @staticmethod
