@@ -512,7 +512,7 @@ def market_kb(spark: SparkSession, d: str) -> KB:
     some = classes.select(-(F.col("id") + 130000000), thirteen, "id").union(classes.select(-(F.col("id") + 131000000), thirteen, -(F.col("id") + 132000000)))
     only = spark.createDataFrame([(-19100, 13, 19001), (-19101, 14, 19005)], "s bigint, prop bigint, value bigint")
     named = classes.select((F.col("id") + 14000).alias("s"), F.lit("Class").alias("kind")).union(customers.select("s", F.lit("NamedIndividual")))
-    return KB.of(spark, is_a=is_a.distinct(), equivalent=classes.select(F.col("id") + 14000, -(F.col("id") + 131000000)), list_member=lists.union(both), some=some, only=only, types=named)
+    return KB.of(spark, is_a=is_a.distinct(), equivalent=classes.select(F.col("id") + 14000, -(F.col("id") + 131000000)).toDF("s", "o"), list_member=lists.union(both), some=some.toDF("s", "prop", "value"), only=only, types=named)
 
 
 @q(
