@@ -34,7 +34,10 @@ def keeping(stage: Callable) -> Callable:
 
 @keeping
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (a null text, or one without letters); a missing lang becomes the predicted one. Repeated rows fare alike."""
+    """Drop documents without a language (a null text, or one without letters); a missing lang becomes the predicted one. Repeated rows fare alike.
+
+    Where no text has a lang, no language can be told, and every document goes.
+    """
     known = language.annotate(docs).filter(F.col("lang_pred") != language.UNKNOWN)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
