@@ -125,6 +125,32 @@ class Reasoner:
             self._settle({"assertion": late})
         return Result(kb, self.f, self.f.metrics)
 
+    def load(self, kb: KB) -> Reasoner:
+        """Only take in a knowledge base, for ``step``: its facts are the first round."""
+        self.kb, self.spark = kb, kb.spark
+        self.f = Facts(kb.spark, self.explain)
+        told, late = self._load()
+        self.f.add({"assertion": told if late is None else told.unionByName(late)})
+        return self
+
+    def step(self, rule: str) -> DataFrame:
+        """rel, s, p, o: all that one rule (a name of Result.usage) gives in one step from the last round's facts, known or new; nothing is added. No rows where those facts don't concern it."""
+        given = self._given(rule)
+        return self.f.all("sub").limit(0).select(F.lit("sub").alias("rel"), "s", "p", "o") if given is None else given.select(*FACT).distinct()
+
+    def take(self, rule: str) -> bool:
+        """Add what a step gives as a round of its own; whether any of it is new."""
+        given = self._given(rule)
+        return given is not None and self.f.add({rule: given})
+
+    def _given(self, rule: str) -> DataFrame | None:
+        if getattr(self, "_stepped", None) != self.f.round:
+            self._stepped, self._rules, self._built = self.f.round, self._saturation(), None
+        if rule not in self._rules and self.full:
+            self._built = self._construct(0) if self._built is None else self._built
+            return self._built.get(rule)
+        return self._rules.get(rule)
+
     def _settle(self, found: dict[str, DataFrame]) -> None:
         """Add found, then saturate and construct by turns until nothing is new."""
         constructed, fresh = self.f.round, True

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ontoflow import rule_queries
 from ontoflow.functions.terms import construct_id, list_text, restriction_text
 from ontoflow.operators import explain, extract, normalize
 from ontoflow.operators import marks as mark
@@ -20,6 +21,8 @@ from ontoflow.schema import KB
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {name: rule_query(name) for name in sorted(RULES)}
 ORACLE: dict[str, str] = {name: sql(RULES[name]) for name in sorted(RULES)}
+QUERIES |= rule_queries.QUERIES
+ORACLE |= rule_queries.ORACLE
 
 
 #: The rules on marks: number, name, and what SQL joins the marks with.
