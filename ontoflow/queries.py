@@ -360,6 +360,33 @@ def structural_merge(spark, d):
     return normalize.merge_structural(triples)
 
 
+@q(
+    "o74_nested_merge",
+    """WITH a AS (SELECT p_partkey, CAST(max(-(p_partkey + 10)) OVER (PARTITION BY p_type, p_brand) AS BIGINT) AS r FROM part),
+l AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(-(10000000000 + l_orderkey * 10 + l_linenumber) AS BIGINT) AS s, r FROM lineitem JOIN a ON p_partkey = l_partkey),
+n AS (SELECT l_orderkey, l_linenumber, s, string_agg(r::VARCHAR, ',' ORDER BY r) AS parts FROM l GROUP BY l_orderkey, l_linenumber, s),
+m AS (SELECT l_orderkey, s, max(s) OVER (PARTITION BY l_linenumber, parts) AS rep FROM n),
+k AS (SELECT l_orderkey, string_agg(rep::VARCHAR, ',' ORDER BY rep) AS lines FROM (SELECT DISTINCT l_orderkey, rep FROM m) t GROUP BY l_orderkey)
+SELECT CAST(-(p_partkey + 10) AS BIGINT) AS s, r AS rep FROM a UNION ALL SELECT s, rep FROM m
+UNION ALL SELECT CAST(-(20000000000 + l_orderkey) AS BIGINT), CAST(max(-(20000000000 + l_orderkey)) OVER (PARTITION BY lines) AS BIGINT) FROM k""",
+    kb=False,
+)
+def nested_merge(spark, d):
+    """Orders defined by lines, lines by their number and parts, parts by type and brand: equal parts make lines equal, and these orders."""
+    part, line = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
+    node = {
+        "part": (-(F.col("p_partkey") + 10)).cast("bigint"),
+        "of": (-(F.col("l_partkey") + 10)).cast("bigint"),
+        "line": (-(F.lit(10000000000) + F.col("l_orderkey") * 10 + F.col("l_linenumber"))).cast("bigint"),
+        "order": (-(F.lit(20000000000) + F.col("l_orderkey"))).cast("bigint"),
+    }
+    known = line.join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    edge = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).cast("bigint").alias("p"), o.cast("bigint").alias("o"))
+    triples = edge(part, node["part"], 1, F.abs(F.xxhash64("p_type"))).union(edge(part, node["part"], 2, F.abs(F.xxhash64("p_brand"))))
+    triples = triples.union(edge(known, node["line"], 3, node["of"])).union(edge(known, node["line"], 4, F.col("l_linenumber"))).union(edge(known, node["order"], 5, node["line"]))
+    return normalize.merge_structural(triples)
+
+
 @q("o76_singletons", "SELECT CAST(-(l_orderkey + 10) AS BIGINT) AS s, CAST(min(l_suppkey) AS BIGINT) AS rep FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1", kb=False)
 def singletons(spark, d):
     lists = spark.read.parquet(f"{d}/lineitem.parquet").select((-(F.col("l_orderkey") + 10)).cast("bigint").alias("s"), F.col("l_suppkey").cast("bigint").alias("o"))
@@ -374,6 +401,23 @@ def classify(spark, d):
     return normalize.classify_restrictions(rows, ids).select("s", "kind", "prop", "value")
 
 
+@q(
+    "o77_six_kinds",
+    """SELECT CAST(-(p_partkey + 10) AS BIGINT) AS s, CASE p_partkey % 6 WHEN 0 THEN 'some' WHEN 1 THEN 'only' WHEN 2 THEN 'some' WHEN 3 THEN 'min' WHEN 4 THEN 'max' ELSE 'exactly' END AS kind,
+CAST(100 + p_size AS BIGINT) AS prop, CASE WHEN p_partkey % 6 > 2 THEN CAST(p_size % 5 AS BIGINT) ELSE -1 END AS card, CAST(1000 + p_size AS BIGINT) AS value FROM part""",
+    kb=False,
+)
+def six_kinds(spark, d):
+    """A restriction for each part, of all six kinds; hasValue is an existential over the individual."""
+    names = ["someValuesFrom", "allValuesFrom", "hasValue", "minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality"]
+    ids = {name: k for k, name in enumerate([*names, "onProperty", "onClass"])}
+    part = spark.read.parquet(f"{d}/part.parquet").select((-(F.col("p_partkey") + 10)).cast("bigint").alias("s"), (F.col("p_partkey") % 6).alias("k"), F.col("p_size").cast("bigint").alias("z"))
+    edge = lambda df, p, o: df.select("s", F.lit(p).alias("p") if isinstance(p, int) else p.cast("int").alias("p"), o.alias("o"))
+    triples = edge(part, ids["onProperty"], F.col("z") + 100).union(edge(part, F.col("k"), F.when(F.col("k") > 2, F.col("z") % 5).otherwise(F.col("z") + 1000)))
+    found = normalize.classify_restrictions(triples.union(edge(part.filter("k > 2"), ids["onClass"], F.col("z") + 1000)), ids)
+    return found.withColumn("card", F.coalesce("card", F.lit(-1).cast("bigint")))
+
+
 #: Told, two steps on, below intersections, and below the classes that these define.
 _DEFINED = f"WITH below AS ({RULES['r33_and_2']}), wide AS (SELECT s, o FROM sub UNION SELECT s, o FROM below UNION SELECT b.s, e.s AS o FROM below b JOIN equivalent e ON e.o = b.o) "
 
@@ -430,6 +474,25 @@ def rendered(spark, d):
     return extract.render(some, some.limit(0), members, names, 1).filter("id < 0")
 
 
+@q(
+    "o83_render_nested",
+    """WITH g AS (SELECT s, 'some' AS k, prop, value FROM some_ UNION ALL SELECT s, 'only', prop, value FROM only_),
+flat AS (SELECT s AS id, '(p' || prop || ' ' || k || ' c' || value || ')' AS text FROM g WHERE value > 0),
+part AS (SELECT m.kind, m.s, coalesce(f.text, 'c' || m.o) AS text FROM list_member m LEFT JOIN flat f ON f.id = m.o WHERE m.kind IN ('and', 'or', 'not')),
+lists AS (SELECT s AS id, '(' || string_agg(text, ' and ' ORDER BY text) || ')' AS text FROM part WHERE kind = 'and' GROUP BY s
+  UNION ALL SELECT s, '(' || string_agg(text, ' or ' ORDER BY text) || ')' FROM part WHERE kind = 'or' GROUP BY s UNION ALL SELECT s, '(not ' || text || ')' FROM part WHERE kind = 'not')
+SELECT id, text FROM flat UNION ALL SELECT id, text FROM lists UNION ALL SELECT g.s, '(p' || prop || ' ' || k || ' ' || l.text || ')' FROM g JOIN lists l ON l.id = g.value""",
+)
+def rendered_nested(spark, d):
+    """Every construct of the knowledge base: restrictions over unions, unions of restrictions, complements."""
+    k = lambda name: relation(spark, d, _all(name))
+    some, only, members = k("some_"), k("only_"), k("list_member").filter("kind <> 'inverse'")
+    entities = some.union(only).select("value").union(members.select("o")).filter("value > 0").distinct()
+    names = entities.select(F.col("value").alias("id"), F.concat(F.lit("c"), "value").alias("name"))
+    properties = some.union(only).select("prop").distinct().select("prop", F.concat(F.lit("p"), "prop"))
+    return extract.render(some, only, members, names.union(properties), 3).filter("id < 0")
+
+
 def commerce_kb(spark: SparkSession, d: str) -> KB:
     """Customers, nations, regions and segments with intersections, disjoint regions and placed-order existentials."""
     is_a = relation(spark, d, "SELECT s, o FROM is_a WHERE s BETWEEN 1000 AND 2999 OR (s BETWEEN 1000000000 AND 1999999999 AND (o > 0 OR o BETWEEN -130009999 AND -130000000))")

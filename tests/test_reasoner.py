@@ -183,3 +183,29 @@ def test_a_run_removes_what_it_wrote(spark):
     assert os.path.isdir(found.facts.folder.removeprefix("file:"))
     found.close()
     assert not os.path.exists(found.facts.folder.removeprefix("file:"))
+
+
+def test_single_steps(spark):
+    """Each rule alone, in one step from the told facts; constructs get ids from their structure."""
+    o = Ontologies()
+    o.add("x", "p:prop; f:prop(func); q:prop; q⊑p; A; A1⊑A; A2⊑A1; B; AB≡[A1 ⊓ B]; C⊑A1,B; D; disj(A1, D); E⊑A1,D; S⊑[∃q.A1]; R≡[∃p.A1]; N≡[¬D]; U; U⊑[A2 ⊔ B]; O; O⊑[∃p.A, ∀p.B]; F⊑[∃f.A]; m:A2")
+    reasoner = Reasoner().load(kb_of(spark, o))
+    i = lambda n: o.ids["x", n]
+    subs = lambda rule: {(r.s, r.o) for r in reasoner.step(rule).filter("rel = 'sub'").collect()}
+    c = lambda kind, *parts: o.ids[kind, parts]
+    both = o.ids["and", tuple(sorted((i("A1"), i("B"))))]
+    assert (i("A2"), i("A")) in subs("is_a_transitivity") and (i("C"), i("AB")) not in subs("is_a_transitivity")
+    assert subs("and_2") == {(i("C"), both)}
+    assert subs("disjoint") == {(i("E"), BOTTOM)}
+    assert (c("some", i("q"), i("A1")), c("some", i("p"), i("A1"))) in subs("some_subprop_subclass")
+    assert (i("A1"), o.ids["not", (i("D"),)]) in subs("not")
+    case = {(r.s, r.p) for r in reasoner.step("case").filter("rel = 'case'").collect()}
+    assert (i("U"), o.ids["or", tuple(sorted((i("A2"), i("B"))))]) in case and not any(s == i("C") for s, _ in case)
+    made = reasoner.step("some_only")
+    successor = {(r.s, r.o) for r in made.filter("rel = 'some'").collect()}
+    assert len(successor) == 1 and {(i("O"), r) for r, _ in successor} <= subs("some_only")
+    assert {r.p for r in reasoner.step("some_func").filter("rel = 'only'").collect()} == {i("f")}
+    assert reasoner.step("concrete_is_a").select("s").distinct().count() == reasoner.step("concrete_is_a").count() > 0
+    assert reasoner.step("role_some").count() == 0  # nothing that it concerns
+    assert reasoner.take("concrete_is_a") and not reasoner.step("is_a_transitivity").count()
+    reasoner.f.close()
